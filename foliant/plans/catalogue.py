@@ -1,4 +1,6 @@
 """All registered queries with their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from foliant.plans import scalars  # noqa: F401
+from foliant.plans._registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
