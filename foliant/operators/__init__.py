@@ -1,0 +1 @@
+"""Operators over tables: each takes and returns DataFrames."""

@@ -227,7 +227,7 @@ def v_qc(spark, sf) -> DataFrame:
 
 def v_attempts(spark, sf) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    ms = lambda f: F.round(F.col("value") * f).cast("long")
+    ms = lambda f: F.floor(F.col("value") * f + 1e-6).cast("long")
     return events(spark, sf).withColumn("attempt", F.row_number().over(w)).where("attempt <= 5").select(
         F.concat(F.lit("sample"), _text("user_id")).alias("sample_id"),
         "attempt",
