@@ -117,7 +117,7 @@ def _entries(docs, weights, max_epochs, id_col, text_col, source_col):
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
         )
     ).withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    targets = durable(source_targets(sizes, weights, max_epochs))
+    targets = source_targets(sizes, weights, max_epochs)
     t = targets.select(F.col("source").alias("t_source"), "source_size", "docs", "target")
     placed = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     # The first 7 hex digits of the hash as a fraction give the bucket; more documents, more buckets.
@@ -146,12 +146,10 @@ def _kept(entries: DataFrame) -> DataFrame:
     Sizes of the ranges of finish time follow from the number of entries. Targets add up to the
     size of all documents, so the cut lies at a finish time of about 1.
     """
-    stats = durable(entries.agg(F.count(F.lit(1)).alias("n"), F.max("finish").alias("top")))
-    budget = durable(
-        entries.select("source", "target").groupBy("source").agg(F.max("target").alias("t")).agg(F.sum("t").alias("budget"))
+    per_source = entries.groupBy("source").agg(
+        F.count(F.lit(1)).alias("n"), F.max("finish").alias("top"), F.max("target").alias("target")
     )
-    n, top = stats.first()
-    total = budget.first()["budget"]
+    n, top, total = per_source.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("top"), F.sum("target")).first()
     if not n:
         return entries.withColumn("running", F.col("upto"))
     cells = max(1, -(-n // BUCKET_ROWS))
