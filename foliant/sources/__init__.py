@@ -1,0 +1 @@
+"""Readers and writers: landed files to tables with fixed schemas, and back."""
