@@ -43,6 +43,10 @@ reply replies respond search share sharing sidebar social sponsor sponsored subs
 RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe", "svg", "title"))
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Levels of elements that a wrapper describes, and items of one element that it keeps in order.
+DEEP, WIDE = 48, 64
+#: Blocks that hold text for the container around them.
+LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dt dd".split())
 #: Opening one of these ends an open element of the same kind.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 
@@ -115,104 +119,151 @@ def walk(page: str) -> Iterator[tuple[str, list, str]]:
                     break
 
 
-# Wrappers: lists of "<label", ">" and "#" (a text slot), and of ["+", [...]] and ["?", [...]].
+# A wrapper is a list of items: "#" (a text slot), ["<", label, items] (an element), ["+", items] (a group that
+# repeats) and ["?", items] (a group that may be absent).
 
 
 def _key(item) -> str:
     return item if isinstance(item, str) else json.dumps(item, separators=(",", ":"))
 
 
-def fold(items: list, widest: int = 24) -> list:
-    """Neighbouring equal groups become one repeated group, the shortest groups first."""
+def fold(items: list, widest: int = 12) -> list:
+    """Neighbouring equal groups become one repeated group, the narrowest groups first."""
     for width in range(1, widest + 1):
         if len(items) < 2 * width:
             break
         keys = [_key(x) for x in items]
-        out, i, n = [], 0, len(items)
-        while i < n:
-            group = keys[i : i + width]
-            j = i + width
-            while keys[j : j + width] == group and len(group) == width:
+        out, i = [], 0
+        while i < len(items):
+            group, j = keys[i : i + width], i + width
+            while keys[j : j + width] == group:
                 j += width
             inner = items[i : i + width]
-            if j > i + width and _balanced(inner):
-                out.append(inner[0] if width == 1 and isinstance(inner[0], list) and inner[0][0] == "+" else ["+", inner])
+            if j > i + width:
+                out.append(inner[0] if width == 1 and inner[0][0] == "+" else ["+", inner])
+                i = j
+            elif out and out[-1] == ["+", inner]:  # one more of a group that is known to repeat
                 i = j
-            # One more of a group that is already known to repeat joins it.
-            elif out and isinstance(out[-1], list) and out[-1][0] == "+" and out[-1][1] == inner:
-                i += width
             else:
                 out.append(items[i])
                 i += 1
         items = out
-    return items
+    return items if len(items) <= WIDE else squeeze(items)
 
 
-def _balanced(items: list) -> bool:
-    depth = 0
-    for x in items:
-        if isinstance(x, str) and x != "#":
-            depth += 1 if x[0] == "<" else -1
-            if depth < 0:
-                return False
-    return depth == 0
+def squeeze(items: list) -> list:
+    """Items in no regular order, as one group that repeats and may hold one of each kind."""
+    kinds: dict[str, list] = {}
+
+    def add(some: list) -> None:
+        for x in some:
+            if x[0] in "+?":
+                add(x[1])
+            else:
+                kinds[_kind(x)] = _one(kinds[_kind(x)], x) if _kind(x) in kinds else x
+
+    add(items)
+    return [["+", [["?", [kinds[k]]] for k in sorted(kinds)]]]
 
 
 def skeleton(page: str) -> tuple[list, dict[str, int]]:
-    """A page's folded stream, and its characters of text by the path of the block that holds them."""
-    out: list = []
+    """A page's folded stream, and its characters of text by the path of the container that holds them."""
+    root: list = []
+    levels = [root]
     mass: dict[str, int] = {}
+
+    def close(levels: list) -> None:
+        done = levels.pop()
+        if done is not levels[-1]:
+            done[:] = fold(done)
+
     for kind, stack, value in walk(page):
-        if stack and stack[-1][0] in INLINE and kind != "text":
-            continue
-        if kind == "open":
-            out.append("<" + stack[-1][1])
-        elif kind == "close":
-            out.append(">")
-        elif kind == "text":
+        if kind == "text":
             n = len(value.strip())
-            if n:
-                if out[-1:] != ["#"]:
-                    out.append("#")
-                if not any(s[2] for s in stack):
-                    path = [s[1] for s in stack if s[0] not in INLINE]
-                    # The text counts for the container, not for the paragraph that holds it.
-                    holder = "/".join(path[:-1] if path and path[-1].split(".")[0] in ("p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td", "tr") else path)
-                    mass[holder] = mass.get(holder, 0) + n
-    return fold(out), mass
+            if not n:
+                continue
+            if levels[-1][-1:] != ["#"]:
+                levels[-1].append("#")
+            if not any(s[2] for s in stack):
+                path = [s[1] for s in stack if s[0] not in INLINE]
+                if path and path[-1].split(".")[0] in LEAVES:
+                    path.pop()  # the text counts for the container, not for the paragraph that holds it
+                mass["/".join(path)] = mass.get("/".join(path), 0) + n
+        elif kind == "void" or stack[-1][0] in INLINE:
+            continue
+        elif kind == "open":
+            # What lies deeper belongs to the element at the last level that a wrapper describes.
+            inner: list = [] if len(levels) < DEEP else levels[-1]
+            if inner is not levels[-1]:
+                levels[-1].append(["<", stack[-1][1], inner])
+            levels.append(inner)
+        else:
+            close(levels)
+    while len(levels) > 1:
+        close(levels)
+    return fold(root), mass
 
 
-def align(left: list, right: list) -> list:
-    """One wrapper for both: common items stay, all others become optional."""
+def _kind(item) -> str:
+    """What an item is matched by: an element by its label, whether it repeats or not."""
+    if item == "#":
+        return item
+    if item[0] == "<":
+        return f"<{item[1]}"
+    if item[0] == "+" and all(x[0] == "?" for x in item[1]):
+        return "*"
+    return " ".join(_kind(x) for x in item[1])
+
+
+def _one(left, right):
+    """The item that stands for two of one kind."""
     if left == right:
         return left
+    if left[0] == "+" or right[0] == "+":
+        a, b = (x[1] if x[0] == "+" else [x] for x in (left, right))
+        return ["+", align(a, b)]
+    return ["<", left[1], align(left[2], right[2])]
 
-    def strip(items):  # optional groups are matched by what they hold
-        return [x for y in items for x in ([("?", z) for z in y[1]] if isinstance(y, list) and y[0] == "?" else [("", y)])]
 
-    a, b = strip(left), strip(right)
-    # Repeated and single forms of a group are the same group here.
-    def keys(side):
-        return [_key(x[1][1] if isinstance(x, list) and x[0] == "+" else [x]) for _, x in side]
+def align(left: list, right: list) -> list:
+    """One list for both: items of one kind stay and are aligned inside, all others become optional."""
+    if left == right:
+        return left
+
+    def strip(items):  # an optional group is matched by what it holds
+        return [(o, z) for y in items for o, z in ([(True, z) for z in y[1]] if y[0] == "?" else [(False, y)])]
 
     out: list = []
 
     def add(optional: bool, items: list) -> None:
-        if optional and out and isinstance(out[-1], list) and out[-1][0] == "?":
+        if optional and items and out and out[-1][0] == "?":
             out[-1][1].extend(items)
-        elif items:
-            out.extend([["?", list(items)]] if optional else items)
+        elif optional and items:
+            out.append(["?", list(items)])
+        else:
+            out.extend(items)
 
-    for tag, i, j, k, m in SequenceMatcher(None, keys(a), keys(b), autojunk=False).get_opcodes():
+    a, b = strip(left), strip(right)
+    matcher = SequenceMatcher(None, [_kind(x) for _, x in a], [_kind(x) for _, x in b], autojunk=False)
+    for tag, i, j, k, m in matcher.get_opcodes():
         if tag == "equal":
             for (o1, x), (o2, y) in zip(a[i:j], b[k:m]):
-                add(bool(o1 or o2), [x if isinstance(x, list) else y])
+                add(o1 or o2, [_one(x, y)])
         else:
             add(True, [x for _, x in a[i:j]])
             add(True, [y for _, y in b[k:m]])
     return fold(out)
 
 
+def labels_of(items: list) -> Iterator[str]:
+    for x in items:
+        if x[0] == "<":
+            yield x[1]
+            yield from labels_of(x[2])
+        elif x != "#":
+            yield from labels_of(x[1])
+
+
 def merge(wrappers: Iterator[tuple[list, dict[str, int]]]) -> tuple[list, dict[str, int]]:
     """Fold many wrappers into one; equal ones are aligned once, in a fixed order."""
     mass: dict[str, int] = {}
@@ -229,7 +280,7 @@ def merge(wrappers: Iterator[tuple[list, dict[str, int]]]) -> tuple[list, dict[s
 
 def container(wrapper: list, mass: dict[str, int]) -> str:
     """Label of the element that holds the host's articles, or "" for the whole body."""
-    labels = re.findall(r'"<([^"]*)"', json.dumps(wrapper))
+    labels = set(labels_of(wrapper))
     for wanted in ("article", "main"):
         own = {x for x in labels if x.split(".")[0] == wanted and not is_boilerplate(wanted, x.replace(".", " "))}
         held = {x: sum(v for k, v in mass.items() if x in k.split("/")) for x in own}
