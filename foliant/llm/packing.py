@@ -1,13 +1,13 @@
 """Best-fit packing into token sequences by hierarchical residual packing.
 
 Texts are tokenised where they are read; only longer documents are cut, the first piece taking the
-remainder so that every other piece fills a sequence. Each partition packs its pieces best-fit
-decreasing and sends off bins that are full or nearly so. Underfull bins become the items of the
-next round, over fewer partitions, and so on until a round has one partition or more rounds
-would not help. Rounds are written to the shared folder, so a lost executor never makes two
-branches see different bins. No round holds more than about ``ROUND_ITEMS`` bins in a task: while
-there are more, they stay spread over several tasks, each of which already has more items than
-best fit needs.
+remainder so that every other piece fills a sequence. Pieces (a few numbers each, no texts) are dealt
+out evenly; each partition packs its own best-fit decreasing and sends off bins that are full or
+nearly so. Underfull bins become the items of the next round, over fewer partitions, and so on until
+a round has one partition or more rounds would not help. Rounds are written to the shared folder, so
+a lost executor never makes two branches see different bins. No partition gets more than about
+``ROUND_ITEMS`` items: while there are more, they stay spread over several, each of which has more
+items than best fit needs.
 
 Null texts are empty; a document always ends with id 0, so an empty one has one token. Repeated
 rows are packed as often as they come. Rows with a null id are packed like any other. An empty
@@ -33,7 +33,7 @@ END_ID = 0
 TOKENIZER = "byte_bpe_50k"
 #: Bins with at most this many free places are not packed any further.
 SLACK = 0
-ROUND_ITEMS = 200_000
+ROUND_ITEMS = 50_000
 FAN_IN = 8
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long"
@@ -137,11 +137,12 @@ def pieces_of(
     return rows.mapInArrow(_tokenise(capacity, tokenizer), PIECES)
 
 
-def _pack_round(capacity: int, round_no: int, part_col: str):
-    """Items are the bins of the round before (each piece a bin of its own at first)."""
+def _pack_round(capacity: int, round_no: int):
+    """Items are the bins of the round before (each piece a bin of its own at first); one call for each part."""
 
-    def pack_table(rows: pa.Table, first: int) -> tuple[pa.Table, int]:
-        part = rows.column(part_col)[0].as_py()
+    def pack_part(got: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(got)
+        part = rows.column("part")[0].as_py()
         keys = rows.column("bin").combine_chunks().dictionary_encode()
         names = np.array(keys.dictionary.to_pylist())
         by_name = np.empty(len(names), dtype=np.int64)  # items in an order that does not hang on arrival
@@ -150,94 +151,70 @@ def _pack_round(capacity: int, round_no: int, part_col: str):
         size = np.zeros(len(names), dtype=np.int64)
         size[item] = rows.column("used").to_numpy()
         b, offset, used = best_fit(size, capacity)
-        out = rows.drop_columns([part_col, "bin", "used", "offset"])
-        label = pa.array([f"{round_no}-{part}-{first + i}" for i in range(len(used))])
+        out = rows.drop_columns(["part", "bin", "used", "offset"])
+        label = pa.array([f"{round_no}-{part}-{i}" for i in range(len(used))])
         out = out.append_column("bin", label.take(pa.array(b[item])))
         out = out.append_column("used", pa.array(used[b[item]].astype(np.int32)))
         out = out.append_column("offset", pa.array((rows.column("offset").to_numpy() + offset[item]).astype(np.int32)))
-        return out, len(used)
+        yield from out.to_batches(max_chunksize=20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got, first = [], 0
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if batch.num_rows:
-                got.append(batch)
-            # In the first round an item is a row, so a large partition is packed piece by piece.
-            if round_no == 0 and sum(b.num_rows for b in got) >= ROUND_ITEMS:
-                out, n = pack_table(pa.Table.from_batches(got), first)
-                got, first = [], first + n
-                yield from out.to_batches(max_chunksize=20_000)
-        if got:
-            yield from pack_table(pa.Table.from_batches(got), first)[0].to_batches(max_chunksize=20_000)
+            part = batch.column("part").to_numpy()
+            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
+            for s, e in zip(starts, [*starts[1:], len(part)]):
+                if held and held[-1].column("part")[0].as_py() != part[s]:
+                    yield from pack_part(held)
+                    held = []
+                held.append(batch.slice(s, e - s))
+        if held:
+            yield from pack_part(held)
 
     return run
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> DataFrame:
     """``pieces`` with sequence_id and offset. The tokens of ``pieces`` should already be written down."""
+    number = F.monotonically_increasing_id()
     items = pieces.select(
         *[f.split()[0] for f in PIECES.split(", ")],
-        F.concat_ws(
-            "-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", F.monotonically_increasing_id()
-        ).alias("bin"),
+        number.alias("n"),
+        F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "piece", number).alias("bin"),
         F.col("length").alias("used"),
         F.lit(0).alias("offset"),
     )
-    total = pieces.count()
-    # Each partition packs what it reads first; later rounds gather the underfull bins of several.
-    now = durable(items.withColumn("part", F.spark_partition_id()).mapInArrow(_pack_round(capacity, 0, "part"), PLACED))
-    done = [now.where(F.col("used") >= capacity - slack)]
-    open_bins = now.where(F.col("used") < capacity - slack)
-    parts, round_no, left = max(1, pieces.rdd.getNumPartitions()), 0, total
-    while parts > 1:
-        round_no += 1
-        bins = open_bins.select("bin").distinct().count()
-        if not bins:
-            break
-        fewest = -(-bins // ROUND_ITEMS)
-        if fewest >= parts or (round_no > 1 and bins >= left and fewest > 1):
-            break
-        parts, left = max(fewest, parts // FAN_IN, 1), bins
+    parts, round_no, done = max(1, -(-pieces.count() // ROUND_ITEMS)), 0, []
+    deal, left, open_bins = F.col("n"), None, items
+    while True:
         now = durable(
-            open_bins.withColumn("part", F.pmod(F.xxhash64("bin", F.lit(round_no)), F.lit(parts)).cast("int"))
+            open_bins.withColumn("part", F.pmod(deal, F.lit(parts)).cast("int"))
+            .drop("n")
             .repartition(parts, "part")
             .sortWithinPartitions("part")
-            .mapInArrow(_by_part(_pack_round(capacity, round_no, "part")), PLACED)
+            .mapInArrow(_pack_round(capacity, round_no), PLACED)
         )
         done.append(now.where(F.col("used") >= capacity - slack))
         open_bins = now.where(F.col("used") < capacity - slack)
+        if parts == 1:
+            break
+        bins = open_bins.select("bin").distinct().count()
+        fewest = -(-bins // ROUND_ITEMS)
+        if not bins or (fewest > 1 and left is not None and bins >= left):
+            break
+        parts, left, round_no = min(parts, max(fewest, parts // FAN_IN, 1)), bins, round_no + 1
+        deal = F.xxhash64("bin", F.lit(round_no))
     placed = open_bins
     for d in done:
         placed = placed.unionByName(d)
     name = F.split("bin", "-")
     # Round, partition and number in one long: 8, 24 and 31 bits.
-    sequence = (
-        F.shiftleft(name[0].cast("long"), 55) + F.shiftleft(name[1].cast("long"), 31) + name[2].cast("long")
-    )
+    sequence = F.shiftleft(name[0].cast("long"), 55) + F.shiftleft(name[1].cast("long"), 31) + name[2].cast("long")
     return placed.select(
         "doc_id", "piece", "start", F.col("length").cast("long"), "ids_crc32", sequence.alias("sequence_id"), F.col("offset").cast("long")
     )
 
 
-def _by_part(pack_one):
-    """One call for each part, for a task may hold several."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            part = batch.column("part").to_numpy()
-            starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else []
-            for s, e in zip(starts, [*starts[1:], len(part)]):
-                if held and held[-1].column("part")[0].as_py() != part[s]:
-                    yield from pack_one(iter(held))
-                    held = []
-                held.append(batch.slice(s, e - s))
-        if held:
-            yield from pack_one(iter(held))
-
-    return run
-
-
 def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, **columns) -> DataFrame:
     return pack(durable(pieces_of(docs, capacity, tokenizer, **columns)), capacity)
 
