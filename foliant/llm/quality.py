@@ -74,6 +74,23 @@ def features(text: str | None) -> np.ndarray:
     ])
 
 
+def _pair_tree(g: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Leaf values by cell of the best tree that cuts one feature and then, on either side, the other."""
+    best, out = -1.0, np.zeros_like(g)
+    for a, b, turned in ((g, h, False), (g.T, h.T, True)):
+        for mid in range(1, a.shape[0]):
+            sides = [(rows, a[rows].sum(axis=0), b[rows].sum(axis=0)) for rows in (slice(0, mid), slice(mid, None))]
+            cuts = [_best_split(gs, hs, 0, len(gs)) for _, gs, hs in sides]
+            gain = sum(c[0] + gs.sum() ** 2 / (hs.sum() + 1) for c, (_, gs, hs) in zip(cuts, sides))
+            if gain > best:
+                best, values = gain, np.zeros_like(a)
+                for (_, at), (rows, gs, hs) in zip(cuts, sides):
+                    for cols in (slice(0, at), slice(at, None)):
+                        values[rows, cols] = gs[cols].sum() / (hs[cols].sum() + 1)
+                out = values.T if turned else values
+    return out
+
+
 @dataclass
 class AdditiveModel:
     """Cut points and lookup tables; ``raw`` adds one entry per table."""
@@ -162,14 +179,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> AdditiveModel:
             r, h = residuals()
             cell = coarse[i] * values.shape[1] + coarse[j]
             g, w = (np.bincount(cell, v, values.size).reshape(values.shape) for v in (r, h))
-            # Depth two: a cut of one feature, then one of the other on either side.
-            _, mid = _best_split(g.sum(axis=1), w.sum(axis=1), 0, values.shape[0])
-            step = np.zeros_like(values)
-            for rows in (slice(0, mid), slice(mid, None)):
-                gs, ws = g[rows].sum(axis=0), w[rows].sum(axis=0)
-                _, at = _best_split(gs, ws, 0, values.shape[1])
-                for cols in (slice(0, at), slice(at, None)):
-                    step[rows, cols] = RATE * gs[cols].sum() / (ws[cols].sum() + 1)
+            step = RATE * _pair_tree(g, w)
             values += step
             z += step.ravel()[cell]
     m.pairs = [(i, j, v) for (i, j), v in tables.items()]
