@@ -50,7 +50,7 @@ def inject_department(text: Column, department: Column, labels: tuple[str, ...]
 def markdown_structure(text: Column) -> Column:
     """Counts of lines, piped lines, images, page marks, headings and quote lines."""
     count = lambda p: F.coalesce(F.regexp_count(text, F.lit(p)), F.lit(0))
-    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n$", "")
+    body = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n\z", "")
     lines = F.when(F.coalesce(text, F.lit("")) == "", 0).otherwise(F.size(F.split(body, "\n")))
     return F.struct(
         lines.alias("lines"),
