@@ -42,6 +42,19 @@ def durable(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of an Arrow batch that carries whole texts; long texts make Spark end a batch earlier still.
+TEXT_BATCH_ROWS = 1000
+
+
+def text_batches(df: DataFrame) -> DataFrame:
+    """``df`` itself, with the session's Arrow batches held small: Python workers see one batch at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(df.sparkSession.conf.get(key))
+    if not 0 < now <= TEXT_BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(TEXT_BATCH_ROWS))
+    return df
+
+
 def require(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra ones can never clash with the operator's own."""
     missing = [c for c in columns if c not in df.columns]

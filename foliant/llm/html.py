@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, table
+from foliant.llm._shared import durable, require, table, text_batches
 
 #: Elements that never hold a page's main text.
 SKIP = frozenset("script style noscript template head title nav header footer aside form button select option textarea iframe svg canvas object dialog menu".split())
@@ -394,7 +394,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """(host, wrapper, mass): one wrapper per host, from all its pages."""
     rows = require(pages, url_col, html_col).select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     return (
-        rows.mapInArrow(_partial, WRAPPERS)
+        text_batches(rows).mapInArrow(_partial, WRAPPERS)
         .repartition("host")
         .sortWithinPartitions("host", "wrapper")
         .mapInArrow(_merged, WRAPPERS)
@@ -427,8 +427,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
     kind = rows.schema["page_id"].dataType.simpleString()
     return (
-        rows.join(holders, "host", "left")
-        .select("page_id", "url", "html", "holder")
+        text_batches(rows.join(holders, "host", "left").select("page_id", "url", "html", "holder"))
         .mapInArrow(_texts, f"page_id {kind}, url string, text string")
     )
 

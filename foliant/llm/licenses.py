@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import require, table
+from foliant.llm._shared import require, table, text_batches
 
 #: Short license notices as they are commonly written, by SPDX identifier, each with
 #: the words that set it apart.
@@ -163,7 +163,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, findings): one row per input row."""
     rows = require(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, findings {FINDINGS}")
+    return text_batches(rows).mapInArrow(_scan, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, findings {FINDINGS}")
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import require, table
+from foliant.llm._shared import durable, require, table
 
 RATIO = 0.1
 MIN_PAGES = 3
@@ -32,8 +32,8 @@ def _trimmed(line: Column) -> Column:
 
 
 def _address(line: Column) -> Column:
-    """128 bits of hash as one string of 16 bytes' worth, so that lines do not meet by chance."""
-    return F.concat(F.hex(F.xxhash64(line)), F.lit("-"), F.hex(F.xxhash64(F.lit(1), line)))
+    """128 bits of hash, so that different lines do not meet by chance."""
+    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
 
 
 def boilerplate_lines(
@@ -70,7 +70,8 @@ def drop_boilerplate(
     docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of each row's host taken out of its text; all other columns stay."""
-    found = boilerplate_lines(docs, ratio, min_pages, host_col, text_col).select(
+    # Written first: Spark then knows how small it is, and need not regroup the texts to find out.
+    found = durable(boilerplate_lines(docs, ratio, min_pages, host_col, text_col)).select(
         F.col("host").alias("__host"), F.col("lines").alias("__lines")
     )
     joined = docs.join(found, docs[host_col].eqNullSafe(F.col("__host")), "left")

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm._shared import require, table
+from foliant.llm._shared import require, table, text_batches
 
 ROW_BYTES = 192
 TILE = 64
@@ -214,4 +214,4 @@ OUT = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "me
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = require(table(spark, sf_dir, "documents"), "doc_id", "text")
     kinds = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string"
-    return docs.mapInArrow(_texts, kinds)
+    return text_batches(docs).mapInArrow(_texts, kinds)

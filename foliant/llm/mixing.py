@@ -4,16 +4,19 @@ Each source's share of the budget follows its weight, but never beyond ``max_epo
 the source holds; what a full source cannot take is shared among the others by weight. Documents
 are shuffled within their source by a hash of their id. An entry is one epoch of one document; its
 virtual finish time is its source's cumulative size up to and including it, divided by the
-source's target. Entries are cut into equal ranges of that time, summed per range, and kept in
-global order while their running sum stays within the budget.
-
-Running sums go through two levels (bucket totals, then places within a bucket), so no window
-holds a whole source or the whole table, however large one source is.
-
-Null texts have size 0, a null source is a source of its own (last in order), and rows with equal
-ids are ordered by their size, so that reruns agree. Sources without words get target 0. Entries
-of size 0 ride along with the document before them. An empty table gives an empty mix. Columns
-other than id, text and source are ignored.
+source's target. In the global order of finish times (then epoch, hash, id, size), entries are taken
+while their running sum stays within the budget.
+
+Finish times grow along a source's own order, so what the mix takes of a source is a prefix of that
+order: one cut a source describes the whole mix, and documents are held against it where they lie.
+Running sums go through two levels (bucket totals, then places within a bucket), so no window holds
+a whole source, however large one is; of the global order only the range of finish times in which
+the budget ends is put in full order.
+
+Null texts have size 0, and a null source is a source of its own (last in order). Rows with equal id
+and size are taken or left together. Sources without words get target 0 and are not taken; other
+entries of size 0 go with the document before them. Reruns agree. An empty table gives an empty mix.
+Columns other than id, text and source are ignored.
 """
 
 from __future__ import annotations
@@ -25,8 +28,12 @@ from foliant.llm._shared import durable, require, table, word_count
 
 WEIGHTS = (1, 2, 3)
 MAX_EPOCHS = 3
-#: Rows that one window partition of the running sums holds, about.
+#: Least rows of a bucket of the running sums; large sources get buckets of about the root of their rows.
 BUCKET_ROWS = 256
+#: Most ranges of finish time that are told apart before the one where the budget ends is put in order.
+MOST_CELLS = 65_536
+#: A source's own order.
+OWN_ORDER = ("shuffled", "doc_id", "size")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -58,15 +65,15 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     )
 
 
-def _bucketed_sum(df: DataFrame, group: list[str], bucket: str, order: list[Column], value: str) -> DataFrame:
-    """``df`` with ``running``: the sum of ``value`` up to each row, by bucket and then ``order``."""
+def _bucketed_sum(df: DataFrame, group: list[str], bucket: str, order: list[str], value: str) -> DataFrame:
+    """``df`` with ``running``: the sum of ``value`` up to each row and its peers, by bucket and then ``order``."""
     totals = df.groupBy(*group, bucket).agg(F.sum(value).alias("bucket_total"))
     before = Window.partitionBy(*(group or [F.lit(1)])).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(
         *(F.col(g).alias(f"o_{g}") for g in [*group, bucket]),
         F.coalesce(F.sum("bucket_total").over(before), F.lit(0)).alias("offset"),
     )
-    within = Window.partitionBy(*group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy(*group, bucket).orderBy(*order)
     same = F.lit(True)
     for g in [*group, bucket]:
         same = same & F.col(g).eqNullSafe(F.col(f"o_{g}"))
@@ -78,84 +85,107 @@ def _bucketed_sum(df: DataFrame, group: list[str], bucket: str, order: list[Colu
     )
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights: tuple[int, ...] = WEIGHTS,
-    max_epochs: int = MAX_EPOCHS,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    source_col: str = "source",
-) -> DataFrame:
-    """(doc_id, source, size, source_size, target, epochs): one row per input row.
-
-    ``epochs`` is how often the mix takes the document. The order of the mix itself is given by
-    :func:`mix_order`.
-    """
-    entries, sizes = _entries(docs, weights, max_epochs, id_col, text_col, source_col)
-    taken = _kept(entries).groupBy("row_key").agg(F.count(F.lit(1)).alias("epochs"))
-    return (
-        sizes.join(taken, "row_key", "left")
-        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("epochs", F.lit(0)).alias("epochs"))
-    )
-
-
-def mix_order(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: (doc_id, epoch, finish, place), range-sorted by virtual finish time."""
-    args = {"weights": WEIGHTS, "max_epochs": MAX_EPOCHS, "id_col": "doc_id", "text_col": "text", "source_col": "source"}
-    entries, _ = _entries(docs, *(options.get(k, v) for k, v in args.items()))
-    return (
-        _kept(entries)
-        .select("doc_id", "epoch", "finish", F.col("running").alias("place"))
-        .repartitionByRange("finish", "place", "doc_id")
-        .sortWithinPartitions("finish", "place", "doc_id")
-    )
+def _shuffled(doc_id: Column) -> Column:
+    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-def _entries(docs, weights, max_epochs, id_col, text_col, source_col):
+def _placed(docs: DataFrame, weights, max_epochs: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """(doc_id, source, size, shuffled, source_size, target, upto): ``upto`` is the cumulative size in the source's order."""
     sizes = durable(
         require(docs, id_col, text_col, source_col).select(
             F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size")
         )
-    ).withColumn("shuffled", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    targets = source_targets(sizes, weights, max_epochs)
-    t = targets.select(F.col("source").alias("t_source"), "source_size", "docs", "target")
+    ).withColumn("shuffled", _shuffled(F.col("doc_id")))
+    t = source_targets(sizes, weights, max_epochs).select(F.col("source").alias("t_source"), "source_size", "docs", "target")
     placed = sizes.join(t, F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    # The first 7 hex digits of the hash as a fraction give the bucket; more documents, more buckets.
+    # The first 7 hex digits of the hash as a fraction give the bucket.
     fraction = F.conv(F.substring("shuffled", 1, 7), 16, 10).cast("double") / float(16**7)
-    buckets = F.ceil(F.col("docs") / BUCKET_ROWS)
+    buckets = F.ceil(F.col("docs") / F.greatest(F.lit(BUCKET_ROWS), F.sqrt("docs")))
     placed = placed.withColumn("bucket", F.floor(fraction * buckets))
-    order = [F.col("shuffled"), F.col("doc_id"), F.col("size")]
-    within = _bucketed_sum(placed, ["source"], "bucket", order, "size").drop("bucket")
-    # Equal ids have equal hashes; their rows are told apart by a running number.
-    twin = F.row_number().over(Window.partitionBy("shuffled", "doc_id").orderBy("source", "running", "size"))
-    keyed = durable(
-        within.withColumn("row_key", F.concat_ws("#", "shuffled", twin.cast("string"))).withColumnRenamed("running", "upto")
-    )
-    last = F.least(F.lit(max_epochs - 1), F.floor((F.col("target") / F.col("source_size"))).cast("int"))
-    entries = (
-        keyed.where(F.col("target") > 0)
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
-        .withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))
-    )
-    return entries, keyed
+    summed = _bucketed_sum(placed, ["source"], "bucket", list(OWN_ORDER), "size")
+    return durable(summed.withColumnRenamed("running", "upto").drop("bucket", "docs"))
 
 
-def _kept(entries: DataFrame) -> DataFrame:
-    """Entries whose place in the global order of finish times lies within the total budget.
+def _entries(placed: DataFrame, max_epochs: int) -> DataFrame:
+    last = F.least(F.lit(max_epochs - 1), F.floor(F.col("target") / F.col("source_size")).cast("int"))
+    entries = placed.where(F.col("target") > 0).withColumn("epoch", F.explode(F.sequence(F.lit(0), last)))
+    return entries.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("upto")) / F.col("target"))
 
-    Sizes of the ranges of finish time follow from the number of entries. Targets add up to the
-    size of all documents, so the cut lies at a finish time of about 1.
-    """
+
+def _taken(entries: DataFrame) -> DataFrame:
+    """The entries that the mix takes."""
     per_source = entries.groupBy("source").agg(
         F.count(F.lit(1)).alias("n"), F.max("finish").alias("top"), F.max("target").alias("target")
     )
     n, top, total = per_source.agg(F.coalesce(F.sum("n"), F.lit(0)), F.max("top"), F.sum("target")).first()
     if not n:
-        return entries.withColumn("running", F.col("upto"))
-    cells = max(1, -(-n // BUCKET_ROWS))
+        return entries
+    budget, cells = int(total + 0.5), min(MOST_CELLS, -(-n // BUCKET_ROWS))
     ranged = entries.withColumn("cell", F.floor(F.col("finish") / F.lit(float(top)) * F.lit(float(cells))))
-    order = [F.col("finish"), F.col("shuffled"), F.col("epoch"), F.col("row_key")]
-    return _bucketed_sum(ranged, [], "cell", order, "size").where(F.col("running") <= F.floor(F.lit(total) + 0.5))
+    upto = F.sum("t").over(Window.orderBy("cell"))
+    ends = ranged.groupBy("cell").agg(F.sum("size").alias("t")).select("cell", (upto - F.col("t")).alias("before"), upto.alias("after"))
+    at = ends.where(F.col("after") > budget).orderBy("cell").first()
+    if at is None:
+        return entries
+    in_order = Window.partitionBy("cell").orderBy("finish", "epoch", *OWN_ORDER)
+    last = ranged.where(F.col("cell") == at["cell"]).withColumn("running", F.lit(at["before"]) + F.sum("size").over(in_order))
+    return ranged.where(F.col("cell") < at["cell"]).drop("cell").unionByName(last.where(F.col("running") <= budget).drop("cell", "running"))
+
+
+def _cuts(placed: DataFrame, max_epochs: int) -> DataFrame:
+    """(c_source, cut): the last entry that the mix takes of each source, as (epoch, shuffled, doc_id, size)."""
+    cut = F.max(F.struct("epoch", *OWN_ORDER)).alias("cut")
+    return _taken(_entries(placed, max_epochs)).groupBy(F.col("source").alias("c_source")).agg(cut)
+
+
+def _epochs(*own: Column) -> Column:
+    """How often a document with this place in its source's order is taken."""
+    key = F.struct(*(c.alias(n) for c, n in zip(own, OWN_ORDER)))
+    limit = F.struct(*(F.col(f"cut.{n}").alias(n) for n in OWN_ORDER))
+    return F.when(F.col("cut").isNull(), 0).otherwise(F.col("cut.epoch") + (key <= limit).cast("int"))
+
+
+def mix_sources(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """(doc_id, source, size, source_size, target, epochs): one row per input row, with how often the mix takes it."""
+    placed = _placed(docs, weights, max_epochs, id_col, text_col, source_col)
+    j = placed.join(_cuts(placed, max_epochs), F.col("source").eqNullSafe(F.col("c_source")), "left")
+    return j.select("doc_id", "source", "size", "source_size", "target", _epochs(*map(F.col, OWN_ORDER)).alias("epochs"))
+
+
+def mix_documents(
+    docs: DataFrame,
+    weights: tuple[int, ...] = WEIGHTS,
+    max_epochs: int = MAX_EPOCHS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+) -> DataFrame:
+    """The rows of ``docs`` with all their columns, each as often as the mix takes it. Texts stay where they are as long
+    as Spark broadcasts the cuts, of which there is one a source."""
+    placed = _placed(docs, weights, max_epochs, id_col, text_col, source_col)
+    cuts = durable(_cuts(placed, max_epochs)).select(F.col("c_source").alias("__source"), F.col("cut").alias("__cut"))
+    own = (_shuffled(F.col(id_col)), F.col(id_col), word_count(F.col(text_col)))
+    key = F.struct(*(c.alias(n) for c, n in zip(own, OWN_ORDER)))
+    limit = F.struct(*(F.col(f"__cut.{n}").alias(n) for n in OWN_ORDER))
+    times = F.col("__cut.epoch") + (key <= limit).cast("int")
+    j = docs.join(cuts, docs[source_col].eqNullSafe(F.col("__source")))
+    copies = j.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times))))
+    return copies.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def mix_order(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, **columns) -> DataFrame:
+    """The mix itself: (doc_id, epoch, finish), range-sorted by virtual finish time."""
+    names = {"id_col": "doc_id", "text_col": "text", "source_col": "source"} | columns
+    taken = _taken(_entries(_placed(docs, weights, max_epochs, **names), max_epochs))
+    order = ("finish", "epoch", *OWN_ORDER)
+    return taken.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "epoch", "finish")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +194,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLE = f"""
-with d as (select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
+with d as (select row_number() over () as rid, doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
     md5(coalesce(doc_id::varchar, '')) as shuffled from documents),
 p as (select source, sum(size)::bigint as source_size, count(*) as docs from d group by source),
 w as (select *, [{", ".join(map(str, WEIGHTS))}][((row_number() over (order by source asc nulls last) - 1) % {len(WEIGHTS)} + 1)] as weight,
@@ -175,13 +205,10 @@ l as (select *, (sum(source_size) over () - coalesce(sum(cap) over b, 0))::doubl
     from r window b as (order by ratio, source asc nulls last rows between unbounded preceding and 1 preceding)),
 v as (select min({{'ratio': ratio, 'own': own_level}}) filter (own_level <= ratio) as lv from l),
 t as (select source, source_size, least(cap::double, coalesce((select lv.own from v) * weight, cap)) as target from l),
-u as (select d.doc_id, d.source, d.size, d.shuffled, t.source_size, t.target, sum(d.size) over (partition by d.source
-      order by shuffled, d.doc_id, d.size rows unbounded preceding) as upto
+k as (select d.*, t.source_size, t.target, sum(d.size) over (partition by d.source order by shuffled, d.doc_id nulls first, d.size) as upto
     from d join t on d.source is not distinct from t.source),
-k as (select *, shuffled || '#' || row_number() over (partition by shuffled, doc_id order by source, upto, size) as row_key from u),
 e as (select *, unnest(range(0, 1 + least({MAX_EPOCHS - 1}, floor(target / source_size)::int))) as epoch from k where target > 0),
 f as (select *, (epoch * source_size + upto)::double / target as finish from e),
-g as (select row_key, size, sum(size) over (order by finish, shuffled, epoch, row_key rows unbounded preceding) as running from f),
-n as (select row_key, count(*) as epochs from g where running <= (select floor(sum(target) + 0.5) from t) group by row_key)
-select k.doc_id, k.size, k.source_size, k.target, (coalesce(n.epochs, 0) * k.size)::bigint as taken
-from k left join n using (row_key)"""
+g as (select rid, sum(size) over (order by finish, epoch, shuffled, doc_id nulls first, size) as running from f),
+n as (select rid, count(*) as epochs from g where running <= (select floor(sum(target) + 0.5) from t) group by rid)
+select k.doc_id, k.size, k.source_size, k.target, (coalesce(n.epochs, 0) * k.size)::bigint as taken from k left join n using (rid)"""

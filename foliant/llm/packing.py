@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, table
+from foliant.llm._shared import durable, require, table, text_batches
 
 CAPACITY = 2048
 END_ID = 0
@@ -134,7 +134,7 @@ def pieces_of(
     docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     rows = require(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_tokenise(capacity, tokenizer), PIECES)
+    return text_batches(rows).mapInArrow(_tokenise(capacity, tokenizer), PIECES)
 
 
 def _pack_round(capacity: int, round_no: int):

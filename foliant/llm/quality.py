@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import require, table
+from foliant.llm._shared import require, table, text_batches
 
 #: Most labelled rows that the driver fits on.
 MAX_LABELLED = 20_000
@@ -237,7 +237,7 @@ def score_quality(docs: DataFrame, model: AdditiveModel, id_col: str = "doc_id",
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return require(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, score double")
+    return text_batches(require(docs, id_col, text_col)).mapInArrow(run, f"`{id_col}` {kind}, score double")
 
 
 def keep_quality(docs: DataFrame, model: AdditiveModel, least: float = 0.5, text_col: str = "text") -> DataFrame:
@@ -247,7 +247,7 @@ def keep_quality(docs: DataFrame, model: AdditiveModel, least: float = 0.5, text
         for batch in batches:
             yield batch.filter(pa.array(_scores(batch, model, text_col) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return text_batches(docs).mapInArrow(run, docs.schema)
 
 
 def op8_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:

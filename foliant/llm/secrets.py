@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, table
+from foliant.llm._shared import durable, require, table, text_batches
 
 RULE_VERSION = 1
 
@@ -122,7 +122,7 @@ def scan_unseen(
         F.sha2("text", 256) == F.col("unseen_blob")
     )
     return (
-        picked.select(F.col("unseen_blob").alias("blob"), "text")
+        text_batches(picked.select(F.col("unseen_blob").alias("blob"), "text"))
         .mapInArrow(_scan, "blob string, findings array<struct<kind:string,start:int,end:int>>")
         .dropDuplicates(["blob"])
         .select("blob", F.lit(rule_version).alias("rule_version"), "findings")

@@ -31,7 +31,7 @@ def brute(rows, targets, sizes):
         for h, d, n in docs:
             upto += n
             if t > 0:
-                entries += [((e * sizes[s] + upto) / t, h, e, d, n) for e in range(1 + min(2, int(t // sizes[s])))]
+                entries += [((e * sizes[s] + upto) / t, e, h, d, n) for e in range(1 + min(2, int(t // sizes[s])))]
     run, taken = 0, {d: 0 for d, _, _ in rows}
     for _, _, _, d, n in sorted(entries):
         run += n
@@ -66,8 +66,24 @@ def test_edges(spark):
     assert M.mix_sources(df.where("source = 'b'")).first().epochs == 0
 
 
+def test_documents_come_as_often_as_the_mix_takes_them(spark):
+    rng = random.Random(9)
+    rows = [(i, "w " * rng.randint(0, 30), rng.choice(["a", "a", "a", "b", None]), "clash") for i in range(400)] + [(7, "w w", "a", "clash")] * 3
+    df = spark.createDataFrame(rows, DDL)
+    want, got = {}, {}
+    for r in M.mix_sources(df).collect():
+        want[r.doc_id, r.size] = want.get((r.doc_id, r.size), 0) + r.epochs
+    out = M.mix_documents(df)
+    assert out.columns == df.columns
+    for r in out.collect():
+        key = (r.doc_id, len(r.text.split()))
+        got[key] = got.get(key, 0) + 1
+    assert got == {k: n for k, n in want.items() if n}
+
+
 def test_order_is_by_finish_time(spark):
     df = spark.createDataFrame([(i, "w " * (i % 7 + 1), "ab"[i % 2], "") for i in range(200)], DDL)
     rows = M.mix_order(df).collect()
     assert [r.finish for r in rows] == sorted(r.finish for r in rows)
     assert rows == M.mix_order(df).collect()
+    assert len(rows) == sum(r.epochs for r in M.mix_sources(df).collect())

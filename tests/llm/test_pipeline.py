@@ -1,4 +1,5 @@
 import corpus_pipeline as C
+from foliant.llm.mixing import mix_sources
 
 
 def test_stages_one_after_another(spark, sf_dir):
@@ -13,7 +14,7 @@ def test_stages_one_after_another(spark, sf_dir):
     groups = C.near_duplicates(lines).collect()
     assert sorted(r.doc_id for r in one.collect()) == sorted({r.component_id for r in groups})
     mixed = C.mix(spark, one, sf_dir)
-    want = {r.doc_id: r.epochs for r in C.mix_sources(one).collect()}
+    want = {r.doc_id: r.epochs for r in mix_sources(one).collect()}
     got = {}
     for r in mixed.collect():
         got[r.doc_id] = got.get(r.doc_id, 0) + 1
