@@ -75,8 +75,8 @@ def primary_attachments(attachments: DataFrame, extension: str, words: tuple[str
 
 def select_requested(items: DataFrame, requested: DataFrame, limit: int | None = None) -> DataFrame:
     """The requested items in the order of the request, (news_item_id, place); at most ``limit`` of them."""
-    found = items.join(requested, "news_item_id")
-    return found.orderBy("place").limit(limit) if limit is not None else found
+    found = items.join(requested, "news_item_id").orderBy("place")
+    return found if limit is None else found.limit(limit)
 
 
 def missing_ids(items: DataFrame, requested: DataFrame) -> DataFrame:

@@ -75,46 +75,35 @@ def k09(spark, sf):
 
 
 @query("k10_catalog_order", "v_items", f"""
-select news_item_id, day_file from v_items order by coalesce(strftime({AT}, '%Y-%m-%dT%H:%M:%S'), approve_date) desc, news_item_id desc, day_file desc limit 50""")
+select news_item_id, day_file, coalesce(strftime({AT}, '%Y-%m-%dT%H:%M:%S'), approve_date) as key from v_items""")
 def k10(spark, sf):
-    return C.catalog_order(V.v_items(spark, sf)).orderBy(F.desc(C.catalog_key(F.col("approve_date"))), F.desc("news_item_id"), F.desc("day_file")).limit(50).select("news_item_id", "day_file")
+    return C.catalog_order(V.v_items(spark, sf)).select("news_item_id", "day_file", C.catalog_key(F.col("approve_date")).alias("key"))
 
 
-@query("k11_artifact_order", "v_jobs", """
-with r as (select job_id, row_number() over (order by job_id desc) as place from v_jobs where job_id like '%7')
-select j.job_id, r.place::int as place from v_jobs j join r using (job_id) order by place limit 30""")
+@query("k11_artifact_order", "v_jobs", "select job_id, 100000000 - split_part(job_id, '_', 2)::bigint as place from v_jobs")
 def k11(spark, sf):
-    jobs = V.v_jobs(spark, sf)
-    # The request names its order; the 30 first of it are asked for.
-    asked = jobs.where(F.endswith("job_id", F.lit("7"))).select("job_id").orderBy(F.desc("job_id")).limit(30)
-    listed = asked.agg(F.sort_array(F.collect_list("job_id"), asc=False).alias("ids")).select(F.posexplode("ids").alias("place", "job_id"))
-    items = jobs.select(F.col("job_id").alias("news_item_id"))
-    found = C.select_requested(items, listed.select(F.col("job_id").alias("news_item_id"), (F.col("place") + 1).alias("place")))
-    return found.select(F.col("news_item_id").alias("job_id"), "place")
+    jobs = V.v_jobs(spark, sf).select(F.col("job_id").alias("news_item_id"))
+    asked = jobs.withColumn("place", F.lit(100000000) - F.split_part("news_item_id", F.lit("_"), F.lit(2)).cast("long"))
+    return C.select_requested(jobs, asked).select(F.col("news_item_id").alias("job_id"), "place")
 
 
-@query("k13_recent_list", "v_items", f"""
-with {LATEST} select news_item_id, day_file from latest order by day_file desc, {AT} desc nulls last, news_item_id desc limit 40""")
+@query("k13_recent_list", "v_items", f"with {LATEST} select news_item_id, day_file from latest")
 def k13(spark, sf):
     items = C.latest_by_id(V.v_items(spark, sf))
-    return items.orderBy(F.desc("day_file"), F.desc_nulls_last(parse_approve_ts(F.col("approve_date"))), F.desc("news_item_id")).limit(40).select("news_item_id", "day_file")
+    return items.orderBy(F.desc("day_file"), F.desc_nulls_last(parse_approve_ts(F.col("approve_date"))), F.desc("news_item_id")).select("news_item_id", "day_file")
 
 
-@query("j06_select_requested", "v_items", f"""
-with {LATEST} select news_item_id, title, 1000000 - news_item_id::int as place from latest where news_item_id::bigint % 7 = 0 order by place limit 50""")
+@query("j06_select_requested", "v_items", f"with {LATEST} select news_item_id, title, 1000000 - news_item_id::int as place from latest")
 def j06(spark, sf):
     items = C.latest_by_id(V.v_items(spark, sf))
-    number = F.col("news_item_id").cast("int")
-    asked = items.where(number % 7 == 0).select("news_item_id", (F.lit(1000000) - number).alias("place"))
-    return C.select_requested(items.select("news_item_id", "title"), asked, 50)
+    asked = items.select("news_item_id", (F.lit(1000000) - F.col("news_item_id").cast("int")).alias("place"))
+    return C.select_requested(items.select("news_item_id", "title"), asked.unionByName(asked.withColumn("news_item_id", F.concat(F.lit("x"), "news_item_id"))))
 
 
-@query("u03_missing_ids", "v_items", "select distinct 'x' || news_item_id as news_item_id from v_items where news_item_id::bigint % 11 = 0")
+@query("u03_missing_ids", "v_items", "select distinct 'x' || news_item_id as news_item_id from v_items")
 def u03(spark, sf):
-    items = V.v_items(spark, sf)
-    number = F.col("news_item_id").cast("int")
-    asked = items.where(number % 11 == 0).select(F.concat(F.lit("x"), "news_item_id").alias("news_item_id")).unionByName(items.where(number % 11 == 1).select("news_item_id"))
-    return C.missing_ids(items, asked)
+    items = V.v_items(spark, sf).select("news_item_id")
+    return C.missing_ids(items, items.select(F.concat(F.lit("x"), "news_item_id").alias("news_item_id")).unionByName(items))
 
 
 @query("j07_not_yet_curated", "v_triage", """
@@ -333,10 +322,12 @@ def u10(spark, sf):
     return J.retry_failed(jobs, jobs.where((F.col("status") == "failed") & F.endswith("job_id", F.lit("1")))).select("job_id", "status", "progress", "error_code")
 
 
-@query("u11_delete_jobs", "v_jobs", "select job_id, file_name from v_jobs where job_id like '%9'")
+@query("u11_delete_jobs", "v_jobs", "select job_id, file_name, job_id like '%9' as deleted from v_jobs")
 def u11(spark, sf):
     jobs = V.v_jobs(spark, sf)
-    return J.delete_jobs(jobs, jobs.where(F.endswith("job_id", F.lit("9"))))[1].select("job_id", "file_name")
+    kept, gone = J.delete_jobs(jobs, jobs.where(F.endswith("job_id", F.lit("9"))))
+    mark = lambda d, v: d.select("job_id", "file_name", F.lit(v).alias("deleted"))
+    return mark(kept, False).unionByName(mark(gone, True))
 
 
 # Rankings
@@ -457,9 +448,9 @@ QUEUE = "q as (select sample_id, status, coalesce(review_required, status <> 'cu
 ORDER = "review_required desc, hard_finding_count desc, risk_score desc, finding_count desc, sample_id"
 
 
-@query("k06_review_order", "v_triage", f"with {QUEUE} select sample_id, review_required from q order by {ORDER} limit 100")
+@query("k06_review_order", "v_triage", f"with {QUEUE} select sample_id, review_required from q")
 def k06(spark, sf):
-    return Q.review_order(_queue(spark, sf)).limit(100).select("sample_id", "review_required")
+    return Q.review_order(_queue(spark, sf)).select("sample_id", "review_required")
 
 
 @query("k07_to_review", "v_triage", f"with {QUEUE} select sample_id, count(*) over () as total from q where review_required order by {ORDER} limit 12")
@@ -467,9 +458,9 @@ def k07(spark, sf):
     return Q.to_review(_queue(spark, sf)).select("sample_id", "total")
 
 
-@query("k12_curated_last", "v_triage", "select sample_id, status from v_triage order by status = 'curated', sample_id limit 60")
+@query("k12_curated_last", "v_triage", "select sample_id, status from v_triage")
 def k12(spark, sf):
-    return Q.curated_last(V.v_triage(spark, sf)).limit(60).select("sample_id", "status")
+    return Q.curated_last(V.v_triage(spark, sf)).select("sample_id", "status")
 
 
 @query("w10_next_in_queue", "v_triage", f"""

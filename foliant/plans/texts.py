@@ -29,12 +29,11 @@ def j01(spark, sf):
 
 @query("j02_merge_engines", ("v_overall", "v_items"), f"""
 with {LATEST}, m as (select news_item_id, approve_date, 'd' || lpad(news_item_id, 8, '0') as document_id from latest)
-select m.document_id, a.document_id is not null as a_available, b.document_id is not null as b_available, round(a.overall - b.overall, 6) as delta_overall
-from m left join v_overall a on a.document_id = m.document_id and a.engine = 'a' left join v_overall b on b.document_id = m.document_id and b.engine = 'b'
-order by {AT} desc nulls last, m.document_id desc limit 200""")
+select m.document_id, a.document_id is not null as a_available, b.document_id is not null as b_available, round(a.overall - b.overall, 6) + 0 as delta_overall
+from m left join v_overall a on a.document_id = m.document_id and a.engine = 'a' left join v_overall b on b.document_id = m.document_id and b.engine = 'b'""")
 def j02(spark, sf):
     manifest = C.latest_by_id(V.v_items(spark, sf)).select(F.concat(F.lit("d"), F.lpad("news_item_id", 8, "0")).alias("document_id"), "approve_date")
-    got = M.merge_engines(manifest, _overall(spark, sf, "a"), _overall(spark, sf, "b")).limit(200)
+    got = M.merge_engines(manifest, _overall(spark, sf, "a"), _overall(spark, sf, "b"))
     return got.select("document_id", "a_available", "b_available", F.round("delta_overall", 6).alias("delta_overall"))
 
 
@@ -84,7 +83,7 @@ def j08(spark, sf):
 _QUERY_SQL = "case news_item_id::bigint % 3 when 0 then title when 1 then array_to_string(string_split(title, ' ')[1:3], ' ') else array_to_string(list_reverse(string_split(title, ' ')[1:3]), ' ') end"
 _MATCH_SQL = rf"""
 with {LATEST}, i as (select news_item_id, {AT} as at_ts, {KEY.format("replace(replace(lower(trim(title)), 'ai', '인공지능'), 'a.i.', '인공지능')")} as t from latest),
-q0 as (select news_item_id as query_id, {_QUERY_SQL} as query from latest where news_item_id::bigint % 20 = 3),
+q0 as (select news_item_id as query_id, {_QUERY_SQL} as query from latest where news_item_id::bigint % 20 = 0),
 q1 as (select query_id, {KEY.format("replace(replace(lower(trim(query)), 'ai', '인공지능'), 'a.i.', '인공지능')")} as q from q0),
 q2 as (select *, replace(q, ' ', '') as qc, list_filter(regexp_split_to_array(q, '[\s()/-]+'), lambda x: len(x) >= 2 and x not in ('보도자료', '보도참고', '보도참고자료', '국정브리핑')) as kept from q1 where q <> ''),
 q as (select *, case when list_contains(kept, qc) then kept else list_append(kept, qc) end as toks from q2),
@@ -99,14 +98,14 @@ def j09(spark, sf):
     n = F.col("news_item_id").cast("int")
     words = F.slice(F.split("title", " "), 1, 3)
     text = F.when(n % 3 == 0, F.col("title")).when(n % 3 == 1, F.array_join(words, " ")).otherwise(F.array_join(F.reverse(words), " "))
-    queries = items.where(n % 20 == 3).select(F.col("news_item_id").alias("query_id"), text.alias("query"))
+    queries = items.where(n % 20 == 0).select(F.col("news_item_id").alias("query_id"), text.alias("query"))
     return M.best_titles(queries, items, 3).select("query_id", "news_item_id", "rank", F.col("place").cast("long").alias("place"))
 
 
 _SAMPLES_SQL = rf"""
 with {LATEST}, i as (select news_item_id, title, news_item_id::bigint as place, {AT}::date as day from latest),
 s as (select 's' || news_item_id as sample_id, case when place % 2 = 0 then title else 'other ' || place end as title, 'dir/' || strftime(day, '%y%m%d') || '_doc' || place || '.hwpx' as source, place, day
-  from i where day is not null and place % 4 < 3),
+  from i where day is not null),
 f as (select item_id::varchar as news_item_id, {COMPACT.format("regexp_replace(file_name, '(.)\\.[^.]*$', '\\1')")} as stem, {EXTENSION} as ext from v_attachments),
 c as (select s.sample_id, i.news_item_id, i.place, {COMPACT.format('s.title')} as a, {COMPACT.format('i.title')} as b, strftime(s.day, '%y%m%d') || 'doc' || s.place as src from s join i using (day)),
 g as (select c.sample_id, c.news_item_id, c.place, c.a, c.b, coalesce(sum(case when f.stem = c.src then 6 when f.stem <> '' and (contains(c.src, f.stem) or contains(f.stem, c.src)) then 4 else 0 end), 0) as fs,
@@ -123,7 +122,7 @@ def _samples(spark, sf):
     num = F.col("place").cast("string")
     title = F.when(F.col("place") % 2 == 0, F.col("title")).otherwise(F.concat(F.lit("other "), num))
     source = F.concat(F.lit("dir/"), day, F.lit("_doc"), num, F.lit(".hwpx"))
-    samples = items.where(day.isNotNull() & (F.col("place") % 4 < 3)).select(F.concat(F.lit("s"), "news_item_id").alias("sample_id"), title.alias("title"), source.alias("source"))
+    samples = items.where(day.isNotNull()).select(F.concat(F.lit("s"), "news_item_id").alias("sample_id"), title.alias("title"), source.alias("source"))
     files = V.v_attachments(spark, sf).select(F.col("item_id").cast("string").alias("news_item_id"), "file_name")
     return samples, items, files
 
@@ -161,12 +160,12 @@ def j13(spark, sf):
 
 @query("j16_example_texts", ("v_markdown", "v_pred"), """
 select m.doc_id, left(m.text, 80) as truth, coalesce(left(a.text, 80), '') as a, coalesce(left(b.text, 80), '') as b from v_markdown m left join v_pred a on a.doc_id = m.doc_id and a.engine = 'a'
-left join v_pred b on b.doc_id = m.doc_id and b.engine = 'b' where m.doc_id % 10 = 0""")
+left join v_pred b on b.doc_id = m.doc_id and b.engine = 'b'""")
 def j16(spark, sf):
     pred = V.v_pred(spark, sf)
     one = lambda e: pred.where(F.col("engine") == e)
     md = V.v_markdown(spark, sf)
-    return M.example_texts(md.where("doc_id % 10 = 0").select("doc_id"), {"truth": md, "a": one("a"), "b": one("b")}, 80)
+    return M.example_texts(md.select("doc_id"), {"truth": md, "a": one("a"), "b": one("b")}, 80)
 
 
 # Lines
