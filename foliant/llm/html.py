@@ -6,13 +6,19 @@ what both have stays, texts that differ become slots, and stretches that only on
 optional groups, after which repeats are folded again. A wrapper is thus a union-free regular
 expression over tags, slots, repeated and optional groups. Partitions fold their own pages first;
 the partial wrappers of a host are then aligned with each other in rounds, so no task ever reads all
-pages of a large host. Every page takes part; equal streams are aligned once.
+pages of a large host. Every page takes part.
+
+Texts enter the streams as hashes with a count of pages: an equal text at the same place of two
+pages stays and its counts are added, a differing one becomes a slot. A text that stayed on at least
+``LEAST_PAGES`` pages and on ``TEMPLATE_SHARE`` of the host's is the host's template.
 
 The wrapper tells where a host keeps its article: an ``article`` or ``main`` element if it has one,
-and otherwise the container whose slots held the most text, counted over all pages, outside of what
-is boilerplate by its element or by its class and id names. A page's text is taken from those
-containers without nested boilerplate. Pages whose own structure lacks the container fall back to
-their body.
+and otherwise the container whose slots held the most text, counted over all pages without template
+texts, outside of what is boilerplate by its element or by its class and id names. A page's stream is
+then matched to the wrapper, and its text is what fills the slots, optional and repeated groups of
+that container, without nested boilerplate. A page in which template texts outweigh what fills the
+slots is a near copy of its host's other pages and keeps all its text. Pages whose own structure lacks
+the container fall back to their body.
 
 Null html counts as empty, and an empty page has an empty text. Pages with a null url or without a
 host share the host "". Repeated rows give equal rows, rows with a null id are extracted like any
@@ -27,8 +33,10 @@ import json
 import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +53,8 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Levels of elements that a wrapper describes, and items of one element that it keeps in order.
 DEEP, WIDE = 48, 64
+#: Least pages, and least share of a host's pages, on which a text that never differs is its template.
+LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
 #: Blocks that hold text for the container around them.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dt dd".split())
 #: Opening one of these ends an open element of the same kind.
@@ -119,38 +129,88 @@ def walk(page: str) -> Iterator[tuple[str, list, str]]:
                     break
 
 
-# A wrapper is a list of items: "#" (a text slot), ["<", label, items] (an element), ["+", items] (a group that
-# repeats) and ["?", items] (a group that may be absent).
+# A wrapper is a list of items: "#" (a text slot), "=hash*pages*characters" (a text that stayed), ["<", label, items]
+# (an element), ["+", items] (a group that repeats) and ["?", items] (a group that may be absent).
+
+_LITERAL = re.compile(r'(?<!\\)"=[0-9a-f]+\*\d+\*\d+"')
+
+
+class Text(str):
+    """A text of one page's stream, with the numbers of the page's text tokens that it stands for."""
+
+    ids: tuple[int, ...] = ()
+
+    @classmethod
+    def of(cls, value: str, ids: tuple[int, ...]) -> Text:
+        out = cls(value)
+        out.ids = ids
+        return out
 
 
 def _key(item) -> str:
     return item if isinstance(item, str) else json.dumps(item, separators=(",", ":"))
 
 
+def _shape(item) -> str:
+    """An item's key with every text as a slot."""
+    return "#" if isinstance(item, str) else _LITERAL.sub('"#"', _key(item))
+
+
+def _text(left: str, right: str, pages: bool) -> str:
+    """What stands for two texts; counts are added for texts of different pages."""
+    value = "#"
+    if left[0] == right[0] == "=":
+        (h, n, c), (k, m, _) = left.split("*"), right.split("*")
+        if h == k:
+            value = f"{h}*{int(n) + int(m) if pages else max(int(n), int(m))}*{c}"
+    ids = getattr(left, "ids", ()) + getattr(right, "ids", ())
+    return Text.of(value, ids) if ids else value
+
+
+def _same(left: list, right: list, pages: bool) -> list:
+    """One list for two of one shape."""
+    out = []
+    for x, y in zip(left, right):
+        if isinstance(x, list):
+            out.append(_same(x, y, pages))
+        else:
+            out.append(_text(x, y, pages) if x[:1] in ("#", "=") and y[:1] in ("#", "=") else x)
+    return out
+
+
 def fold(items: list, widest: int = 12) -> list:
     """Neighbouring equal groups become one repeated group, the narrowest groups first."""
     for width in range(1, widest + 1):
         if len(items) < 2 * width:
             break
-        keys = [_key(x) for x in items]
-        out, i = [], 0
+        keys = [_shape(x) for x in items]
+        out, shapes, i = [], [], 0
         while i < len(items):
             group, j = keys[i : i + width], i + width
             while keys[j : j + width] == group:
                 j += width
             inner = items[i : i + width]
             if j > i + width:
+                for k in range(i + width, j, width):
+                    inner = _same(inner, items[k : k + width], False)
                 out.append(inner[0] if width == 1 and inner[0][0] == "+" else ["+", inner])
+                shapes.append(group if out[-1][1] is inner else None)
                 i = j
-            elif out and out[-1] == ["+", inner]:  # one more of a group that is known to repeat
+            elif out and out[-1][0] == "+" and (shapes[-1] or [_shape(x) for x in out[-1][1]]) == group:
+                out[-1] = ["+", _same(out[-1][1], inner, False)]  # one more of a group that is known to repeat
                 i = j
             else:
                 out.append(items[i])
+                shapes.append(None)
                 i += 1
         items = out
     return items if len(items) <= WIDE else squeeze(items)
 
 
+def _slots(items: list) -> list:
+    return json.loads(_LITERAL.sub('"#"', _key(items)))
+
+
 def squeeze(items: list) -> list:
     """Items in no regular order, as one group that repeats and may hold one of each kind."""
     kinds: dict[str, list] = {}
@@ -162,15 +222,27 @@ def squeeze(items: list) -> list:
             else:
                 kinds[_kind(x)] = _one(kinds[_kind(x)], x) if _kind(x) in kinds else x
 
-    add(items)
+    add(_slots(items))  # texts in no regular order have no place at which they could stay
     return [["+", [["?", [kinds[k]]] for k in sorted(kinds)]]]
 
 
-def skeleton(page: str) -> tuple[list, dict[str, int]]:
-    """A page's folded stream, and its characters of text by the path of the container that holds them."""
+def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
+    """A page's folded stream, and its characters of text by the path of the container that holds them.
+
+    With ``texts`` the stream tells its texts apart by hash; without, every text is a slot.
+    """
     root: list = []
     levels = [root]
     mass: dict[str, int] = {}
+    run: list[tuple[int, str]] = []
+    number = -1
+
+    def end_of_run() -> None:
+        if run:
+            whole = " ".join(entities.unescape("".join(t for _, t in run)).split())
+            value = f"={xxhash.xxh3_64_hexdigest(whole.encode('utf-8', 'surrogatepass'))}*1*{sum(len(t.strip()) for _, t in run)}"
+            levels[-1].append(Text.of(value, tuple(i for i, _ in run)))
+            run.clear()
 
     def close(levels: list) -> None:
         done = levels.pop()
@@ -179,10 +251,13 @@ def skeleton(page: str) -> tuple[list, dict[str, int]]:
 
     for kind, stack, value in walk(page):
         if kind == "text":
+            number += 1
             n = len(value.strip())
+            if texts and (n or run):
+                run.append((number, value))
             if not n:
                 continue
-            if levels[-1][-1:] != ["#"]:
+            if not texts and levels[-1][-1:] != ["#"]:
                 levels[-1].append("#")
             if not any(s[2] for s in stack):
                 path = [s[1] for s in stack if s[0] not in INLINE]
@@ -190,15 +265,20 @@ def skeleton(page: str) -> tuple[list, dict[str, int]]:
                     path.pop()  # the text counts for the container, not for the paragraph that holds it
                 mass["/".join(path)] = mass.get("/".join(path), 0) + n
         elif kind == "void" or stack[-1][0] in INLINE:
+            if run:
+                run.append((number, " " if kind == "void" else ""))
             continue
         elif kind == "open":
+            end_of_run()
             # What lies deeper belongs to the element at the last level that a wrapper describes.
             inner: list = [] if len(levels) < DEEP else levels[-1]
             if inner is not levels[-1]:
                 levels[-1].append(["<", stack[-1][1], inner])
             levels.append(inner)
         else:
+            end_of_run()
             close(levels)
+    end_of_run()
     while len(levels) > 1:
         close(levels)
     return fold(root), mass
@@ -206,8 +286,8 @@ def skeleton(page: str) -> tuple[list, dict[str, int]]:
 
 def _kind(item) -> str:
     """What an item is matched by: an element by its label, whether it repeats or not."""
-    if item == "#":
-        return item
+    if isinstance(item, str):
+        return "#"
     if item[0] == "<":
         return f"<{item[1]}"
     if item[0] == "+" and all(x[0] == "?" for x in item[1]):
@@ -217,8 +297,8 @@ def _kind(item) -> str:
 
 def _one(left, right):
     """The item that stands for two of one kind."""
-    if left == right:
-        return left
+    if isinstance(left, str):
+        return _text(left, right, True)
     if left[0] == "+" or right[0] == "+":
         a, b = (x[1] if x[0] == "+" else [x] for x in (left, right))
         return ["+", align(a, b)]
@@ -228,7 +308,7 @@ def _one(left, right):
 def align(left: list, right: list) -> list:
     """One list for both: items of one kind stay and are aligned inside, all others become optional."""
     if left == right:
-        return left
+        return _same(left, right, True)
 
     def strip(items):  # an optional group is matched by what it holds
         return [(o, z) for y in items for o, z in ([(True, z) for z in y[1]] if y[0] == "?" else [(False, y)])]
@@ -260,16 +340,52 @@ def labels_of(items: list) -> Iterator[str]:
         if x[0] == "<":
             yield x[1]
             yield from labels_of(x[2])
-        elif x != "#":
+        elif not isinstance(x, str):
             yield from labels_of(x[1])
 
 
-def merge(wrappers: Iterator[tuple[list, dict[str, int]]]) -> tuple[list, dict[str, int]]:
-    """Fold many wrappers into one; equal ones are aligned once, in a fixed order."""
+def literals_of(items: list, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
+    """(labels around it, pages, characters) of every text that stayed."""
+    for x in items:
+        if isinstance(x, str):
+            if x[0] == "=":
+                _, pages, chars = x.split("*")
+                yield path, int(pages), int(chars)
+        else:
+            yield from literals_of(x[2], (*path, x[1])) if x[0] == "<" else literals_of(x[1], path)
+
+
+def template_texts(wrapper: list, page: list, pages: int) -> set[int]:
+    """Numbers of the page's texts that the wrapper holds as the host's template."""
+    least = max(LEAST_PAGES, TEMPLATE_SHARE * pages)
+    found: set[int] = set()
+
+    def strip(items):
+        return [z for y in items for z in (y[1] if y[0] == "?" else [y])]
+
+    def match(left: list, right: list) -> None:
+        a, b = strip(left), strip(right)
+        for m in SequenceMatcher(None, [_kind(x) for x in a], [_kind(x) for x in b], autojunk=False).get_matching_blocks():
+            for x, y in zip(a[m.a : m.a + m.size], b[m.b : m.b + m.size]):
+                if isinstance(x, str):
+                    if x[0] == y[0] == "=" and x.split("*")[0] == y.split("*")[0] and int(x.split("*")[1]) >= least:
+                        found.update(y.ids)
+                elif x[0] == "<" == y[0]:
+                    match(x[2], y[2])
+                else:
+                    match(*(z[1] if z[0] == "+" else [z] for z in (x, y)))
+
+    match(wrapper, page)
+    return found
+
+
+def merge(wrappers: Iterator[tuple[list, dict[str, int]]], once: bool = True) -> tuple[list, dict[str, int]]:
+    """Fold many wrappers into one, in a fixed order; equal ones are aligned once, or else each."""
     mass: dict[str, int] = {}
     distinct: dict[str, list] = {}
     for w, m in wrappers:
-        distinct[_key(w)] = w
+        k = _key(w)
+        distinct[k] = distinct[k] if once and k in distinct else _same(distinct[k], w, True) if k in distinct else w
         for k, v in m.items():
             mass[k] = mass.get(k, 0) + v
     result: list | None = None
@@ -278,8 +394,22 @@ def merge(wrappers: Iterator[tuple[list, dict[str, int]]]) -> tuple[list, dict[s
     return result or [], mass
 
 
-def container(wrapper: list, mass: dict[str, int]) -> str:
+def slot_mass(wrapper: list, mass: dict[str, int], pages: int) -> dict[str, int]:
+    """``mass`` without the host's template texts."""
+    left = dict(mass)
+    for path, n, chars in literals_of(wrapper):
+        if n >= max(LEAST_PAGES, TEMPLATE_SHARE * pages):
+            if path and path[-1].split(".")[0] in LEAVES:
+                path = path[:-1]
+            k = "/".join(path)
+            if k in left:
+                left[k] = max(0, left[k] - n * chars)
+    return left if any(left.values()) else mass
+
+
+def container(wrapper: list, mass: dict[str, int], pages: int = 0) -> str:
     """Label of the element that holds the host's articles, or "" for the whole body."""
+    mass = slot_mass(wrapper, mass, pages)
     labels = set(labels_of(wrapper))
     for wanted in ("article", "main"):
         own = {x for x in labels if x.split(".")[0] == wanted and not is_boilerplate(wanted, x.replace(".", " "))}
@@ -292,22 +422,36 @@ def container(wrapper: list, mass: dict[str, int]) -> str:
     return "" if best.split(".")[0] in ("html", "body", "") else best
 
 
-def main_text(page: str | None, holder: str) -> str:
-    """The page's text inside ``holder``, or inside its body where the page has no such element."""
+def main_text(page: str | None, holder: str, wrapper: list | None = None, pages: int = 0) -> str:
+    """The page's text inside ``holder``, or inside its body where the page has no such element.
+
+    With the wrapper of a host of ``pages`` pages, template texts are left out.
+    """
     page = page or ""
-    blocks, found = _blocks(page, holder)
+    dropped = template_texts(wrapper, skeleton(page, True)[0], pages) if wrapper and pages >= LEAST_PAGES else set()
+    blocks, found, kept, constant = _blocks(page, holder, dropped)
     if holder and not found:
-        blocks, _ = _blocks(page, "")
+        holder = ""
+        blocks, _, kept, constant = _blocks(page, "", dropped)
+    if constant > kept:
+        blocks = _blocks(page, holder)[0]
     joined = (" ".join(entities.unescape(b).split()) for b in blocks)
     return " ".join(b for b in joined if b)
 
 
-def _blocks(page: str, holder: str) -> tuple[list[str], bool]:
+def _blocks(page: str, holder: str, dropped: set[int] = frozenset()) -> tuple[list[str], bool, int, int]:
+    """(blocks of text, whether ``holder`` occurs, characters that are kept and that are dropped)."""
     blocks, now, found = [], [], False
+    number, kept, constant = -1, 0, 0
     for kind, stack, value in walk(page):
         if kind == "text":
+            number += 1
             if any(s[2] for s in stack) or (holder and not any(s[1] == holder for s in stack)):
                 continue
+            if number in dropped:
+                constant += len(value.strip())
+                continue
+            kept += len(value.strip())
             now.append(value)
         elif kind == "void":
             now.append(" ")
@@ -318,10 +462,10 @@ def _blocks(page: str, holder: str) -> tuple[list[str], bool]:
                 blocks.append("".join(now))
                 now = []
     blocks.append("".join(now))
-    return blocks, found
+    return blocks, found, kept, constant
 
 
-WRAPPERS = "host string, wrapper string, mass map<string,long>"
+WRAPPERS = "host string, wrapper string, mass map<string,long>, pages long"
 
 
 def _host(url):
@@ -330,68 +474,66 @@ def _host(url):
 
 def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One wrapper per host for what this task reads, sent off whenever many have been gathered."""
-    held: dict[str, tuple[list, dict[str, int]]] = {}
-    known: dict[tuple[str, str], None] = {}
+    held: dict[str, tuple[list, dict[str, int], int]] = {}
 
     def out() -> pa.RecordBatch:
-        rows = list(held.items())
+        rows = [(h, *x) for h, x in held.items()]
         held.clear()
-        known.clear()
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([h for h, _ in rows]),
-                pa.array([json.dumps(w) for _, (w, _) in rows]),
-                pa.array([list(m.items()) for _, (_, m) in rows], pa.map_(pa.string(), pa.int64())),
-            ],
-            ["host", "wrapper", "mass"],
-        )
+        return _wrapper_batch(rows)
 
     for batch in batches:
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            items, mass = skeleton(page or "")
-            seen = (host, _key(items))
+            items, mass = skeleton(page or "", True)
+            items = json.loads(json.dumps(items))  # without the numbers of the page's texts
             if host not in held:
-                held[host] = (items, dict(mass))
+                held[host] = (items, dict(mass), 1)
             else:
-                wrapper, total = held[host]
+                wrapper, total, n = held[host]
                 for k, v in mass.items():
                     total[k] = total.get(k, 0) + v
-                if seen not in known:
-                    held[host] = (align(wrapper, items), total)
-            known[seen] = None
-        if len(held) > 5000 or len(known) > 50_000:
+                held[host] = (align(wrapper, items), total, n + 1)
+        if len(held) > 5000:
             yield out()
     if held:
         yield out()
 
 
+def _wrapper_batch(rows: list[tuple[str, list, dict[str, int], int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array([h for h, *_ in rows], pa.string()),
+            pa.array([json.dumps(w) for _, w, _, _ in rows], pa.string()),
+            pa.array([list(m.items()) for _, _, m, _ in rows], pa.map_(pa.string(), pa.int64())),
+            pa.array([n for *_, n in rows], pa.int64()),
+        ],
+        ["host", "wrapper", "mass", "pages"],
+    )
+
+
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Wrappers arrive in order of host."""
     held: tuple[str, list] | None = None
 
-    def out(host, rows):
-        w, m = merge(iter(rows))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([host]), pa.array([json.dumps(w)]), pa.array([list(m.items())], pa.map_(pa.string(), pa.int64()))],
-            ["host", "wrapper", "mass"],
-        )
+    def one(rows: list) -> tuple[list, dict[str, int], int]:
+        # Equal wrappers of different pages count for each of them.
+        return (*merge(((w, m) for w, m, _ in rows), False), sum(n for *_, n in rows))
 
     for batch in batches:
-        for host, w, m in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "mass"))):
+        for host, w, m, n in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "mass", "pages"))):
             if held and held[0] != host:
-                yield out(*held)
+                yield _wrapper_batch([(held[0], *one(held[1]))])
                 held = None
             if held is None:
                 held = (host, [])
-            held[1].append((json.loads(w), dict(m)))
+            held[1].append((json.loads(w), dict(m), n))
             if len(held[1]) >= 64:
-                held = (host, [merge(iter(held[1]))])
+                held = (host, [one(held[1])])
     if held:
-        yield out(*held)
+        yield _wrapper_batch([(held[0], *one(held[1]))])
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, wrapper, mass): one wrapper per host, from all its pages."""
+    """(host, wrapper, mass, pages): one wrapper per host, from all its pages."""
     rows = require(pages, url_col, html_col).select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     return (
         text_batches(rows).mapInArrow(_partial, WRAPPERS)
@@ -403,31 +545,38 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(batch.column("wrapper").to_pylist(), batch.column("mass").to_pylist())
+        rows = zip(*(batch.column(c).to_pylist() for c in ("wrapper", "mass", "pages")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array([container(json.loads(w), dict(m)) for w, m in rows], pa.string())], ["host", "holder"]
+            [
+                batch.column("host"),
+                pa.array([container(json.loads(w), dict(m), n) for w, m, n in rows], pa.string()),
+                batch.column("wrapper"),
+                batch.column("pages"),
+            ],
+            ["host", "holder", "wrapper", "pages"],
         )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = lru_cache(256)(lambda w: json.loads(w) if w else None)
     for batch in batches:
-        pages = zip(batch.column("html").to_pylist(), batch.column("holder").to_pylist())
+        pages = zip(*(batch.column(c).to_pylist() for c in ("html", "holder", "wrapper", "pages")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array([main_text(p, h or "") for p, h in pages], pa.string())],
+            [batch.column("page_id"), batch.column("url"), pa.array([main_text(p, h or "", known(w), n or 0) for p, h, w, n in pages], pa.string())],
             ["page_id", "url", "text"],
         )
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text): one row per page. Spark broadcasts the hosts' containers while they are few."""
+    """(page_id, url, text): one row per page. Spark broadcasts the hosts' wrappers while they are small."""
     pages = require(pages, id_col, url_col, html_col)
-    holders = durable(infer_wrappers(pages, url_col, html_col).mapInArrow(_containers, "host string, holder string"))
+    holders = durable(infer_wrappers(pages, url_col, html_col).mapInArrow(_containers, "host string, holder string, wrapper string, pages long"))
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host")
     )
     kind = rows.schema["page_id"].dataType.simpleString()
     return (
-        text_batches(rows.join(holders, "host", "left").select("page_id", "url", "html", "holder"))
+        text_batches(rows.join(holders, "host", "left").select("page_id", "url", "html", "holder", "wrapper", "pages"))
         .mapInArrow(_texts, f"page_id {kind}, url string, text string")
     )
 

@@ -74,3 +74,19 @@ def test_merging_is_the_same_in_any_order():
     pages = [f"<body><p>a</p>{x}<p>b</p></body>" for x in ("", "<h2>h</h2>", "<ul><li>1</li><li>2</li></ul>", "<h2>h</h2><ul><li>1</li></ul>")]
     one = H.merge(H.skeleton(p) for p in pages)
     assert one == H.merge(H.skeleton(p) for p in reversed(pages))
+
+
+def test_equal_texts_stay_and_differing_ones_become_slots(spark):
+    page = lambda i: f'<body><article><p>Sign up for our letter</p><h1>Title {i}</h1><p>{f"story {i} " * 9}</p><p>more {i * i}</p></article></body>'
+    a, b = (H.skeleton(page(i), True)[0] for i in (1, 2))
+    article = H.align(a, b)[0][2][0][2]
+    assert article[0][2][0].startswith("=") and "*2*" in article[0][2][0] and article[1][2] == ["#"]
+    df = spark.createDataFrame([(i, "http://h.example/x", page(i)) for i in range(12)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(df).collect()}
+    assert got == {i: f"Title {i} " + f"story {i} " * 9 + f"more {i * i}" for i in range(12)}
+
+
+def test_near_copies_keep_their_text(spark):
+    rows = [(i, "http://h.example/x", f"<article><p>{'one long story ' * 9}</p><h2>copy {i}</h2></article>") for i in range(5)]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: "one long story " * 9 + f"copy {i}" for i in range(5)}
