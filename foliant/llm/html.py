@@ -62,7 +62,8 @@ CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
-_WORDS = re.compile(r"[A-Za-z]+")
+#: Elements that no name makes boilerplate.
+HOLDERS = frozenset(("html", "body", "main", "article"))
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -91,16 +92,21 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def is_boilerplate(element: str, names: str) -> bool:
-    return element in SKIP or bool(names and not SKIP_NAMES.isdisjoint(_WORDS.findall(names)))
+    return element in SKIP or named_boilerplate(element, names)
+
+
+def named_boilerplate(element: str, names: str) -> bool:
+    """Whether a whole class, id or role name marks the element."""
+    return element not in HOLDERS and not SKIP_NAMES.isdisjoint(names.split())
 
 
 def _label(element: str, names: str) -> str:
-    return f"{element}.{'.'.join(sorted(set(names.split())))}" if names else element
+    return f"{element}.{'.'.join(sorted(set(names.replace('/', '|').split())))}" if names else element
 
 
 def walk(page: str) -> Iterator[tuple[str, list, str]]:
-    """("open" | "close" | "text", open elements as (element, label, boilerplate), text)."""
-    stack: list[tuple[str, str, bool]] = []
+    """("open" | "close" | "text", open elements as (element, label, boilerplate by element, boilerplate by name), text)."""
+    stack: list[tuple[str, str, bool, bool]] = []
     for kind, value, names in tokens(page):
         if kind == "text":
             yield kind, stack, value
@@ -118,7 +124,7 @@ def walk(page: str) -> Iterator[tuple[str, list, str]]:
                         break
                     if stack[i][0] not in INLINE:
                         break
-            stack.append((value, _label(value, names), is_boilerplate(value, names)))
+            stack.append((value, _label(value, names), value in SKIP, named_boilerplate(value, names)))
             yield "open", stack, ""
         else:
             for i in range(len(stack) - 1, -1, -1):
@@ -229,6 +235,8 @@ def squeeze(items: list) -> list:
 def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
     """A page's folded stream, and its characters of text by the path of the container that holds them.
 
+    A label in a path starts with "!" if its names mark it as boilerplate.
+
     With ``texts`` the stream tells its texts apart by hash; without, every text is a slot.
     """
     root: list = []
@@ -260,7 +268,7 @@ def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
             if not texts and levels[-1][-1:] != ["#"]:
                 levels[-1].append("#")
             if not any(s[2] for s in stack):
-                path = [s[1] for s in stack if s[0] not in INLINE]
+                path = ["!" * s[3] + s[1] for s in stack if s[0] not in INLINE or s[3]]
                 if path and path[-1].split(".")[0] in LEAVES:
                     path.pop()  # the text counts for the container, not for the paragraph that holds it
                 mass["/".join(path)] = mass.get("/".join(path), 0) + n
@@ -397,22 +405,51 @@ def merge(wrappers: Iterator[tuple[list, dict[str, int]]], once: bool = True) ->
 def slot_mass(wrapper: list, mass: dict[str, int], pages: int) -> dict[str, int]:
     """``mass`` without the host's template texts."""
     left = dict(mass)
+    plain = {_plain_path(k): k for k in mass}
     for path, n, chars in literals_of(wrapper):
         if n >= max(LEAST_PAGES, TEMPLATE_SHARE * pages):
             if path and path[-1].split(".")[0] in LEAVES:
                 path = path[:-1]
-            k = "/".join(path)
-            if k in left:
+            k = plain.get("/".join(path))
+            if k is not None:
                 left[k] = max(0, left[k] - n * chars)
     return left if any(left.values()) else mass
 
 
+def _plain_path(path: str) -> str:
+    return "/".join(x.removeprefix("!") for x in path.split("/"))
+
+
+def overruled(mass: dict[str, int]) -> list[str]:
+    """Labels that names mark as boilerplate but that hold most of what fills the slots.
+
+    A host with text in an ``article`` or ``main`` needs none.
+    """
+    if any(v for k, v in mass.items() if "!" not in k and any(x.split(".")[0] in ("article", "main") for x in k.split("/"))):
+        return []
+    held: dict[str, int] = {}
+    for k, v in mass.items():
+        for x in {x for x in k.split("/") if x[:1] == "!"}:
+            held[x] = held.get(x, 0) + v
+    return sorted(x[1:] for x, v in held.items() if 2 * v > sum(mass.values()))
+
+
+def unmarked(mass: dict[str, int], free: list[str]) -> dict[str, int]:
+    """``mass`` outside of boilerplate, where the labels of ``free`` are none."""
+    out: dict[str, int] = {}
+    for k, v in mass.items():
+        if all(x[:1] != "!" or x[1:] in free for x in k.split("/")):
+            out[_plain_path(k)] = out.get(_plain_path(k), 0) + v
+    return out
+
+
 def container(wrapper: list, mass: dict[str, int], pages: int = 0) -> str:
     """Label of the element that holds the host's articles, or "" for the whole body."""
     mass = slot_mass(wrapper, mass, pages)
+    mass = unmarked(mass, overruled(mass))
     labels = set(labels_of(wrapper))
     for wanted in ("article", "main"):
-        own = {x for x in labels if x.split(".")[0] == wanted and not is_boilerplate(wanted, x.replace(".", " "))}
+        own = {x for x in labels if x.split(".")[0] == wanted}
         held = {x: sum(v for k, v in mass.items() if x in k.split("/")) for x in own}
         if any(held.values()):
             return max(sorted(held), key=held.get)
@@ -422,31 +459,32 @@ def container(wrapper: list, mass: dict[str, int], pages: int = 0) -> str:
     return "" if best.split(".")[0] in ("html", "body", "") else best
 
 
-def main_text(page: str | None, holder: str, wrapper: list | None = None, pages: int = 0) -> str:
+def main_text(page: str | None, holder: str, wrapper: list | None = None, pages: int = 0, free: list[str] = ()) -> str:
     """The page's text inside ``holder``, or inside its body where the page has no such element.
 
-    With the wrapper of a host of ``pages`` pages, template texts are left out.
+    With the wrapper of a host of ``pages`` pages, template texts are left out. Labels of ``free`` are no
+    boilerplate, whatever their names.
     """
     page = page or ""
     dropped = template_texts(wrapper, skeleton(page, True)[0], pages) if wrapper and pages >= LEAST_PAGES else set()
-    blocks, found, kept, constant = _blocks(page, holder, dropped)
+    blocks, found, kept, constant = _blocks(page, holder, dropped, free)
     if holder and not found:
         holder = ""
-        blocks, _, kept, constant = _blocks(page, "", dropped)
+        blocks, _, kept, constant = _blocks(page, "", dropped, free)
     if constant > kept:
-        blocks = _blocks(page, holder)[0]
+        blocks = _blocks(page, holder, free=free)[0]
     joined = (" ".join(entities.unescape(b).split()) for b in blocks)
     return " ".join(b for b in joined if b)
 
 
-def _blocks(page: str, holder: str, dropped: set[int] = frozenset()) -> tuple[list[str], bool, int, int]:
+def _blocks(page: str, holder: str, dropped: set[int] = frozenset(), free: list[str] = ()) -> tuple[list[str], bool, int, int]:
     """(blocks of text, whether ``holder`` occurs, characters that are kept and that are dropped)."""
     blocks, now, found = [], [], False
     number, kept, constant = -1, 0, 0
     for kind, stack, value in walk(page):
         if kind == "text":
             number += 1
-            if any(s[2] for s in stack) or (holder and not any(s[1] == holder for s in stack)):
+            if any(s[2] or (s[3] and s[1] not in free) for s in stack) or (holder and not any(s[1] == holder for s in stack)):
                 continue
             if number in dropped:
                 constant += len(value.strip())
@@ -545,24 +583,25 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in ("wrapper", "mass", "pages")))
+        rows = [(json.loads(w), dict(m), n) for w, m, n in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "mass", "pages")))]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("host"),
-                pa.array([container(json.loads(w), dict(m), n) for w, m, n in rows], pa.string()),
+                pa.array([container(w, m, n) for w, m, n in rows], pa.string()),
+                pa.array([overruled(slot_mass(w, m, n)) for w, m, n in rows], pa.list_(pa.string())),
                 batch.column("wrapper"),
                 batch.column("pages"),
             ],
-            ["host", "holder", "wrapper", "pages"],
+            ["host", "holder", "free", "wrapper", "pages"],
         )
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = lru_cache(256)(lambda w: json.loads(w) if w else None)
     for batch in batches:
-        pages = zip(*(batch.column(c).to_pylist() for c in ("html", "holder", "wrapper", "pages")))
+        pages = zip(*(batch.column(c).to_pylist() for c in ("html", "holder", "wrapper", "pages", "free")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array([main_text(p, h or "", known(w), n or 0) for p, h, w, n in pages], pa.string())],
+            [batch.column("page_id"), batch.column("url"), pa.array([main_text(p, h or "", known(w), n or 0, f or ()) for p, h, w, n, f in pages], pa.string())],
             ["page_id", "url", "text"],
         )
 
@@ -570,13 +609,13 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text): one row per page. Spark broadcasts the hosts' wrappers while they are small."""
     pages = require(pages, id_col, url_col, html_col)
-    holders = durable(infer_wrappers(pages, url_col, html_col).mapInArrow(_containers, "host string, holder string, wrapper string, pages long"))
+    holders = durable(infer_wrappers(pages, url_col, html_col).mapInArrow(_containers, "host string, holder string, free array<string>, wrapper string, pages long"))
     rows = pages.select(
         F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host")
     )
     kind = rows.schema["page_id"].dataType.simpleString()
     return (
-        text_batches(rows.join(holders, "host", "left").select("page_id", "url", "html", "holder", "wrapper", "pages"))
+        text_batches(rows.join(holders, "host", "left").select("page_id", "url", "html", "holder", "free", "wrapper", "pages"))
         .mapInArrow(_texts, f"page_id {kind}, url string, text string")
     )
 

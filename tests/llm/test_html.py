@@ -90,3 +90,12 @@ def test_near_copies_keep_their_text(spark):
     rows = [(i, "http://h.example/x", f"<article><p>{'one long story ' * 9}</p><h2>copy {i}</h2></article>") for i in range(5)]
     got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: "one long story " * 9 + f"copy {i}" for i in range(5)}
+
+
+def test_names_mark_boilerplate_as_whole_names_only(spark):
+    text = "long words of a story " * 5
+    page = lambda attr, i: f'<html><body class="single has-sidebar search"><{attr}><h1 id="how-to-share-photos">t{i}</h1><p>{text}{i}</p></{attr.split()[0]}><div class="share">x</div></body></html>'
+    opens = ('article class="post category-social-media comments-open"', 'main class="search"', "section class='social'")
+    rows = [(k * 10 + i, f"http://h{k}.example/", page(a, i)) for k, a in enumerate(opens) for i in range(4)]
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k * 10 + i: f"t{i} {text}{i}" for k in range(3) for i in range(4)}
