@@ -17,8 +17,12 @@ and otherwise the container whose slots held the most text, counted over all pag
 texts, outside of what is boilerplate by its element or by its class and id names. A page's stream is
 then matched to the wrapper, and its text is what fills the slots, optional and repeated groups of
 that container, without nested boilerplate. A page in which template texts outweigh what fills the
-slots is a near copy of its host's other pages and keeps all its text. Pages whose own structure lacks
-the container fall back to their body.
+slots is a near copy of its host's other pages and keeps all its text. A host may have several
+templates: every label under which its articles stand counts, and each page takes the one that holds
+most of its own text. Pages whose own structure lacks all containers fall back to their body.
+
+Labels are elements with their classes and roles, numbers in them generalised; ids are left out. A
+level with more labels than a wrapper keeps falls back to the elements' names.
 
 Null html counts as empty, and an empty page has an empty text. Pages with a null url or without a
 host share the host "". Repeated rows give equal rows, rows with a null id are extracted like any
@@ -53,15 +57,20 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Levels of elements that a wrapper describes, and items of one element that it keeps in order.
 DEEP, WIDE = 48, 64
+#: Paths of a host's containers that are told apart by their classes.
+MANY = 4096
 #: Least pages, and least share of a host's pages, on which a text that never differs is its template.
 LEAST_PAGES, TEMPLATE_SHARE = 3, 0.5
+#: Least share of the largest container's text at which another one is a container of articles, too.
+SUPPORT = 0.01
 #: Blocks that hold text for the container around them.
 LEAVES = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre td th tr dt dd".split())
 #: Opening one of these ends an open element of the same kind.
 CLOSES_ITSELF = frozenset("p li dt dd tr td th option".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.DOTALL)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_NAMES = re.compile(r"(?<![\w:.-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
+_DIGITS = re.compile(r"\d+")
 #: Elements that no name makes boilerplate.
 HOLDERS = frozenset(("html", "body", "main", "article"))
 
@@ -83,7 +92,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
         if m[1]:
             yield "close", name, ""
             continue
-        names = " ".join(next(filter(None, g), "") for g in _NAMES.findall(m[3])) if m[3] else ""
+        # An id is told from classes and roles by the sign before it.
+        found = [(a.lower() == "id", x) for a, *g in _NAMES.findall(m[3]) for x in next(filter(None, g), "").split()] if m[3] else []
+        names = " ".join(f"#{x}" if own else x.lstrip("#") for own, x in found)
         yield "open", name, names.lower()
         if name in RAW:
             close = re.compile(rf"</{name}\s*>", re.IGNORECASE).search(page, at)
@@ -97,11 +108,17 @@ def is_boilerplate(element: str, names: str) -> bool:
 
 def named_boilerplate(element: str, names: str) -> bool:
     """Whether a whole class, id or role name marks the element."""
-    return element not in HOLDERS and not SKIP_NAMES.isdisjoint(names.split())
+    return element not in HOLDERS and not SKIP_NAMES.isdisjoint(x.lstrip("#") for x in names.split())
 
 
 def _label(element: str, names: str) -> str:
-    return f"{element}.{'.'.join(sorted(set(names.replace('/', '|').split())))}" if names else element
+    classes = sorted({_DIGITS.sub("0", x) for x in names.replace("/", "|").split() if x[0] != "#"})
+    return f"{element}.{'.'.join(classes)}" if classes else element
+
+
+def _bare(label: str) -> str:
+    """The label of an element whatever its classes."""
+    return label.split(".")[0] + ".*"
 
 
 def walk(page: str) -> Iterator[tuple[str, list, str]]:
@@ -229,6 +246,9 @@ def squeeze(items: list) -> list:
                 kinds[_kind(x)] = _one(kinds[_kind(x)], x) if _kind(x) in kinds else x
 
     add(_slots(items))  # texts in no regular order have no place at which they could stay
+    if len(kinds) > WIDE:
+        some, kinds = list(kinds.values()), {}
+        add([["<", _bare(x[1]), x[2]] if x[0] == "<" else x for x in some])
     return [["+", [["?", [kinds[k]]] for k in sorted(kinds)]]]
 
 
@@ -292,6 +312,20 @@ def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
     return fold(root), mass
 
 
+def _add_mass(total: dict[str, int], mass: dict[str, int]) -> dict[str, int]:
+    """Adds ``mass`` to ``total``; where paths get too many, to those of the elements' names."""
+    for k, v in mass.items():
+        total[k] = total.get(k, 0) + v
+    if len(total) > MANY:
+        few: dict[str, int] = {}
+        for k, v in total.items():
+            k = "/".join(_bare(x) for x in k.split("/")) if k else k
+            few[k] = few.get(k, 0) + v
+        total.clear()
+        total.update(few)
+    return total
+
+
 def _kind(item) -> str:
     """What an item is matched by: an element by its label, whether it repeats or not."""
     if isinstance(item, str):
@@ -340,18 +374,11 @@ def align(left: list, right: list) -> list:
         else:
             add(True, [x for _, x in a[i:j]])
             add(True, [y for _, y in b[k:m]])
+    if sum(len(x[1]) if x[0] == "?" else 1 for x in out) > WIDE:
+        return squeeze(out)
     return fold(out)
 
 
-def labels_of(items: list) -> Iterator[str]:
-    for x in items:
-        if x[0] == "<":
-            yield x[1]
-            yield from labels_of(x[2])
-        elif not isinstance(x, str):
-            yield from labels_of(x[1])
-
-
 def literals_of(items: list, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
     """(labels around it, pages, characters) of every text that stayed."""
     for x in items:
@@ -394,14 +421,19 @@ def merge(wrappers: Iterator[tuple[list, dict[str, int]]], once: bool = True) ->
     for w, m in wrappers:
         k = _key(w)
         distinct[k] = distinct[k] if once and k in distinct else _same(distinct[k], w, True) if k in distinct else w
-        for k, v in m.items():
-            mass[k] = mass.get(k, 0) + v
+        _add_mass(mass, m)
     result: list | None = None
     for k in sorted(distinct, key=lambda k: (-len(k), k)):
         result = distinct[k] if result is None else align(result, distinct[k])
     return result or [], mass
 
 
+def has_template(wrapper: list, pages: int) -> bool:
+    """Whether any text outside of what is boilerplate by its element is the host's template."""
+    least = max(LEAST_PAGES, TEMPLATE_SHARE * pages)
+    return any(n >= least and SKIP.isdisjoint(x.split(".")[0] for x in path) for path, n, _ in literals_of(wrapper))
+
+
 def slot_mass(wrapper: list, mass: dict[str, int], pages: int) -> dict[str, int]:
     """``mass`` without the host's template texts."""
     left = dict(mass)
@@ -443,48 +475,92 @@ def unmarked(mass: dict[str, int], free: list[str]) -> dict[str, int]:
     return out
 
 
-def container(wrapper: list, mass: dict[str, int], pages: int = 0) -> str:
-    """Label of the element that holds the host's articles, or "" for the whole body."""
+def containers(wrapper: list, mass: dict[str, int], pages: int = 0) -> list[list[str]]:
+    """Labels of the elements that hold the host's articles, the preferred ones first.
+
+    Labels of one list are alternatives of which a page takes what it has: all of ``article``, then
+    all of ``main``, then the containers by what fills their slots, if that is at least ``SUPPORT`` of the
+    largest. Nothing means the whole body.
+    """
     mass = slot_mass(wrapper, mass, pages)
     mass = unmarked(mass, overruled(mass))
-    labels = set(labels_of(wrapper))
+    out = []
     for wanted in ("article", "main"):
-        own = {x for x in labels if x.split(".")[0] == wanted}
-        held = {x: sum(v for k, v in mass.items() if x in k.split("/")) for x in own}
-        if any(held.values()):
-            return max(sorted(held), key=held.get)
-    if not mass:
-        return ""
-    best = max(sorted(mass), key=mass.get).split("/")[-1]
-    return "" if best.split(".")[0] in ("html", "body", "") else best
+        own = {x for k, v in mass.items() if v for x in k.split("/") if x.split(".")[0] == wanted}
+        if own:
+            out.append(sorted(own))
+    if out or not mass:
+        return out
+    held: dict[str, int] = {}
+    for k, v in mass.items():
+        x = k.split("/")[-1]
+        held[x] = held.get(x, 0) + v
+    ranked = sorted(held, key=lambda x: (-held[x], x))
+    if ranked[0].split(".")[0] in ("html", "body", ""):
+        return []
+    return [[x] for x in ranked if held[x] >= SUPPORT * held[ranked[0]] and x.split(".")[0] not in ("html", "body", "")]
 
 
-def main_text(page: str | None, holder: str, wrapper: list | None = None, pages: int = 0, free: list[str] = ()) -> str:
-    """The page's text inside ``holder``, or inside its body where the page has no such element.
+def chosen(page: str, held: list[list[str]], dropped: set[int], free: list[str]) -> set[str]:
+    """The page's own container among those of its host."""
+    known = {x for some in held for x in some}
+    size: dict[str, int] = {}
+    whole, number = 0, -1
+    for kind, stack, value in walk(page):
+        if kind == "open":
+            for x in (stack[-1][1], _bare(stack[-1][1])):
+                if x in known:
+                    size.setdefault(x, 0)
+        elif kind == "text":
+            number += 1
+            n = len(value.strip())
+            if n and number not in dropped and not any(s[2] or (s[3] and s[1] not in free) for s in stack):
+                whole += n
+                for x in {y for s in stack for y in (s[1], _bare(s[1])) if y in known}:
+                    size[x] += n
+    for rank, some in enumerate(held):
+        own = [x for x in some if x in size]
+        if not own:
+            continue
+        best = max(own, key=size.get)
+        if best.split(".")[0] in ("article", "main"):
+            classes = set(best.split(".")[1:])
+            return {x for x in own if x == best or not classes.isdisjoint(x.split(".")[1:])}
+        # Any but a host's first container holds the article only of a page that keeps most of its text there.
+        if rank == 0 or 2 * size[best] >= whole:
+            return {best}
+    return set()
+
+
+def main_text(page: str | None, holder: str | list[list[str]], wrapper: list | None = None, pages: int = 0, free: list[str] = ()) -> str:
+    """The page's text inside ``holder`` (a label, or a host's containers), or inside its body where the page has no such element.
 
     With the wrapper of a host of ``pages`` pages, template texts are left out. Labels of ``free`` are no
     boilerplate, whatever their names.
     """
     page = page or ""
     dropped = template_texts(wrapper, skeleton(page, True)[0], pages) if wrapper and pages >= LEAST_PAGES else set()
-    blocks, found, kept, constant = _blocks(page, holder, dropped, free)
-    if holder and not found:
-        holder = ""
-        blocks, _, kept, constant = _blocks(page, "", dropped, free)
+    held = [[holder]] if isinstance(holder, str) and holder else holder or []
+    # A host's only container is tried at once.
+    own = set(held[0]) if len(held) == 1 and len(held[0]) == 1 else chosen(page, held, dropped, free)
+    blocks, kept, constant = _blocks(page, own, dropped, free)
+    if own and not kept + constant:
+        own = chosen(page, held, dropped, free)
+        blocks, kept, constant = _blocks(page, own, dropped, free)
     if constant > kept:
-        blocks = _blocks(page, holder, free=free)[0]
+        blocks = _blocks(page, own, free=free)[0]
     joined = (" ".join(entities.unescape(b).split()) for b in blocks)
     return " ".join(b for b in joined if b)
 
 
-def _blocks(page: str, holder: str, dropped: set[int] = frozenset(), free: list[str] = ()) -> tuple[list[str], bool, int, int]:
-    """(blocks of text, whether ``holder`` occurs, characters that are kept and that are dropped)."""
-    blocks, now, found = [], [], False
+def _blocks(page: str, own: set[str], dropped: set[int] = frozenset(), free: list[str] = ()) -> tuple[list[str], int, int]:
+    """(blocks of text inside the labels of ``own``, characters that are kept and that are dropped)."""
+    blocks, now = [], []
     number, kept, constant = -1, 0, 0
     for kind, stack, value in walk(page):
         if kind == "text":
             number += 1
-            if any(s[2] or (s[3] and s[1] not in free) for s in stack) or (holder and not any(s[1] == holder for s in stack)):
+            if any(s[2] or (s[3] and s[1] not in free) for s in stack) or (own and not any(s[1] in own or _bare(s[1]) in own for s in stack)):
                 continue
             if number in dropped:
                 constant += len(value.strip())
@@ -494,13 +570,11 @@ def _blocks(page: str, holder: str, dropped: set[int] = frozenset(), free: list[
         elif kind == "void":
             now.append(" ")
         else:
-            if kind == "open" and stack[-1][1] == holder:
-                found = True
             if stack[-1][0] not in INLINE and now:
                 blocks.append("".join(now))
                 now = []
     blocks.append("".join(now))
-    return blocks, found, kept, constant
+    return blocks, kept, constant
 
 
 WRAPPERS = "host string, wrapper string, mass map<string,long>, pages long"
@@ -527,9 +601,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 held[host] = (items, dict(mass), 1)
             else:
                 wrapper, total, n = held[host]
-                for k, v in mass.items():
-                    total[k] = total.get(k, 0) + v
-                held[host] = (align(wrapper, items), total, n + 1)
+                held[host] = (align(wrapper, items), _add_mass(total, mass), n + 1)
         if len(held) > 5000:
             yield out()
     if held:
@@ -587,7 +659,7 @@ def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("host"),
-                pa.array([container(w, m, n) for w, m, n in rows], pa.string()),
+                pa.array([json.dumps(containers(w, m, n)) for w, m, n in rows], pa.string()),
                 pa.array([overruled(slot_mass(w, m, n)) for w, m, n in rows], pa.list_(pa.string())),
                 batch.column("wrapper"),
                 batch.column("pages"),
@@ -597,11 +669,17 @@ def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known = lru_cache(256)(lambda w: json.loads(w) if w else None)
+    @lru_cache(256)
+    def wrapper(w: str | None, pages: int | None) -> list | None:
+        """The wrapper, if it leaves out any text."""
+        items = json.loads(w) if w else None
+        return items if items and has_template(items, pages) else None
+
+    holders = lru_cache(256)(lambda h: json.loads(h) if h else [])
     for batch in batches:
         pages = zip(*(batch.column(c).to_pylist() for c in ("html", "holder", "wrapper", "pages", "free")))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array([main_text(p, h or "", known(w), n or 0, f or ()) for p, h, w, n, f in pages], pa.string())],
+            [batch.column("page_id"), batch.column("url"), pa.array([main_text(p, holders(h), wrapper(w, n), n or 0, f or ()) for p, h, w, n, f in pages], pa.string())],
             ["page_id", "url", "text"],
         )
 

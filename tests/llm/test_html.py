@@ -99,3 +99,19 @@ def test_names_mark_boilerplate_as_whole_names_only(spark):
     rows = [(k * 10 + i, f"http://h{k}.example/", page(a, i)) for k, a in enumerate(opens) for i in range(4)]
     got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {k * 10 + i: f"t{i} {text}{i}" for k in range(3) for i in range(4)}
+
+
+def test_ids_and_templates_of_one_host(spark):
+    page = lambda i: f'<body><div class="top">bar {i}</div><article id="post-{i}" data-id="x{i}" class="{"post" if i % 2 else "news"} cat-{i}"><h1>T{i}</h1><p>{f"story {i} " * 9}</p></article></body>'
+    df = spark.createDataFrame([(i, "http://h.example/x", page(i)) for i in range(300)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract_text(df).collect()}
+    assert got == {i: f"T{i} " + f"story {i} " * 8 + f"story {i}" for i in range(300)}
+    assert len(H.infer_wrappers(df).first().wrapper) < 1000
+
+
+def test_labels_without_end_stay_bounded():
+    words = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    pages = [f'<body><article class="slug-{words(i)}"><p>story {i}</p></article></body>' for i in range(6000)]
+    wrapper, mass = H.merge(H.skeleton(p) for p in pages)
+    assert len(H._key(wrapper)) < 20_000 and len(mass) <= H.MANY + 1
+    assert H.main_text(pages[5], H.containers(wrapper, mass)) == "story 5"
