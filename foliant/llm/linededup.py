@@ -25,6 +25,8 @@ from foliant.llm._shared import durable, require, table
 
 RATIO = 0.1
 MIN_PAGES = 3
+#: A ratio well below that of boilerplate lines in the given tables (8.7 % to 13.2 %), for lines on enough pages to tell.
+WIDE = (0.03, 10)
 
 
 def _trimmed(line: Column) -> Column:
@@ -37,9 +39,12 @@ def _address(line: Column) -> Column:
 
 
 def boilerplate_lines(
-    docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text"
+    docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", wide: tuple[float, int] | None = None
 ) -> DataFrame:
-    """(host, lines): the addresses of each host's boilerplate lines, for hosts that have any."""
+    """(host, lines): the addresses of each host's boilerplate lines, for hosts that have any.
+
+    With ``wide``, a second ratio and least number of pages, lines above both are boilerplate as well.
+    """
     pages = require(docs, host_col, text_col).select(F.col(host_col).alias("host"), F.col(text_col).alias("text"))
     # The page's hash, not its text, tells equal pages; the lines of a page are counted once.
     lines = pages.select(
@@ -55,23 +60,26 @@ def boilerplate_lines(
         .distinct()
         .groupBy("host", "line")
         .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") >= min_pages)
+        .where(F.col("n") >= (min(min_pages, wide[1]) if wide else min_pages))
     )
+    above = (F.col("n") >= min_pages) & (F.col("n") > F.col("pages") * F.lit(float(ratio)))
+    if wide:
+        above |= (F.col("n") >= wide[1]) & (F.col("n") > F.col("pages") * F.lit(float(wide[0])))
     h = hosts.select(F.col("host").alias("h_host"), "pages")
     return (
         counted.join(h, F.col("host").eqNullSafe(F.col("h_host")))
-        .where(F.col("n") > F.col("pages") * F.lit(float(ratio)))
+        .where(above)
         .groupBy("host")
         .agg(F.collect_list("line").alias("lines"))
     )
 
 
 def drop_boilerplate(
-    docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text"
+    docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", wide: tuple[float, int] | None = None
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of each row's host taken out of its text; all other columns stay."""
     # Written first: Spark then knows how small it is, and need not regroup the texts to find out.
-    found = durable(boilerplate_lines(docs, ratio, min_pages, host_col, text_col)).select(
+    found = durable(boilerplate_lines(docs, ratio, min_pages, host_col, text_col, wide)).select(
         F.col("host").alias("__host"), F.col("lines").alias("__lines")
     )
     joined = docs.join(found, docs[host_col].eqNullSafe(F.col("__host")), "left")

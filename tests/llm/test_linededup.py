@@ -42,3 +42,13 @@ def test_a_page_may_lose_all_its_lines(spark):
 
 def test_empty_table(spark):
     assert L.drop_boilerplate(frame(spark, [(1, "a", "b")]).limit(0)).count() == 0
+
+
+def test_the_pipeline_drops_lines_well_above_the_wide_ratio(spark):
+    import corpus_pipeline as C
+
+    # 400 pages: one line on 9 % of them, one on 1 %, each below the ratio of the query.
+    rows = [(i, f"own {i}" + ("\nnine" if i < 36 else "") + ("\none" if i % 100 == 99 else ""), "en", "a", 1) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [r.text for r in C.line_dedup(spark, df, "").collect()]
+    assert sum("nine" in t for t in got) == 0 and sum("\none" in t for t in got) == 4 and all("own" in t for t in got)
