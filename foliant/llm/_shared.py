@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,38 +23,56 @@ def word_count(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that every executor sees; a temporary one only where the session names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that every executor sees: the session's ``spark.checkpoint.dir``.
+
+    A temporary folder stands in for it in local mode alone, where driver and executors are one process.
+    """
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="foliant-"))
     return spark.sparkContext.getCheckpointDir()
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and the path that holds it."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     The lineage ends there: later stages that are run again after a lost executor see the same
-    rows, and a branch that is used twice is computed once.
+    rows, and a branch that is used twice is computed once. The table stays for as long as results
+    may be read from it; :func:`clear` removes all tables of the application.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return written(df)[0]
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a table or folder that nothing reads any more."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what this application wrote with :func:`durable`, once its results are stored elsewhere."""
+    forget(spark, f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}")
 
 
-#: Rows of an Arrow batch that carries whole texts; long texts make Spark end a batch earlier still.
-TEXT_BATCH_ROWS = 1000
+#: Rows that a task turns into Python objects at a time. Spark itself bounds the bytes of an Arrow batch.
+SLICE_ROWS = 500
 
 
-def text_batches(df: DataFrame) -> DataFrame:
-    """``df`` itself, with the session's Arrow batches held small: Python workers see one batch at a time."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(df.sparkSession.conf.get(key))
-    if not 0 < now <= TEXT_BATCH_ROWS:
-        df.sparkSession.conf.set(key, str(TEXT_BATCH_ROWS))
-    return df
+def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, rows):
+            yield batch.slice(start, rows)
 
 
 def require(df: DataFrame, *columns: str) -> DataFrame:
