@@ -44,7 +44,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, table, text_batches
+from foliant.llm._shared import durable, require, slices, table
 
 #: Elements that never hold a page's main text.
 SKIP = frozenset("script style noscript template head title nav header footer aside form button select option textarea iframe svg canvas object dialog menu".split())
@@ -593,7 +593,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
         return _wrapper_batch(rows)
 
-    for batch in batches:
+    for batch in slices(batches):
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             items, mass = skeleton(page or "", True)
             items = json.loads(json.dumps(items))  # without the numbers of the page's texts
@@ -646,7 +646,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     """(host, wrapper, mass, pages): one wrapper per host, from all its pages."""
     rows = require(pages, url_col, html_col).select(_host(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))
     return (
-        text_batches(rows).mapInArrow(_partial, WRAPPERS)
+        rows.mapInArrow(_partial, WRAPPERS)
         .repartition("host")
         .sortWithinPartitions("host", "wrapper")
         .mapInArrow(_merged, WRAPPERS)
@@ -676,7 +676,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return items if items and has_template(items, pages) else None
 
     holders = lru_cache(256)(lambda h: json.loads(h) if h else [])
-    for batch in batches:
+    for batch in slices(batches):
         pages = zip(*(batch.column(c).to_pylist() for c in ("html", "holder", "wrapper", "pages", "free")))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array([main_text(p, holders(h), wrapper(w, n), n or 0, f or ()) for p, h, w, n, f in pages], pa.string())],
@@ -693,7 +693,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     )
     kind = rows.schema["page_id"].dataType.simpleString()
     return (
-        text_batches(rows.join(holders, "host", "left").select("page_id", "url", "html", "holder", "free", "wrapper", "pages"))
+        rows.join(holders, "host", "left").select("page_id", "url", "html", "holder", "free", "wrapper", "pages")
         .mapInArrow(_texts, f"page_id {kind}, url string, text string")
     )
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, table, text_batches
+from foliant.llm._shared import durable, require, slices, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -114,7 +114,7 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray,
 def _tokenise(capacity: int, name: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = Encoder(name)
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             ids_of = batch.column("doc_id").to_pylist()
             for doc_id, text in zip(ids_of, batch.column("text").to_pylist()):
@@ -134,7 +134,7 @@ def pieces_of(
     docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     rows = require(docs, id_col, text_col).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return text_batches(rows).mapInArrow(_tokenise(capacity, tokenizer), PIECES)
+    return rows.mapInArrow(_tokenise(capacity, tokenizer), PIECES)
 
 
 def _pack_round(capacity: int, round_no: int):

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, table, text_batches
+from foliant.llm._shared import durable, require, slices, table
 
 RULE_VERSION = 1
 
@@ -79,7 +79,7 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-    for batch in batches:
+    for batch in slices(batches):
         rows = [
             [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t)] for t in batch.column("text").to_pylist()
         ]
@@ -122,7 +122,7 @@ def scan_unseen(
         F.sha2("text", 256) == F.col("unseen_blob")
     )
     return (
-        text_batches(picked.select(F.col("unseen_blob").alias("blob"), "text"))
+        picked.select(F.col("unseen_blob").alias("blob"), "text")
         .mapInArrow(_scan, "blob string, findings array<struct<kind:string,start:int,end:int>>")
         .dropDuplicates(["blob"])
         .select("blob", F.lit(rule_version).alias("rule_version"), "findings")
