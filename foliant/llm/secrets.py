@@ -6,8 +6,8 @@ pairs that the ledger lacks, reads only those texts, and appends their findings;
 joined back to every path (here: every row) that holds the blob.
 
 Null texts count as empty. A repeated row, or a text that many rows share, is scanned once and
-reported for each row. Rows with a null id are scanned and reported like any other. An empty
-table gives an empty result. Columns other than id and text are ignored.
+reported for each row. Rows with a null id are scanned and reported like any other. A very long text is
+scanned whole, in one piece. An empty table gives an empty result. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations
@@ -77,13 +77,24 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     return sorted(found, key=lambda f: (f[1], order[f[0]]))
 
 
+#: Addresses that a task keeps of the blobs it has scanned.
+REMEMBERED = 200_000
+
+
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each blob that this task meets for the first time."""
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+    seen: set[str] = set()
     for batch in slices(batches):
-        rows = [
-            [{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(t)] for t in batch.column("text").to_pylist()
-        ]
-        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(rows, spans)], ["blob", "findings"])
+        blobs, rows = [], []
+        for blob, text in zip(batch.column("blob").to_pylist(), batch.column("text").to_pylist()):
+            if blob not in seen:
+                seen.add(blob)
+                blobs.append(blob)
+                rows.append([{"kind": k, "start": s, "end": e} for k, s, e in find_secrets(text)])
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.string()), pa.array(rows, spans)], ["blob", "findings"])
 
 
 def empty_ledger(spark: SparkSession) -> DataFrame:
@@ -102,28 +113,33 @@ def scan_unseen(
 ) -> DataFrame:
     """Ledger rows for the (blob, rule version) pairs of ``docs`` that ``ledger`` lacks.
 
-    Only one row of each unseen blob keeps its text past the semi-join, so a text that a third of
-    all rows share is moved once; where few blobs are unseen, Spark broadcasts that small side and
-    no text moves at all.
+    Where the ledger has no blob of this rule version all are unseen: texts are scanned where they lie,
+    each once in a task, and only findings are shuffled. Otherwise one row of each unseen blob keeps its
+    text past a join by id, so a text that a third of all rows share is moved once; where few blobs are
+    unseen, Spark broadcasts that small side and no text moves at all.
     """
     seen = ledger.where(F.col("rule_version") == rule_version).select("blob")
-    unseen = (
-        versions_of(docs, id_col, text_col)
-        .groupBy("blob")
-        .agg(F.min("path").alias("keeper"))
-        .join(seen, "blob", "left_anti")
-        .select(F.col("blob").alias("unseen_blob"), "keeper")
-    )
     texts = require(docs, id_col, text_col).select(
         F.col(id_col).alias("path"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
-    # The id alone is the join key: a shared text then never meets in one task.
-    picked = texts.join(unseen, texts["path"].eqNullSafe(unseen["keeper"]), "inner").where(
-        F.sha2("text", 256) == F.col("unseen_blob")
-    )
+    if seen.isEmpty():
+        picked = texts.select(F.sha2("text", 256).alias("blob"), "text")
+    else:
+        unseen = (
+            versions_of(docs, id_col, text_col)
+            .groupBy("blob")
+            .agg(F.min("path").alias("keeper"))
+            .join(seen, "blob", "left_anti")
+            .select(F.col("blob").alias("unseen_blob"), "keeper")
+        )
+        # Spark makes the filter a part of the join's key, so rows that share an id, or a text, do not meet in one task.
+        picked = (
+            texts.join(unseen, texts["path"].eqNullSafe(unseen["keeper"]), "inner")
+            .where(F.sha2("text", 256) == F.col("unseen_blob"))
+            .select(F.col("unseen_blob").alias("blob"), "text")
+        )
     return (
-        picked.select(F.col("unseen_blob").alias("blob"), "text")
-        .mapInArrow(_scan, "blob string, findings array<struct<kind:string,start:int,end:int>>")
+        picked.mapInArrow(_scan, "blob string, findings array<struct<kind:string,start:int,end:int>>")
         .dropDuplicates(["blob"])
         .select("blob", F.lit(rule_version).alias("rule_version"), "findings")
     )
