@@ -5,25 +5,30 @@ text's word shingles. Two fingerprints are linked if at most 4 bits differ.
 
 Candidate keys. The bits are cut into segments A (23), B (23) and C (18). The binary Golay code of
 length 23 is perfect with covering radius 3, so two 23-bit words at distance 2 or less have a word
-halfway that lies within 3 of some codeword; both are then within 4 of it. A segment's keys are the
-indices of all codewords within 4, six at most. By the pigeonhole principle 4 errors fall in one
-of three ways, each with its own family of keys:
-
-* A and B have at most 2 errors each: keys (codeword of A, codeword of B);
-* A has 3 or more, so B and C have at most 1 together: C is whole: keys (codeword of B, C); or
-  B is whole and C has one error: keys (B, C without one of its two halves);
-* B has 3 or more: the same with A for B.
-
-Rows are sorted by key and swept once. A key's group gives links only: for a group of more than a
-few fingerprints a spanning forest, found by visiting each fingerprint once, so no group's pairs
-are written out. Groups above ``BLOCK`` are cut into blocks that meet in pairs in tasks of their
-own, so none is held by one task. Fingerprints are deduplicated before keys are made, so a text
-that a third of all rows share is one fingerprint.
+halfway that lies within 3 of some codeword; both are then within 4 of it. A segment's code keys are
+the indices of all codewords within 4, six at most. By the pigeonhole principle 4 errors fall in one
+of these ways, each with its own family of keys of 29 to 35 bits:
+
+* C is whole: A or B has at most 2 errors: (codeword of A, C) or (codeword of B, C);
+* A is whole and B has at most 2: (A, codeword of B); or B has more, so C has at most 1 and one of
+  its halves is whole: (A, half of C); and the same with A and B changed about;
+* all three have errors, A has 1, B at most 2 and C 1: (half of A, codeword of B, half of C); and the
+  same with A and B changed about;
+* A and B have 1 each and C 2: (half of A, half of B, third of C).
+
+A key of 29 bits is shared by about two of 10^9 fingerprints that lie anyhow, so groups stay small
+but for texts that are alike. Rows are sorted by key and swept once. A key's group gives links only:
+for a group of more than a few fingerprints a spanning forest, found by visiting each fingerprint
+once, so no group's pairs are written out. A run of one key is sent off in blocks of ``BLOCK`` as it
+is read, so no task holds more of it; the blocks of a key meet in pairs in tasks of their own.
+Fingerprints are deduplicated before keys are made, so a text that a third of all rows share is one
+fingerprint.
 
 Null texts count as empty, and empty texts have fingerprint zero, linked like any other. Rows with
 equal ids are rows of their own. Rows with a null id get the component of the rows that share their
 fingerprint, and null where none of those has an id. An empty table gives an empty result.
-Columns other than id and text are ignored.
+A very long text is hashed whole, and its bits are counted piece by piece. Columns other than id and text
+are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +42,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, slices, table
+from foliant.llm._shared import durable, forget, require, slices, table, written
 
 SHINGLE_WORDS = 4
 MAX_BITS = 4
@@ -140,13 +145,21 @@ def candidate_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows.append(r)
         keys.append(key[ok] | (np.int64(family) << 56))
 
-    both = (ga[:, :, None] << 12) | gb[:, None, :]
-    add(0, both, (ga >= 0)[:, :, None] & (gb >= 0)[:, None, :])
     yes = np.ones(len(u), bool)
-    for family, whole, codes in ((1, b, gb), (4, a, ga)):
-        add(family, (codes << 18) | c[:, None], codes >= 0)
-        add(family + 1, (whole << 9) | (c >> 9), yes)
-        add(family + 2, (whole << 9) | (c & 0x1FF), yes)
+    halves = lambda x, low: (x >> low, x & ((1 << low) - 1))
+    a2, b2, c2 = halves(a, 11), halves(b, 11), halves(c, 9)
+    c3 = (c >> 12, c >> 6 & 0x3F, c & 0x3F)
+    for family, whole, own, other, codes in ((0, a, ga, b2, gb), (10, b, gb, a2, ga)):
+        add(family, (own << 18) | c[:, None], own >= 0)
+        add(family + 1, (whole[:, None] << 12) | codes, codes >= 0)
+        for i, h in enumerate(c2):
+            add(family + 2 + i, (whole << 9) | h, yes)
+            for j, o in enumerate(other):
+                add(family + 4 + 2 * i + j, (((own << 12) | o[:, None]) << 9) | h[:, None], own >= 0)
+    for i, x in enumerate(a2):
+        for j, y in enumerate(b2):
+            for k, z in enumerate(c3):
+                add(20 + 6 * i + 3 * j + k, (((x << 12) | y) << 6) | z, yes)
     return np.concatenate(rows), np.concatenate(keys)
 
 
@@ -185,66 +198,91 @@ def _forest(fp: np.ndarray, split: int | None = None) -> tuple[np.ndarray, np.nd
     return (np.concatenate(source), np.concatenate(target)) if source else (np.zeros(0, int), np.zeros(0, int))
 
 
-_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("block", pa.int32()), ("blocks", pa.int32())])
+_EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("key", pa.int64()), ("fp", pa.int64()), ("block", pa.int32())])
 
 
 def _edge_batch(a, b) -> pa.RecordBatch:
-    n = len(a)
-    none = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int32())]
+    none = [pa.nulls(len(a), t) for t in (pa.int64(), pa.int64(), pa.int32())]
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), *none], schema=_EDGE)
 
 
-def _group_edges(key: int, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
-    """Links of one large group, or its members in blocks if it is too large for one task."""
-    if len(fp) <= BLOCK:
-        s, t = _forest(fp)
-        return _edge_batch(rep[s], rep[t])
+def _block_batch(key: int, block: int, fp: np.ndarray, rep: np.ndarray) -> pa.RecordBatch:
+    """Members of a group that is too large for one task."""
     n = len(fp)
-    block = np.arange(n, dtype=np.int32) // BLOCK
     return pa.RecordBatch.from_arrays(
-        [pa.array(rep), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(fp.view(np.int64)), pa.array(block), pa.array(np.full(n, block[-1] + 1, dtype=np.int32))],
-        schema=_EDGE,
+        [pa.array(rep), pa.nulls(n, pa.int64()), pa.array(np.full(n, key)), pa.array(fp.view(np.int64)), pa.array(np.full(n, block, dtype=np.int32))], schema=_EDGE
     )
 
 
-def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows arrive in order of key. Only the run of the last key waits for the next batch."""
-    held: list[tuple[np.ndarray, ...]] = []
+def _whole_runs(key: np.ndarray, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Links of groups that are complete, or their members in blocks."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    big = size > SMALL
+    small = np.repeat(~big, size)
+    k, f, r = key[small], fp[small], rep[small]
+    a, b = [], []
+    for step in range(1, SMALL):
+        hit = np.flatnonzero((k[step:] == k[:-step]) & (np.bitwise_count(f[step:] ^ f[:-step]) <= MAX_BITS))
+        a.append(r[hit])
+        b.append(r[hit + step])
+    a, b = np.concatenate(a), np.concatenate(b)
+    if len(a):
+        yield _edge_batch(a, b)
+    for s, n in zip(start[big], size[big]):
+        f, r = fp[s : s + n], rep[s : s + n]
+        if n > BLOCK:
+            for i in range(0, n, BLOCK):
+                yield _block_batch(int(key[s]), i // BLOCK, f[i : i + BLOCK], r[i : i + BLOCK])
+            continue
+        x, y = _forest(f)
+        if len(x):
+            yield _edge_batch(r[x], r[y])
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        if not held:
-            return
-        key, fp, rep = (np.concatenate(x) for x in zip(*held))
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
-        big = size > SMALL
-        small = np.repeat(~big, size)
-        k, f, r = key[small], fp[small], rep[small]
-        a, b = [], []
-        for step in range(1, SMALL):
-            hit = np.flatnonzero((k[step:] == k[:-step]) & (np.bitwise_count(f[step:] ^ f[:-step]) <= MAX_BITS))
-            a.append(r[hit])
-            b.append(r[hit + step])
-        a, b = np.concatenate(a), np.concatenate(b)
-        if len(a):
-            yield _edge_batch(a, b)
-        for s, n in zip(start[big], size[big]):
-            out = _group_edges(int(key[s]), fp[s : s + n], rep[s : s + n])
-            if out.num_rows:
-                yield out
-        held.clear()
 
+class _Run:
+    """The last key's rows so far, at most ``BLOCK`` of them: full blocks are sent off."""
+
+    def __init__(self, key: int):
+        self.key, self.blocks = key, 0
+        self.fp, self.rep = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, fp: np.ndarray, rep: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.fp, self.rep = np.concatenate([self.fp, fp]), np.concatenate([self.rep, rep])
+        while len(self.fp) > BLOCK:
+            yield _block_batch(self.key, self.blocks, self.fp[:BLOCK], self.rep[:BLOCK])
+            self.blocks += 1
+            self.fp, self.rep = self.fp[BLOCK:], self.rep[BLOCK:]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        if self.blocks:
+            yield _block_batch(self.key, self.blocks, self.fp, self.rep)
+        else:
+            yield from _whole_runs(np.full(len(self.fp), self.key), self.fp, self.rep)
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows arrive in order of key. Only the run of the last key waits for the next batch."""
+    run: _Run | None = None
     for batch in batches:
         key, fp, rep = (batch.column(c).to_numpy() for c in ("key", "fp", "rep"))
         fp = fp.view(np.uint64)
+        if run is not None:
+            more = int(np.searchsorted(key, run.key, side="right"))
+            yield from run.add(fp[:more], rep[:more])
+            if more == len(key):
+                continue
+            yield from run.end()
+            key, fp, rep = key[more:], fp[more:], rep[more:]
         if not len(key):
             continue
         cut = int(np.searchsorted(key, key[-1]))
-        if cut or (held and held[-1][0][-1] != key[-1]):
-            held.append((key[:cut], fp[:cut], rep[:cut]))
-            yield from flush()
-        held.append((key[cut:], fp[cut:], rep[cut:]))
-    yield from flush()
+        if cut:
+            yield from _whole_runs(key[:cut], fp[:cut], rep[:cut])
+        run = _Run(int(key[-1]))
+        yield from run.add(fp[cut:], rep[cut:])
+    if run is not None:
+        yield from run.end()
 
 
 def _sweep_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,16 +315,17 @@ def _sweep_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield from flush()
 
 
-_EDGE_DDL = "a long, b long, key long, fp long, block int, blocks int"
+_EDGE_DDL = "a long, b long, key long, fp long, block int"
 
 
 def link_edges(distinct: DataFrame) -> DataFrame:
     """(a, b): links between representatives of (fp, rep) that keep every component whole."""
     keyed = distinct.mapInArrow(_keyed, "key long, fp long, rep long")
     swept = durable(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_sweep, _EDGE_DDL))
+    cut = swept.where(F.col("key").isNotNull())
     heavy = (
-        swept.where(F.col("key").isNotNull())
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        cut.join(cut.groupBy("key").agg(F.max("block").alias("last")), "key")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("last"))))
         .select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp", "a")
         .repartition("key", "i", "j")
         .sortWithinPartitions("key", "i", "j")
@@ -315,10 +354,12 @@ def components(edges: DataFrame) -> DataFrame:
             out = out.unionByName(least.select(F.col("m").alias("a"), F.col("n").alias("b")))
         return out.where("a <> b").distinct()
 
-    now = durable(edges.where("a < b").distinct())
+    now, path = written(edges.where("a < b").distinct())
     before = None
     while True:
-        now = durable(star(star(now, True), False))
+        old = path
+        now, path = written(star(star(now, True), False))
+        forget(edges.sparkSession, old)
         size = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if size == before:
             break

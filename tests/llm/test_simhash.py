@@ -66,6 +66,50 @@ def test_any_four_errors_share_a_key():
     assert all(keys[0][i] & keys[1][i] for i in range(len(fp)))
 
 
+def test_every_split_of_four_errors_shares_a_key():
+    rng = np.random.default_rng(2)
+    segments = (range(41, 64), range(18, 41), range(18))
+    for split in [(x, y, z) for x in range(5) for y in range(5 - x) for z in range(5 - x - y)]:
+        fp = rng.integers(-(2**63), 2**63 - 1, 300, dtype=np.int64).view(np.uint64)
+        other = fp.copy()
+        for i in range(len(fp)):
+            for errors, bits in zip(split, segments):
+                for b in rng.choice(bits, errors, replace=False):
+                    other[i] ^= np.uint64(1) << np.uint64(b)
+        keys = [{}, {}]
+        for side, f in enumerate((fp, other)):
+            for r, k in zip(*S.candidate_keys(f)):
+                keys[side].setdefault(int(r), set()).add(int(k))
+        assert all(keys[0][i] & keys[1][i] for i in range(len(fp))), split
+
+
+def test_a_long_run_of_one_key_is_sent_off_in_blocks(monkeypatch):
+    """A run over many batches never has more than a block in memory, and its rows all arrive."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "BLOCK", 32)
+    held = []
+    add = S._Run.add
+
+    def watched(self, fp, rep):
+        yield from add(self, fp, rep)
+        held.append(len(self.fp))
+
+    monkeypatch.setattr(S._Run, "add", watched)
+    n = [3, 500, 1, 32, 33, 7]
+    key = np.repeat(np.arange(len(n)), n)
+    fp = np.arange(len(key), dtype=np.int64) << 8
+    batch = pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp), pa.array(np.arange(len(key)))], ["key", "fp", "rep"])
+    out = [r for b in S._sweep(batch.slice(i, 50) for i in range(0, len(key), 50)) for r in b.to_pylist() if r["key"] is not None]
+    assert max(held) <= 32
+    sent = {}
+    for r in out:
+        sent.setdefault(r["key"], []).append((r["block"], r["a"]))
+    assert set(sent) == {1, 4}
+    assert sorted(a for _, a in sent[1]) == list(range(3, 503)) and {b for b, _ in sent[1]} == set(range(16))
+    assert max(sum(b == x for b, _ in sent[1]) for x in range(16)) == 32
+
+
 def corpus(n, seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(500)]
