@@ -6,31 +6,39 @@ inequality holds. A subtree is skipped where ``factor`` times the least distance
 inequality allows exceeds the distance of the k-th best found so far. Factor 1 skips only what
 cannot matter, so the search is exact; larger factors skip more and may lose neighbours.
 
-Vectors go to shards by a hash of their id (never by place, so a vector that many rows share does
-not fill one shard). Every query visits every shard, in blocks: a task holds one shard and one block
-of queries. The best ``k`` of each shard meet in one ranking per query.
+Vectors go to shards by a hash of their row's number, so neither a vector nor an id that many rows share
+fills one shard. A task holds one shard's tree, which is built once, and the queries stream past it in
+batches; so vectors are shuffled once, and queries once for each shard. Shards are searched in rounds
+of growing size: after a round each query keeps its ``k`` best and hands their last score on, so later
+shards prune by it from the start and report only what may still come in.
 
 Vectors that are null, zero, of another length than the most common one, or that hold null or
 non-finite numbers take no part, neither as queries nor as candidates. Rows with a null id take no
-part. Rows with equal ids count as separate candidates, other than the query's own id. An empty
+part. Rows with equal ids count as separate candidates, other than the query's own id, and rows of
+queries with equal ids are queries of their own. Equal scores are ranked by the smaller id. An empty
 table gives an empty result. Columns other than id and vector are ignored.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliant.llm._shared import durable, require, table
+from foliant.llm._shared import durable, forget, require, table, written
 
 K = 20
 QUERY_STEP = 20
 #: 1: exact. See the README for the recall of other factors.
 FACTOR = 1.0
 SHARD_ROWS = 4096
-QUERY_ROWS = 4096
+#: Queries that a shard's tree takes at a time.
+QUERY_ROWS = 2048
+#: Each round of shards is larger than the one before by this factor.
+GROWTH = 8
 LEAF = 512
 
 
@@ -85,52 +93,108 @@ class VantageTree:
                 self._search(child, queries, rows[factor * least <= bound(rows)], visit, bound, factor)
 
 
-def search_shard(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int = K, factor: float = FACTOR
-) -> pd.DataFrame:
-    """The ``k`` best of one shard for each query, in double precision."""
-    top = min(k, len(ids))
-    order = np.argsort(ids, kind="stable")  # among equal scores the smaller id is met first and kept
-    ids, vectors = ids[order], vectors[order]
-    square = (vectors**2).sum(axis=1)
-    lift = square.max()
-    tree = VantageTree(np.hstack([vectors, np.sqrt(np.maximum(lift - square, 0))[:, None]]))
-    lifted = np.hstack([queries, np.zeros((len(queries), 1))])
-    reach = (queries**2).sum(axis=1) + lift
-    slack = 1e-10 * max(lift, 1e-300)
-    scores = np.full((len(queries), top), -np.inf)
-    found = np.full((len(queries), top), -1, dtype=np.int64)
-
-    def bound(rows):
-        return np.sqrt(np.maximum(reach[rows] - 2 * scores[rows].min(axis=1), 0) + slack)
-
-    def visit(rows, points):
-        new = queries[rows] @ vectors[points].T
-        new[ids[points][None, :] == query_ids[rows][:, None]] = -np.inf
-        better = (new >= scores[rows].min(axis=1)[:, None] - slack).any(axis=1)
-        rows, new = rows[better], new[better]
-        if not len(rows):
-            return
-        everything = np.hstack([scores[rows], new])
-        places = np.hstack([found[rows], np.broadcast_to(points, new.shape)])
-        cut = np.argpartition(-everything, top - 1, axis=1)[:, :top]
-        kth = np.take_along_axis(everything, cut, 1).min(axis=1)
-        # argpartition breaks ties anyhow, and a matrix product may give copies of one vector scores
-        # that differ in the last bit: rows that are near a tie at the cut are put in exact order.
-        tied = np.flatnonzero(np.isfinite(kth) & ((everything >= (kth - slack)[:, None]).sum(axis=1) > top))
-        for i in tied:
-            near = np.flatnonzero(everything[i] >= kth[i] - slack)
-            exact = (queries[rows[i]] * vectors[places[i, near]]).sum(axis=1)
-            cut[i] = near[np.lexsort((places[i, near], -exact))[:top]]
-        scores[rows] = np.take_along_axis(everything, cut, 1)
-        found[rows] = np.take_along_axis(places, cut, 1)
-
-    tree.search(lifted, visit, bound, factor)
-    q, j = np.nonzero(np.isfinite(scores))
-    places = found[q, j]
-    return pd.DataFrame(
-        {"query_id": query_ids[q], "vec_id": ids[places], "score": (queries[q] * vectors[places]).sum(axis=1)}
-    )
+class Shard:
+    """The vectors of one shard in a tree over the lifted space."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, factor: float = FACTOR):
+        order = np.argsort(ids, kind="stable")  # among equal scores the smaller id is met first and kept
+        self.ids, self.vectors, self.factor = ids[order], vectors[order], factor
+        square = (self.vectors**2).sum(axis=1)
+        self.lift = square.max()
+        self.slack = 1e-10 * max(self.lift, 1e-300)
+        self.tree = VantageTree(np.hstack([self.vectors, np.sqrt(np.maximum(self.lift - square, 0))[:, None]]), LEAF)
+
+    def search(self, own: np.ndarray, queries: np.ndarray, k: int = K, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, score in double precision) of the ``k`` best for each query that reach ``least``.
+
+        ``own`` are the queries' ids, which are no candidates of theirs.
+        """
+        top = min(k, len(self.ids))
+        least = np.full(len(queries), -np.inf) if least is None else least
+        reach = (queries**2).sum(axis=1) + self.lift
+        scores = np.full((len(queries), top), -np.inf)
+        found = np.full((len(queries), top), -1, dtype=np.int64)
+
+        def floor(rows):
+            """The score that a point must reach to come in."""
+            return np.maximum(scores[rows].min(axis=1), least[rows])
+
+        def bound(rows):
+            return np.sqrt(np.maximum(reach[rows] - 2 * floor(rows), 0) + self.slack)
+
+        def visit(rows, points):
+            new = queries[rows] @ self.vectors[points].T
+            new[self.ids[points][None, :] == own[rows][:, None]] = -np.inf
+            better = (new >= floor(rows)[:, None] - self.slack).any(axis=1)
+            rows, new = rows[better], new[better]
+            if not len(rows):
+                return
+            everything = np.hstack([scores[rows], new])
+            places = np.hstack([found[rows], np.broadcast_to(points, new.shape)])
+            cut = np.argpartition(-everything, top - 1, axis=1)[:, :top]
+            kth = np.take_along_axis(everything, cut, 1).min(axis=1)
+            # argpartition breaks ties anyhow, and a matrix product may give copies of one vector scores
+            # that differ in the last bit: rows that are near a tie at the cut are put in exact order.
+            tied = np.flatnonzero(np.isfinite(kth) & ((everything >= (kth - self.slack)[:, None]).sum(axis=1) > top))
+            for i in tied:
+                near = np.flatnonzero(everything[i] >= kth[i] - self.slack)
+                exact = (queries[rows[i]] * self.vectors[places[i, near]]).sum(axis=1)
+                cut[i] = near[np.lexsort((places[i, near], -exact))[:top]]
+            scores[rows] = np.take_along_axis(everything, cut, 1)
+            found[rows] = np.take_along_axis(places, cut, 1)
+
+        lifted = np.hstack([queries, np.zeros((len(queries), 1))])
+        self.tree.search(lifted, visit, bound, self.factor)
+        q, j = np.nonzero(np.isfinite(scores) & (scores >= (least - self.slack)[:, None]))
+        places = found[q, j]
+        return q, self.ids[places], (queries[q] * self.vectors[places]).sum(axis=1)
+
+
+FOUND = "q long, query_id long, vec_id long, score double"
+
+
+def _vectors(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _search(k: int, factor: float):
+    """Rows arrive by shard, its vectors (without q) first and then the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, points, shard, asked = None, [], None, []
+
+        def answer() -> Iterator[pa.RecordBatch]:
+            nonlocal shard
+            if asked and points and shard is None:
+                shard = Shard(*(np.concatenate(x) for x in zip(*points)), factor)
+            if asked and shard is not None:
+                q, ids, v, least = (np.concatenate(x) for x in zip(*asked))
+                row, found, score = shard.search(ids, v, k, least)
+                yield pa.RecordBatch.from_arrays([pa.array(q[row]), pa.array(ids[row]), pa.array(found), pa.array(score)], ["q", "query_id", "vec_id", "score"])
+            asked.clear()
+
+        for batch in batches:
+            of = batch.column("shard").to_numpy()
+            is_query = batch.column("q").is_valid().to_numpy(zero_copy_only=False)
+            ids, v = batch.column("id").to_numpy(), _vectors(batch.column("v"))
+            q = batch.column("q").fill_null(-1).to_numpy()
+            least = batch.column("least").fill_null(-np.inf).to_numpy()
+            starts = np.flatnonzero(np.r_[True, (of[1:] != of[:-1]) | (is_query[1:] != is_query[:-1])]) if len(of) else []
+            for s, e in zip(starts, [*starts[1:], len(of)]):
+                if of[s] != at:
+                    yield from answer()
+                    at, points, shard = of[s], [], None
+                if not is_query[s]:
+                    points.append((ids[s:e], v[s:e]))
+                    continue
+                for i in range(s, e, QUERY_ROWS):
+                    j = min(i + QUERY_ROWS, e)
+                    asked.append((q[i:j], ids[i:j], v[i:j], least[i:j]))
+                    if sum(len(x[0]) for x in asked) >= QUERY_ROWS:
+                        yield from answer()
+        yield from answer()
+
+    return run
 
 
 def nearest(
@@ -143,43 +207,39 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` rows of ``vectors`` nearest to each of ``queries``."""
 
-    def clean(df):
-        return durable(
+    def clean(df, number):
+        rows = (
             require(df, id_col, vector_col)
             .select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
             .where(F.col("id").isNotNull() & usable(F.col("v")))
         )
+        return durable(rows.withColumn(number, F.monotonically_increasing_id()))
 
-    base, asked = clean(vectors), clean(queries)
+    base, asked = clean(vectors, "n"), clean(queries, "q")
     common = base.groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").first()
     dim = common["dim"] if common else 0
     base, asked = base.where(F.size("v") == dim), asked.where(F.size("v") == dim)
     shards = max(1, -(-base.count() // SHARD_ROWS))
-    blocks = max(1, -(-asked.count() // QUERY_ROWS))
-
-    def spread(df, own, parts, other, copies):
-        """Each row's own part, once for each part of the other side."""
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).withColumn(
-            other, F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))
-        )
-
-    left = spread(asked, "block", blocks, "shard", shards).groupBy("shard", "block")
-    right = spread(base, "shard", shards, "block", blocks).groupBy("shard", "block")
-
-    def task(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(p):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
-        return search_shard(
-            q["id"].to_numpy(), np.stack(q["v"].to_numpy()), p["id"].to_numpy(), np.stack(p["v"].to_numpy()), k, factor
-        )
-
-    found = left.cogroup(right).applyInPandas(task, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best))
-        .where(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
-    )
+    placed = base.select(F.pmod(F.xxhash64("n"), F.lit(shards)).cast("int").alias("shard"), "id", "v", F.lit(None).cast("long").alias("q"), F.lit(None).cast("double").alias("least"))
+    best = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
+
+    found, path, first, size = None, None, 0, 1
+    while first < shards:
+        last = min(shards, first + size)
+        waiting = asked if found is None else asked.join(
+            found.groupBy(F.col("q").alias("f_q")).agg(F.count_if(F.col("score").isNotNull()).alias("have"), F.min("score").alias("worst")), F.col("q") == F.col("f_q"), "left"
+        )
+        least = F.lit(None).cast("double") if found is None else F.when(F.col("have") >= k, F.col("worst"))
+        streams = waiting.select(F.explode(F.sequence(F.lit(first), F.lit(last - 1))).alias("shard"), "id", "v", "q", least.alias("least"))
+        both = placed.where((F.col("shard") >= first) & (F.col("shard") < last)).unionByName(streams)
+        new = both.repartition(last - first, "shard").sortWithinPartitions("shard", F.col("q").asc_nulls_first()).mapInArrow(_search(k, factor), FOUND)
+        every = new if found is None else found.drop("rank").unionByName(new)
+        old = path
+        found, path = written(every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k))
+        if old:
+            forget(base.sparkSession, old)
+        first, size = last, size * GROWTH
+    return found.select("query_id", "rank", "vec_id", "score")
 
 
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
