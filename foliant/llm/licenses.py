@@ -211,9 +211,8 @@ def _places(words: list[str], stretch: tuple[int, int]) -> list[Place]:
     out = []
     for t, i, at, j, end_at in spans:
         template = _templates()[t]
-        # A little room for words that were put in or left out before the first and after the last run.
-        start, end = max(0, i - at - RUN), min(len(words), j + len(template.words) - end_at + RUN)
-        block = words[start:end]
+        start, end = max(0, i - at), min(len(words), j + len(template.words) - end_at)
+        block = _with_room(words, start, end)
         if not _in_order(template.marks, block) or (template.count & Counter(block)).total() < LEAST_WORDING * len(template.words):
             continue
         raw = _raw(block)
@@ -223,6 +222,11 @@ def _places(words: list[str], stretch: tuple[int, int]) -> list[Place]:
     return out
 
 
+def _with_room(words: list[str], start: int, end: int) -> list[str]:
+    """A block with a little room for words that were put in or left out before the first and after the last run."""
+    return words[max(0, start - RUN) : end + RUN]
+
+
 def _winners(places: list[Place]) -> Iterator[Place]:
     """Places that save nearly as much as any other that they overlap."""
     places = sorted(places, key=lambda p: (p.start, p.end))
@@ -237,11 +241,11 @@ def _winners(places: list[Place]) -> Iterator[Place]:
 def compare(place: Place, words: list[str]) -> Fit | None:
     """How a template's words and a block's differ, if they differ little."""
     template = _templates()[place.template]
-    want, block = template.words, words[place.start : place.end]
-    n = len(want)
+    want, block = template.words, _with_room(words, place.start, place.end)
+    n, first = len(want), max(0, place.start - RUN)
     for i in range(len(block) - n + 1):
         if block[i] == want[0] and block[i : i + n] == want:
-            return Fit(place.template, place.start + i, place.start + i + n, n, place.saved, ())
+            return Fit(place.template, first + i, first + i + n, n, place.saved, ())
     same = [m for m in SequenceMatcher(None, want, block, autojunk=False).get_matching_blocks() if m.size]
     # A single word apart from all others is no part of the wording.
     while len(same) > 1 and same[0].size == 1 and same[1].b - same[0].b > RUN:
@@ -257,7 +261,7 @@ def compare(place: Place, words: list[str]) -> Fit | None:
     held = {i for m in same for i in range(m.a, m.a + m.size)}
     missing = tuple(w for i, w in enumerate(want) if i not in held)
     score = size - len(missing) - (end - start - size)
-    return Fit(place.template, place.start + start, place.start + end, score, place.saved, missing) if score > 0 else None
+    return Fit(place.template, first + start, first + end, score, place.saved, missing) if score > 0 else None
 
 
 def find_licenses(text: str | None) -> list[tuple[str, int, int, int, str]]:
