@@ -8,9 +8,11 @@ expression over tags, slots, repeated and optional groups. Partitions fold their
 the partial wrappers of a host are then aligned with each other in rounds, so no task ever reads all
 pages of a large host. Every page takes part.
 
-Texts enter the streams as hashes with a count of pages: an equal text at the same place of two
-pages stays and its counts are added, a differing one becomes a slot. A text that stayed on at least
-``LEAST_PAGES`` pages and on ``TEMPLATE_SHARE`` of the host's is the host's template.
+Texts enter the streams as hashes with a count of pages: an equal text at the same place of two pages
+stays and its counts are added, differing ones become a slot. A slot, which in a repeated group stands
+for many places, remembers its most frequent texts with their pages (``SLOT_TEXTS`` of them; a text on a
+good share of the pages is among these, for one that is rare goes first). A text that stands at one
+place on at least ``LEAST_PAGES`` pages and on ``TEMPLATE_SHARE`` of the host's is the host's template.
 
 The wrapper tells where a host keeps its article: an ``article`` or ``main`` element if it has one,
 and otherwise the container whose slots held the most text, counted over all pages without template
@@ -21,8 +23,11 @@ slots is a near copy of its host's other pages and keeps all its text. A host ma
 templates: every label under which its articles stand counts, and each page takes the one that holds
 most of its own text. Pages whose own structure lacks all containers fall back to their body.
 
-Labels are elements with their classes and roles, numbers in them generalised; ids are left out. A
-level with more labels than a wrapper keeps falls back to the elements' names.
+Labels are elements with their classes and roles, numbers in them generalised; ids are left out. A level
+of more than ``WIDE`` items in no regular order becomes one repeated group of optional items, one of each
+label, whose slots remember texts like any other; with more labels than that it falls back to the
+elements' names. An element below ``DEEP`` others is listed with what it holds at the level above it, so
+its texts take part, and it can be a container, at any depth.
 
 Null html counts as empty, and an empty page has an empty text. Pages with a null url or without a
 host share the host "". Repeated rows give equal rows, rows with a null id are extracted like any
@@ -56,7 +61,9 @@ RAW = frozenset(("script", "style", "noscript", "template", "textarea", "iframe"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 #: Levels of elements that a wrapper describes, and items of one element that it keeps in order.
-DEEP, WIDE = 48, 64
+DEEP, WIDE = 160, 64
+#: Texts that a slot remembers with the number of their pages.
+SLOT_TEXTS = 512
 #: Paths of a host's containers that are told apart by their classes.
 MANY = 4096
 #: Least pages, and least share of a host's pages, on which a text that never differs is its template.
@@ -159,17 +166,39 @@ _LITERAL = re.compile(r'(?<!\\)"=[0-9a-f]+\*\d+\*\d+"')
 
 
 class Text(str):
-    """A text of one page's stream, with the numbers of the page's text tokens that it stands for."""
+    """A text or slot, with the texts that it stands for as hash: (pages, characters), and, in the stream of one
+    page, the numbers of that page's text tokens by hash."""
 
-    ids: tuple[int, ...] = ()
+    texts: dict[str, tuple[int, int]] = {}
+    own: dict[str, tuple[int, ...]] = {}
 
     @classmethod
-    def of(cls, value: str, ids: tuple[int, ...]) -> Text:
+    def of(cls, value: str, texts: dict[str, tuple[int, int]] | None = None, own: dict[str, tuple[int, ...]] | None = None) -> Text:
         out = cls(value)
-        out.ids = ids
+        out.texts, out.own = texts or {}, own or {}
         return out
 
 
+def _texts_of(item: str) -> dict[str, tuple[int, int]]:
+    if item[0] == "=":
+        h, n, c = item.split("*")
+        return {h: (int(n), int(c))}
+    return getattr(item, "texts", {})
+
+
+def dumps(items: list) -> str:
+    """A wrapper as JSON, without the numbers of any page's texts."""
+
+    def plain(some):
+        return [{"#": x.texts} if getattr(x, "texts", None) else x if isinstance(x, str) else [*x[:-1], plain(x[-1])] for x in some]
+
+    return json.dumps(plain(items), separators=(",", ":"))
+
+
+def loads(text: str) -> list:
+    return json.loads(text, object_hook=lambda d: Text.of("#", {h: (n, c) for h, (n, c) in d["#"].items()}) if "#" in d else d)
+
+
 def _key(item) -> str:
     return item if isinstance(item, str) else json.dumps(item, separators=(",", ":"))
 
@@ -181,13 +210,22 @@ def _shape(item) -> str:
 
 def _text(left: str, right: str, pages: bool) -> str:
     """What stands for two texts; counts are added for texts of different pages."""
-    value = "#"
-    if left[0] == right[0] == "=":
-        (h, n, c), (k, m, _) = left.split("*"), right.split("*")
-        if h == k:
-            value = f"{h}*{int(n) + int(m) if pages else max(int(n), int(m))}*{c}"
-    ids = getattr(left, "ids", ()) + getattr(right, "ids", ())
-    return Text.of(value, ids) if ids else value
+    a, b = _texts_of(left), _texts_of(right)
+    if not a and not b:
+        return "#"
+    count = (lambda n, m: n + m) if pages else max
+    texts = dict(a)
+    for h, (n, c) in b.items():
+        texts[h] = (count(texts[h][0], n), c) if h in texts else (n, c)
+    if len(texts) > SLOT_TEXTS:
+        texts = dict(sorted(texts.items(), key=lambda x: (-x[1][0], x[0]))[:SLOT_TEXTS])
+    own = dict(getattr(left, "own", {}))
+    for h, ids in getattr(right, "own", {}).items():
+        own[h] = own.get(h, ()) + ids
+    if left[0] == right[0] == "=" and len(texts) == 1:
+        ((h, (n, c)),) = texts.items()
+        return Text.of(f"{h}*{n}*{c}", None, own)
+    return Text.of("#", texts, own)
 
 
 def _same(left: list, right: list, pages: bool) -> list:
@@ -230,12 +268,13 @@ def fold(items: list, widest: int = 12) -> list:
     return items if len(items) <= WIDE else squeeze(items)
 
 
-def _slots(items: list) -> list:
-    return json.loads(_LITERAL.sub('"#"', _key(items)))
+def is_bag(items: list) -> bool:
+    """Whether the items are one group in no regular order."""
+    return len(items) == 1 and _kind(items[0]) == "*"
 
 
-def squeeze(items: list) -> list:
-    """Items in no regular order, as one group that repeats and may hold one of each kind."""
+def _bag(items: list) -> dict:
+    """One item of each kind for the items of one page or wrapper, whatever their order."""
     kinds: dict[str, list] = {}
 
     def add(some: list) -> None:
@@ -243,12 +282,23 @@ def squeeze(items: list) -> list:
             if x[0] in "+?":
                 add(x[1])
             else:
-                kinds[_kind(x)] = _one(kinds[_kind(x)], x) if _kind(x) in kinds else x
+                kinds[_kind(x)] = _one(kinds[_kind(x)], x, False) if _kind(x) in kinds else x
 
-    add(_slots(items))  # texts in no regular order have no place at which they could stay
+    add(items)
     if len(kinds) > WIDE:
         some, kinds = list(kinds.values()), {}
         add([["<", _bare(x[1]), x[2]] if x[0] == "<" else x for x in some])
+    return kinds
+
+
+def squeeze(*sides: list) -> list:
+    """Items in no regular order, as one group that repeats and may hold one of each kind; the sides are of different pages."""
+    kinds: dict[str, list] = {}
+    for bag in map(_bag, sides):
+        for k, x in bag.items():
+            kinds[k] = _one(kinds[k], x, True) if k in kinds else x
+    if len(kinds) > WIDE:
+        kinds = _bag(list(kinds.values()))
     return [["+", [["?", [kinds[k]]] for k in sorted(kinds)]]]
 
 
@@ -268,8 +318,8 @@ def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
     def end_of_run() -> None:
         if run:
             whole = " ".join(entities.unescape("".join(t for _, t in run)).split())
-            value = f"={xxhash.xxh3_64_hexdigest(whole.encode('utf-8', 'surrogatepass'))}*1*{sum(len(t.strip()) for _, t in run)}"
-            levels[-1].append(Text.of(value, tuple(i for i, _ in run)))
+            h = f"={xxhash.xxh3_64_hexdigest(whole.encode('utf-8', 'surrogatepass'))}"
+            levels[-1].append(Text.of(f"{h}*1*{sum(len(t.strip()) for _, t in run)}", None, {h: tuple(i for i, _ in run)}))
             run.clear()
 
     def close(levels: list) -> None:
@@ -337,24 +387,27 @@ def _kind(item) -> str:
     return " ".join(_kind(x) for x in item[1])
 
 
-def _one(left, right):
+def _one(left, right, pages: bool = True):
     """The item that stands for two of one kind."""
     if isinstance(left, str):
-        return _text(left, right, True)
+        return _text(left, right, pages)
     if left[0] == "+" or right[0] == "+":
         a, b = (x[1] if x[0] == "+" else [x] for x in (left, right))
-        return ["+", align(a, b)]
-    return ["<", left[1], align(left[2], right[2])]
+        return ["+", align(a, b, pages)]
+    return ["<", left[1], align(left[2], right[2], pages)]
 
 
-def align(left: list, right: list) -> list:
-    """One list for both: items of one kind stay and are aligned inside, all others become optional."""
-    if left == right:
-        return _same(left, right, True)
+def _strip(items: list) -> list[tuple[bool, list | str]]:
+    """(optional, item): an optional group is matched by what it holds."""
+    return [(o, z) for y in items for o, z in ([(True, z) for z in y[1]] if y[0] == "?" else [(False, y)])]
 
-    def strip(items):  # an optional group is matched by what it holds
-        return [(o, z) for y in items for o, z in ([(True, z) for z in y[1]] if y[0] == "?" else [(False, y)])]
 
+def align(left: list, right: list, pages: bool = True) -> list:
+    """One list for both: items of one kind stay and are aligned inside, all others become optional."""
+    if left == right:
+        return _same(left, right, pages)
+    if pages and (is_bag(left) or is_bag(right)):
+        return squeeze(left, right)
     out: list = []
 
     def add(optional: bool, items: list) -> None:
@@ -365,46 +418,71 @@ def align(left: list, right: list) -> list:
         else:
             out.extend(items)
 
-    a, b = strip(left), strip(right)
+    a, b = _strip(left), _strip(right)
     matcher = SequenceMatcher(None, [_kind(x) for _, x in a], [_kind(x) for _, x in b], autojunk=False)
     for tag, i, j, k, m in matcher.get_opcodes():
         if tag == "equal":
             for (o1, x), (o2, y) in zip(a[i:j], b[k:m]):
-                add(o1 or o2, [_one(x, y)])
+                add(o1 or o2, [_one(x, y, pages)])
         else:
             add(True, [x for _, x in a[i:j]])
             add(True, [y for _, y in b[k:m]])
     if sum(len(x[1]) if x[0] == "?" else 1 for x in out) > WIDE:
-        return squeeze(out)
+        return squeeze(left, right) if pages else squeeze(out)
     return fold(out)
 
 
 def literals_of(items: list, path: tuple = ()) -> Iterator[tuple[tuple, int, int]]:
-    """(labels around it, pages, characters) of every text that stayed."""
+    """(labels around it, pages, characters) of every text that stayed or that a slot remembers."""
     for x in items:
         if isinstance(x, str):
-            if x[0] == "=":
-                _, pages, chars = x.split("*")
-                yield path, int(pages), int(chars)
+            yield from ((path, n, c) for n, c in _texts_of(x).values())
         else:
             yield from literals_of(x[2], (*path, x[1])) if x[0] == "<" else literals_of(x[1], path)
 
 
+def only_template(items: list, pages: int) -> list:
+    """The wrapper with the texts of the host's template alone; all others are slots."""
+    least = max(LEAST_PAGES, TEMPLATE_SHARE * pages)
+
+    def text(x: str) -> str:
+        kept = {h: v for h, v in _texts_of(x).items() if v[0] >= least}
+        return x if kept and x[0] == "=" else Text.of("#", kept) if kept else "#"
+
+    return [text(x) if isinstance(x, str) else [*x[:-1], only_template(x[-1], pages)] for x in items]
+
+
 def template_texts(wrapper: list, page: list, pages: int) -> set[int]:
     """Numbers of the page's texts that the wrapper holds as the host's template."""
     least = max(LEAST_PAGES, TEMPLATE_SHARE * pages)
     found: set[int] = set()
 
-    def strip(items):
-        return [z for y in items for z in (y[1] if y[0] == "?" else [y])]
+    def text(slot: str, x: str) -> None:
+        known = _texts_of(slot)
+        for h, ids in getattr(x, "own", {}).items():
+            if known.get(h, (0,))[0] >= least:
+                found.update(ids)
+
+    def in_bag(kinds: dict, some: list) -> None:
+        for x in some:
+            if not isinstance(x, str) and x[0] in "+?":
+                in_bag(kinds, x[1])
+                continue
+            of = kinds.get(_kind(x)) or (kinds.get(f"<{_bare(x[1])}") if x[0] == "<" else None)
+            if of is not None and isinstance(x, str):
+                text(of, x)
+            elif of is not None:
+                match(of[2], x[2])
 
     def match(left: list, right: list) -> None:
-        a, b = strip(left), strip(right)
+        if is_bag(left):
+            in_bag({_kind(y[1][0]): y[1][0] for y in left[0][1]}, right)
+            return
+        a, b = [x for _, x in _strip(left)], [x for _, x in _strip(right)]
         for m in SequenceMatcher(None, [_kind(x) for x in a], [_kind(x) for x in b], autojunk=False).get_matching_blocks():
             for x, y in zip(a[m.a : m.a + m.size], b[m.b : m.b + m.size]):
                 if isinstance(x, str):
-                    if x[0] == y[0] == "=" and x.split("*")[0] == y.split("*")[0] and int(x.split("*")[1]) >= least:
-                        found.update(y.ids)
+                    text(x, y)
                 elif x[0] == "<" == y[0]:
                     match(x[2], y[2])
                 else:
@@ -596,7 +674,7 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         for host, page in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
             items, mass = skeleton(page or "", True)
-            items = json.loads(json.dumps(items))  # without the numbers of the page's texts
+            items = loads(dumps(items))  # without the numbers of the page's texts
             if host not in held:
                 held[host] = (items, dict(mass), 1)
             else:
@@ -612,7 +690,7 @@ def _wrapper_batch(rows: list[tuple[str, list, dict[str, int], int]]) -> pa.Reco
     return pa.RecordBatch.from_arrays(
         [
             pa.array([h for h, *_ in rows], pa.string()),
-            pa.array([json.dumps(w) for _, w, _, _ in rows], pa.string()),
+            pa.array([dumps(w) for _, w, _, _ in rows], pa.string()),
             pa.array([list(m.items()) for _, _, m, _ in rows], pa.map_(pa.string(), pa.int64())),
             pa.array([n for *_, n in rows], pa.int64()),
         ],
@@ -628,18 +706,22 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # Equal wrappers of different pages count for each of them.
         return (*merge(((w, m) for w, m, _ in rows), False), sum(n for *_, n in rows))
 
+    def whole(rows: list) -> tuple[list, dict[str, int], int]:
+        wrapper, mass, n = one(rows)
+        return only_template(wrapper, n), mass, n
+
     for batch in batches:
         for host, w, m, n in zip(*(batch.column(c).to_pylist() for c in ("host", "wrapper", "mass", "pages"))):
             if held and held[0] != host:
-                yield _wrapper_batch([(held[0], *one(held[1]))])
+                yield _wrapper_batch([(held[0], *whole(held[1]))])
                 held = None
             if held is None:
                 held = (host, [])
-            held[1].append((json.loads(w), dict(m), n))
+            held[1].append((loads(w), dict(m), n))
             if len(held[1]) >= 64:
                 held = (host, [one(held[1])])
     if held:
-        yield _wrapper_batch([(held[0], *one(held[1]))])
+        yield _wrapper_batch([(held[0], *whole(held[1]))])
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -655,7 +737,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def _containers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [(json.loads(w), dict(m), n) for w, m, n in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "mass", "pages")))]
+        rows = [(loads(w), dict(m), n) for w, m, n in zip(*(batch.column(c).to_pylist() for c in ("wrapper", "mass", "pages")))]
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("host"),
@@ -672,7 +754,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     @lru_cache(256)
     def wrapper(w: str | None, pages: int | None) -> list | None:
         """The wrapper, if it leaves out any text."""
-        items = json.loads(w) if w else None
+        items = loads(w) if w else None
         return items if items and has_template(items, pages) else None
 
     holders = lru_cache(256)(lambda h: json.loads(h) if h else [])

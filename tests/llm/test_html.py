@@ -115,3 +115,75 @@ def test_labels_without_end_stay_bounded():
     wrapper, mass = H.merge(H.skeleton(p) for p in pages)
     assert len(H._key(wrapper)) < 20_000 and len(mass) <= H.MANY + 1
     assert H.main_text(pages[5], H.containers(wrapper, mass)) == "story 5"
+
+
+def texts_of(pages):
+    """Every page's text by the wrapper of all of them, as one host."""
+    wrapper, mass = H.merge((H.skeleton(p, True) for p in pages), False)
+    n = len(pages)
+    held, free = H.containers(wrapper, mass, n), H.overruled(H.slot_mass(wrapper, mass, n))
+    return [H.main_text(p, held, wrapper, n, free) for p in pages]
+
+
+def test_an_article_is_found_at_any_depth():
+    for depth in (1, 50, 60, 200, 900):
+        page = lambda i: f'<body><div class="top">The name of the site</div>{"<div>" * depth}<article><section class="a"><p>first {i} {"words " * 9}</p></section><p>Read it all here</p><section class="b"><p>second {i}</p></section></article>{"</div>" * depth}<div>a line of rights</div></body>'
+        assert texts_of([page(i) for i in range(8)]) == [f"first {i} {'words ' * 9}second {i}" for i in range(8)], depth
+
+
+def test_constants_of_equal_neighbours_are_told_from_slots():
+    """The constant paragraphs stand in one repeated group with the story's own."""
+    page = lambda i: f'<body><div class="c"><p>Welcome to our site</p>{"".join(f"<p>story {i} part {k} is told here</p>" for k in range(i % 4 + 2))}<p>All rights are ours</p></div></body>'
+    want = [" ".join(f"story {i} part {k} is told here" for k in range(i % 4 + 2)) for i in range(12)]
+    assert texts_of([page(i) for i in range(12)]) == want
+
+
+def test_levels_of_many_items_in_no_order_keep_their_constants():
+    rng = random.Random(1)
+    kinds = "p h2 h3 pre blockquote ul ol table figure".split()
+
+    def page(i):
+        parts = [(k, f"{k} {i} {rng.randint(0, 10**6)}") for k in rng.choices(kinds, k=150)]
+        body = "".join(f"<{k}>{x}</{k}>" for k, x in parts)
+        return f"<body><div><h1>Welcome to our site</h1></div>{body}<p>All rights are ours</p></body>", " ".join(x for _, x in parts)
+
+    made = [page(i) for i in range(9)]
+    assert texts_of([p for p, _ in made]) == [x for _, x in made]
+
+
+def test_alignment_decides_the_text(monkeypatch):
+    page = lambda i: f'<body><div class="c"><h4>Welcome to our site</h4><p>story {i} is told at some length</p></div></body>'
+    pages = [page(i) for i in range(6)]
+    want = [f"story {i} is told at some length" for i in range(6)]
+    assert texts_of(pages) == want
+    monkeypatch.setattr(H, "align", lambda left, right, pages=True: left + right)
+    assert texts_of(pages) != want
+
+
+def test_wrappers_are_bounded_whatever_the_number_of_pages(spark):
+    rng = random.Random(3)
+    page = lambda i: f'<body><div class="top">bar {i}</div><div class="story">{"".join(rng.choice(("<p>%d</p>", "<h2>%d</h2>", "<ul><li>%d</li></ul>")) % rng.randint(0, 10**9) for _ in range(rng.randint(1, 90)))}</div></body>'
+    size = {}
+    for n in (60, 600):
+        df = spark.createDataFrame([(i, "http://h.example/x", page(i)) for i in range(n)], "page_id long, url string, html string")
+        size[n] = len(H.infer_wrappers(df).first().wrapper)
+    assert size[600] < 1.5 * size[60] + 500
+
+
+def test_hosts_with_layouts_of_their_own_against_what_was_put_in(spark):
+    """No page has an article element; the texts that were put in are the plain version."""
+    rng = random.Random(7)
+    rows, want = [], {}
+    for host in range(12):
+        own = rng.sample("story entry post body text content main-copy page-text".split(), 2)
+        bar, legal, call = (" ".join(f"{w}{host}" for w in words) for words in (("home", "about", "news"), ("all", "rights", "kept"), ("sign", "up", "today")))
+        for i in range(9):
+            key = host * 100 + i
+            parts = [f"line {key} {k} " + " ".join(str(rng.randint(0, 999)) for _ in range(rng.randint(8, 30))) for k in range(rng.randint(2, 7))]
+            blocks = "".join(f"<{t}>{x}</{t}>" for t, x in zip(rng.choices(("p", "h2", "blockquote"), k=len(parts)), parts))
+            inner = f'<div class="{own[1]}">{blocks}</div>' if host % 2 else blocks
+            page = f'<html><head><title>t{key}</title></head><body><div class="bar-{host}">{bar}</div><div class="{own[0]} n{i}"><h6>{call}</h6>{inner}</div><ul class="menu"><li>x{key}</li></ul><div>{legal}</div><script>var a="</p>{key}"</script></body></html>'
+            rows.append((key, f"https://h{host}.example/p{i}", page))
+            want[key] = " ".join(" ".join(parts).split())
+    got = {r.page_id: r.text for r in H.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
