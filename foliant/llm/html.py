@@ -10,7 +10,7 @@ pages of a large host. Every page takes part.
 
 Texts enter the streams as hashes with a count of pages: an equal text at the same place of two pages
 stays and its counts are added, differing ones become a slot. A slot, which in a repeated group stands
-for many places, remembers its most frequent texts with their pages (``SLOT_TEXTS`` of them; a text on a
+for many places, remembers its most frequent texts with their pages (``SLOT_TEXTS`` of them at least; a text on a
 good share of the pages is among these, for one that is rare goes first). A text that stands at one
 place on at least ``LEAST_PAGES`` pages and on ``TEMPLATE_SHARE`` of the host's is the host's template.
 
@@ -113,11 +113,13 @@ def is_boilerplate(element: str, names: str) -> bool:
     return element in SKIP or named_boilerplate(element, names)
 
 
+@lru_cache(65_536)
 def named_boilerplate(element: str, names: str) -> bool:
     """Whether a whole class, id or role name marks the element."""
     return element not in HOLDERS and not SKIP_NAMES.isdisjoint(x.lstrip("#") for x in names.split())
 
 
+@lru_cache(65_536)
 def _label(element: str, names: str) -> str:
     classes = sorted({_DIGITS.sub("0", x) for x in names.replace("/", "|").split() if x[0] != "#"})
     return f"{element}.{'.'.join(classes)}" if classes else element
@@ -162,9 +164,6 @@ def walk(page: str) -> Iterator[tuple[str, list, str]]:
 # A wrapper is a list of items: "#" (a text slot), "=hash*pages*characters" (a text that stayed), ["<", label, items]
 # (an element), ["+", items] (a group that repeats) and ["?", items] (a group that may be absent).
 
-_LITERAL = re.compile(r'(?<!\\)"=[0-9a-f]+\*\d+\*\d+"')
-
-
 class Text(str):
     """A text or slot, with the texts that it stands for as hash: (pages, characters), and, in the stream of one
     page, the numbers of that page's text tokens by hash."""
@@ -203,9 +202,22 @@ def _key(item) -> str:
     return item if isinstance(item, str) else json.dumps(item, separators=(",", ":"))
 
 
+class Node(list):
+    """An item of a finished stretch, which keeps its shape once it is known."""
+
+    __slots__ = ("shape",)
+
+
 def _shape(item) -> str:
-    """An item's key with every text as a slot."""
-    return "#" if isinstance(item, str) else _LITERAL.sub('"#"', _key(item))
+    """What an item is without its texts."""
+    if isinstance(item, str):
+        return "#"
+    shape = getattr(item, "shape", None)
+    if shape is None:
+        shape = f"{' '.join(item[:-1])}({' '.join(map(_shape, item[-1]))})"
+        if isinstance(item, Node):
+            item.shape = shape
+    return shape
 
 
 def _text(left: str, right: str, pages: bool) -> str:
@@ -213,15 +225,19 @@ def _text(left: str, right: str, pages: bool) -> str:
     a, b = _texts_of(left), _texts_of(right)
     if not a and not b:
         return "#"
-    count = (lambda n, m: n + m) if pages else max
-    texts = dict(a)
-    for h, (n, c) in b.items():
-        texts[h] = (count(texts[h][0], n), c) if h in texts else (n, c)
-    if len(texts) > SLOT_TEXTS:
+    texts = a or dict(b)  # what is merged into grows in place
+    if a:
+        for h, (n, c) in b.items():
+            known = texts.get(h)
+            texts[h] = (n, c) if known is None else (known[0] + n if pages else max(known[0], n), c)
+    if len(texts) > 2 * SLOT_TEXTS:
         texts = dict(sorted(texts.items(), key=lambda x: (-x[1][0], x[0]))[:SLOT_TEXTS])
-    own = dict(getattr(left, "own", {}))
-    for h, ids in getattr(right, "own", {}).items():
-        own[h] = own.get(h, ()) + ids
+    own = getattr(left, "own", None)
+    more = getattr(right, "own", None)
+    if own and more:
+        own = own | {h: own.get(h, ()) + ids for h, ids in more.items()}
+    else:
+        own = own or more
     if left[0] == right[0] == "=" and len(texts) == 1:
         ((h, (n, c)),) = texts.items()
         return Text.of(f"{h}*{n}*{c}", None, own)
@@ -230,7 +246,7 @@ def _text(left: str, right: str, pages: bool) -> str:
 
 def _same(left: list, right: list, pages: bool) -> list:
     """One list for two of one shape."""
-    out = []
+    out = type(left)()
     for x, y in zip(left, right):
         if isinstance(x, list):
             out.append(_same(x, y, pages))
@@ -254,11 +270,11 @@ def fold(items: list, widest: int = 12) -> list:
             if j > i + width:
                 for k in range(i + width, j, width):
                     inner = _same(inner, items[k : k + width], False)
-                out.append(inner[0] if width == 1 and inner[0][0] == "+" else ["+", inner])
+                out.append(inner[0] if width == 1 and inner[0][0] == "+" else Node(("+", inner)))
                 shapes.append(group if out[-1][1] is inner else None)
                 i = j
             elif out and out[-1][0] == "+" and (shapes[-1] or [_shape(x) for x in out[-1][1]]) == group:
-                out[-1] = ["+", _same(out[-1][1], inner, False)]  # one more of a group that is known to repeat
+                out[-1] = Node(("+", _same(out[-1][1], inner, False)))  # one more of a group that is known to repeat
                 i = j
             else:
                 out.append(items[i])
@@ -351,7 +367,7 @@ def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
             # What lies deeper belongs to the element at the last level that a wrapper describes.
             inner: list = [] if len(levels) < DEEP else levels[-1]
             if inner is not levels[-1]:
-                levels[-1].append(["<", stack[-1][1], inner])
+                levels[-1].append(Node(("<", stack[-1][1], inner)))
             levels.append(inner)
         else:
             end_of_run()
