@@ -130,9 +130,17 @@ def _bare(label: str) -> str:
     return label.split(".")[0] + ".*"
 
 
+#: What stands for the element around a page's first one.
+NOWHERE = ("", "", False, False, "", "", False)
+
+
 def walk(page: str) -> Iterator[tuple[str, list, str]]:
-    """("open" | "close" | "text", open elements as (element, label, boilerplate by element, boilerplate by name), text)."""
-    stack: list[tuple[str, str, bool, bool]] = []
+    """("open" | "close" | "text", open elements, text).
+
+    An open element is (element, label, boilerplate by element, boilerplate by name, path, path of the container that
+    its text counts for, whether it or one around it is boilerplate by its element).
+    """
+    stack: list[tuple[str, str, bool, bool, str, str, bool]] = []
     for kind, value, names in tokens(page):
         if kind == "text":
             yield kind, stack, value
@@ -150,7 +158,13 @@ def walk(page: str) -> Iterator[tuple[str, list, str]]:
                         break
                     if stack[i][0] not in INLINE:
                         break
-            stack.append((value, _label(value, names), value in SKIP, named_boilerplate(value, names)))
+            label, named = _label(value, names), named_boilerplate(value, names)
+            _, _, _, _, path, holder, skipped = stack[-1] if stack else NOWHERE
+            if named or value not in INLINE:
+                own = f"{path}/{'!' if named else ''}{label}" if path else f"{'!' if named else ''}{label}"
+                # The text counts for the container, not for the paragraph that holds it.
+                path, holder = own, path if not named and value in LEAVES else own
+            stack.append((value, label, value in SKIP, named, path, holder, skipped or value in SKIP))
             yield "open", stack, ""
         else:
             for i in range(len(stack) - 1, -1, -1):
@@ -353,11 +367,9 @@ def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
                 continue
             if not texts and levels[-1][-1:] != ["#"]:
                 levels[-1].append("#")
-            if not any(s[2] for s in stack):
-                path = ["!" * s[3] + s[1] for s in stack if s[0] not in INLINE or s[3]]
-                if path and path[-1].split(".")[0] in LEAVES:
-                    path.pop()  # the text counts for the container, not for the paragraph that holds it
-                mass["/".join(path)] = mass.get("/".join(path), 0) + n
+            *_, holder, skipped = stack[-1] if stack else NOWHERE
+            if not skipped:
+                mass[holder] = mass.get(holder, 0) + n
         elif kind == "void" or stack[-1][0] in INLINE:
             if run:
                 run.append((number, " " if kind == "void" else ""))
@@ -418,6 +430,10 @@ def _strip(items: list) -> list[tuple[bool, list | str]]:
     return [(o, z) for y in items for o, z in ([(True, z) for z in y[1]] if y[0] == "?" else [(False, y)])]
 
 
+def _opcodes(a: list[str], b: list[str]) -> list[tuple[str, int, int, int, int]]:
+    return [("equal", 0, len(a), 0, len(b))] if a == b else SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 def align(left: list, right: list, pages: bool = True) -> list:
     """One list for both: items of one kind stay and are aligned inside, all others become optional."""
     if left == right:
@@ -435,8 +451,7 @@ def align(left: list, right: list, pages: bool = True) -> list:
             out.extend(items)
 
     a, b = _strip(left), _strip(right)
-    matcher = SequenceMatcher(None, [_kind(x) for _, x in a], [_kind(x) for _, x in b], autojunk=False)
-    for tag, i, j, k, m in matcher.get_opcodes():
+    for tag, i, j, k, m in _opcodes([_kind(x) for _, x in a], [_kind(x) for _, x in b]):
         if tag == "equal":
             for (o1, x), (o2, y) in zip(a[i:j], b[k:m]):
                 add(o1 or o2, [_one(x, y, pages)])
@@ -495,8 +510,8 @@ def template_texts(wrapper: list, page: list, pages: int) -> set[int]:
             in_bag({_kind(y[1][0]): y[1][0] for y in left[0][1]}, right)
             return
         a, b = [x for _, x in _strip(left)], [x for _, x in _strip(right)]
-        for m in SequenceMatcher(None, [_kind(x) for x in a], [_kind(x) for x in b], autojunk=False).get_matching_blocks():
-            for x, y in zip(a[m.a : m.a + m.size], b[m.b : m.b + m.size]):
+        for tag, i, j, k, m in _opcodes([_kind(x) for x in a], [_kind(x) for x in b]):
+            for x, y in zip(a[i:j], b[k:m]) if tag == "equal" else ():
                 if isinstance(x, str):
                     text(x, y)
                 elif x[0] == "<" == y[0]:
@@ -595,6 +610,11 @@ def containers(wrapper: list, mass: dict[str, int], pages: int = 0) -> list[list
     return [[x] for x in ranked if held[x] >= SUPPORT * held[ranked[0]] and x.split(".")[0] not in ("html", "body", "")]
 
 
+def _skipped(stack: list, free: list[str]) -> bool:
+    """Whether an open element is boilerplate; labels of ``free`` are none by their names."""
+    return bool(stack) and (stack[-1][6] or ("!" in stack[-1][4] and any(s[3] and s[1] not in free for s in stack)))
+
+
 def chosen(page: str, held: list[list[str]], dropped: set[int], free: list[str]) -> set[str]:
     """The page's own container among those of its host."""
     known = {x for some in held for x in some}
@@ -608,7 +628,7 @@ def chosen(page: str, held: list[list[str]], dropped: set[int], free: list[str])
         elif kind == "text":
             number += 1
             n = len(value.strip())
-            if n and number not in dropped and not any(s[2] or (s[3] and s[1] not in free) for s in stack):
+            if n and number not in dropped and not _skipped(stack, free):
                 whole += n
                 for x in {y for s in stack for y in (s[1], _bare(s[1])) if y in known}:
                     size[x] += n
@@ -654,7 +674,7 @@ def _blocks(page: str, own: set[str], dropped: set[int] = frozenset(), free: lis
     for kind, stack, value in walk(page):
         if kind == "text":
             number += 1
-            if any(s[2] or (s[3] and s[1] not in free) for s in stack) or (own and not any(s[1] in own or _bare(s[1]) in own for s in stack)):
+            if _skipped(stack, free) or (own and not any(s[1] in own or _bare(s[1]) in own for s in stack)):
                 continue
             if number in dropped:
                 constant += len(value.strip())
