@@ -193,17 +193,18 @@ class Text(str):
 
 
 def _texts_of(item: str) -> dict[str, tuple[int, int]]:
-    if item[0] == "=":
+    texts = getattr(item, "texts", None)
+    if not texts and item[0] == "=":
         h, n, c = item.split("*")
         return {h: (int(n), int(c))}
-    return getattr(item, "texts", {})
+    return texts or {}
 
 
 def dumps(items: list) -> str:
     """A wrapper as JSON, without the numbers of any page's texts."""
 
     def plain(some):
-        return [{"#": x.texts} if getattr(x, "texts", None) else x if isinstance(x, str) else [*x[:-1], plain(x[-1])] for x in some]
+        return [{"#": x.texts} if x == "#" and getattr(x, "texts", None) else x if isinstance(x, str) else [*x[:-1], plain(x[-1])] for x in some]
 
     return json.dumps(plain(items), separators=(",", ":"))
 
@@ -244,18 +245,19 @@ def _text(left: str, right: str, pages: bool) -> str:
         for h, (n, c) in b.items():
             known = texts.get(h)
             texts[h] = (n, c) if known is None else (known[0] + n if pages else max(known[0], n), c)
-    if len(texts) > 2 * SLOT_TEXTS:
-        texts = dict(sorted(texts.items(), key=lambda x: (-x[1][0], x[0]))[:SLOT_TEXTS])
-    own = getattr(left, "own", None)
-    more = getattr(right, "own", None)
+        if len(texts) > 2 * SLOT_TEXTS:
+            kept = sorted(texts.items(), key=lambda x: (-x[1][0], x[0]))[:SLOT_TEXTS]
+            texts.clear()
+            texts.update(kept)
+    own, more = getattr(left, "own", None), getattr(right, "own", None)
     if own and more:
-        own = own | {h: own.get(h, ()) + ids for h, ids in more.items()}
-    else:
-        own = own or more
+        for h, ids in more.items():
+            own[h] = own[h] + ids if h in own else ids
+    own = own or more
     if left[0] == right[0] == "=" and len(texts) == 1:
         ((h, (n, c)),) = texts.items()
-        return Text.of(f"{h}*{n}*{c}", None, own)
-    return Text.of("#", texts, own)
+        return Text.of(f"{h}*{n}*{c}", texts, own)
+    return left if left == "#" and a else Text.of("#", texts, own)
 
 
 def _same(left: list, right: list, pages: bool) -> list:
@@ -349,7 +351,8 @@ def skeleton(page: str, texts: bool = False) -> tuple[list, dict[str, int]]:
         if run:
             whole = " ".join(entities.unescape("".join(t for _, t in run)).split())
             h = f"={xxhash.xxh3_64_hexdigest(whole.encode('utf-8', 'surrogatepass'))}"
-            levels[-1].append(Text.of(f"{h}*1*{sum(len(t.strip()) for _, t in run)}", None, {h: tuple(i for i, _ in run)}))
+            n = sum(len(t.strip()) for _, t in run)
+            levels[-1].append(Text.of(f"{h}*1*{n}", {h: (1, n)}, {h: tuple(i for i, _ in run)}))
             run.clear()
 
     def close(levels: list) -> None:

@@ -13,7 +13,8 @@ and dropped inside each page's own line array, so page texts are not regrouped.
 
 Null texts stay null and contain no line, a null host is a host of its own, repeated rows each stay
 as a row, a page whose lines are all dropped keeps its row with an empty text, and an empty table
-gives an empty result.
+gives an empty result. A very long text is one array of lines in one row; its lines count once each.
+Other columns are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,6 +30,14 @@ MIN_PAGES = 3
 WIDE = (0.03, 10)
 
 
+def _free(df: DataFrame, name: str) -> str:
+    """A name that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def _trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r\x0b\x0c"))
 
@@ -78,16 +87,15 @@ def drop_boilerplate(
     docs: DataFrame, ratio: float = RATIO, min_pages: int = MIN_PAGES, host_col: str = "source", text_col: str = "text", wide: tuple[float, int] | None = None
 ) -> DataFrame:
     """``docs`` with the boilerplate lines of each row's host taken out of its text; all other columns stay."""
+    host, lines = _free(docs, "its_host"), _free(docs, "its_lines")
     # Written first: Spark then knows how small it is, and need not regroup the texts to find out.
-    found = durable(boilerplate_lines(docs, ratio, min_pages, host_col, text_col, wide)).select(
-        F.col("host").alias("__host"), F.col("lines").alias("__lines")
-    )
-    joined = docs.join(found, docs[host_col].eqNullSafe(F.col("__host")), "left")
+    found = durable(boilerplate_lines(docs, ratio, min_pages, host_col, text_col, wide)).select(F.col("host").alias(host), F.col("lines").alias(lines))
+    joined = docs.join(found, F.col(f"`{host_col}`").eqNullSafe(F.col(host)), "left")
     kept = F.filter(
-        F.split(F.col(text_col), "\n"), lambda line: ~F.array_contains(F.col("__lines"), _address(_trimmed(line)))
+        F.split(F.col(f"`{text_col}`"), "\n"), lambda line: ~F.array_contains(F.col(lines), _address(_trimmed(line)))
     )
-    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumn(text_col, text).drop("__host", "__lines")
+    text = F.when(F.col(lines).isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumn(text_col, text).drop(host, lines)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

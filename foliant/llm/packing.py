@@ -9,9 +9,13 @@ a lost executor never makes two branches see different bins. No partition gets m
 ``ROUND_ITEMS`` items: while there are more, they stay spread over several, each of which has more
 items than best fit needs.
 
+With ``SLACK`` 0 only full bins are sent off before the last round, which needs the fewest sequences; a larger
+one sends nearly full ones off as well and so shortens the rounds.
+
 Null texts are empty; a document always ends with id 0, so an empty one has one token. Repeated
-rows are packed as often as they come. Rows with a null id are packed like any other. An empty
-table gives an empty result. Columns other than id and text are ignored.
+rows are packed as often as they come. Rows with a null id are packed like any other. A very long
+text is tokenised whole and gives many pieces. An empty table gives an empty result. Columns other than id
+and text are ignored.
 """
 
 from __future__ import annotations
@@ -185,7 +189,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Dat
         F.lit(0).alias("offset"),
     )
     parts, round_no, done = max(1, -(-pieces.count() // ROUND_ITEMS)), 0, []
-    deal, left, open_bins = F.col("n"), None, items
+    deal, left, open_bins = F.xxhash64("n"), None, items
     while True:
         now = durable(
             open_bins.withColumn("part", F.pmod(deal, F.lit(parts)).cast("int"))

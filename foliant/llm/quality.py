@@ -13,8 +13,8 @@ Features come from the text alone.
 Null texts count as empty; empty texts get a score like any other. Labels that are null or belong
 to no row are left out; of several labels for one id the largest counts. Repeated rows get equal
 scores. Rows with a null id are scored and never held out. Without labels of both kinds the model
-scores every text with the share of label 1 (a half without labels). An empty table gives an empty
-result. Columns other than id and text are ignored.
+scores every text with the share of label 1 (a half without labels). A very long text is counted whole,
+in one piece. An empty table gives an empty result. Columns other than id and text are ignored.
 """
 
 from __future__ import annotations

@@ -52,3 +52,12 @@ def test_the_pipeline_drops_lines_well_above_the_wide_ratio(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     got = [r.text for r in C.line_dedup(spark, df, "").collect()]
     assert sum("nine" in t for t in got) == 0 and sum("\none" in t for t in got) == 4 and all("own" in t for t in got)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long = "\n".join(f"own {i}" for i in range(60_000))
+    rows = [(i, f"menu\nstory {i}", "h", "x", "y") for i in range(20)] + [(99, f"menu\n{long}\nmenu", "h", "x", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, its_host string, its_lines string")
+    out = L.drop_boilerplate(docs)
+    got = {r.doc_id: r.text for r in out.collect()}
+    assert out.columns == docs.columns and got[3] == "story 3" and got[99] == long

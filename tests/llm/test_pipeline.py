@@ -36,3 +36,15 @@ def test_edges(spark, sf_dir):
         assert out.count() > 0
         assert stage(spark, docs.limit(0), sf_dir).count() == 0
     assert C.near_dedup(spark, docs, sf_dir).where("doc_id = 3").count() == 1
+
+
+def test_a_very_long_text_goes_through_every_stage(spark, sf_dir):
+    long = "\n".join(f"a line of its own, number {i}" for i in range(40_000))
+    rows = [(i, long if i == 7 else f"a short text, number {i}, of a few words", "en", "s", 0, "clash") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    for name, stage in C.STAGES:
+        docs = stage(spark, docs, sf_dir)
+        assert docs.where("doc_id = 7").count() > 0 or name == "quality"
+        if name == "quality":
+            docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, row string")
+    assert docs.where("doc_id = 7").count() > 100
