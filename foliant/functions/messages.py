@@ -40,30 +40,53 @@ def parse_verdict(text: Column) -> Column:
     )
 
 
+#: What opens the block of metadata, a tag of an attached file, and an element that names one.
+METADATA, ATTACHED, FILE_ELEMENT = "Conversation info (untrusted metadata):", "media attached:", "file"
+FENCE = "`{3}(?:json)?"
+
+
+def _bracketed(opening: str) -> str:
+    """A tag in square brackets, whatever follows its opening."""
+    return rf"\[{opening}[^\]]*\]"
+
+
 def message_metadata(text: Column) -> Column:
     """Sender and message id from the embedded JSON, else from its raw text, else the header's id;
     and the text without its wrappers."""
-    block = F.regexp_extract(text, r"(?s)Conversation info \(untrusted metadata\):\s*(?:```json\s*)?(\{.*?\})", 1)
-    field = lambda name: F.nullif(F.trim(F.get_json_object(block, f"$.{name}")), F.lit(""))
-    raw = lambda name: F.nullif(F.regexp_extract(text, rf'"{name}"\s*:\s*"([^"]+)"', 1), F.lit(""))
-    header = F.nullif(F.regexp_extract(text, r"\[[A-Z][a-z]+ .*?\bid:([0-9]+)\b", 1), F.lit(""))
-    bare = F.regexp_replace(text, r"(?s)Conversation info \(untrusted metadata\):\s*(?:```json\s*)?\{.*?\}(?:\s*```)?", "")
-    bare = F.regexp_replace(F.regexp_replace(bare, r"\[[A-Z][a-z]+ [^\]]*\]", ""), r"\[media attached:[^\]]*\]", "")
+    parts = F.split(text, F.lit(rf"\Q{METADATA}\E"), 2)
+    behind = F.ltrim(F.regexp_replace(F.coalesce(F.get(parts, F.lit(1)), F.lit("")), rf"^\s*(?:{FENCE})?\s*", ""))
+    block = F.when(F.startswith(behind, F.lit("{")), F.concat(F.substring_index(behind, "}", 1), F.lit("}")))
+    after = F.when(block.isNull(), behind).otherwise(F.regexp_replace(F.substring(behind, F.length(block) + 1, F.length(behind)), rf"^\s*{FENCE}", ""))
+    bare = F.concat_ws(" ", F.get(parts, F.lit(0)), after)
+    for opening in ("[A-Z][a-z]+ ", ATTACHED):
+        bare = F.regexp_replace(bare, _bracketed(opening), "")
+
+    def field(name: str) -> Column:
+        own = F.nullif(F.trim(F.get_json_object(block, f"$.{name}")), F.lit(""))
+        quoted = F.split(text, F.lit(f'"{name}"\\s*:\\s*"'), 2)
+        return F.coalesce(own, F.nullif(F.substring_index(F.get(quoted, F.lit(1)), '"', 1), F.lit("")))
+
+    header = F.regexp_extract(text, _bracketed("[A-Z][a-z]+ "), 0)
+    number = F.nullif(F.regexp_extract(header, r"\bid:(\d+)", 1), F.lit(""))
     return F.struct(
-        F.coalesce(field("sender_id"), raw("sender_id"), header).alias("sender_id"),
-        F.coalesce(field("message_id"), raw("message_id")).alias("message_id"),
+        F.coalesce(field("sender_id"), number).alias("sender_id"),
+        field("message_id").alias("message_id"),
         F.trim(F.regexp_replace(bare, r"\s+", " ")).alias("body"),
     )
 
 
 def message_media(text: Column) -> Column:
-    """Paths of both tag forms in their order, each with whether it is Markdown."""
-    first = F.regexp_extract_all(text, F.lit(r"\[media attached:\s*([^\]\n|]+?)(?:\s+\([^)]+\))?(?:\s*\|\s*[^\]]+)?\]"), 1)
-    second = F.regexp_extract_all(text, F.lit(r'<file\s+name="([^"]+)"(?:\s+mime="[^"]+")?\s*>'), 1)
-    return F.transform(
-        F.concat(first, second),
-        lambda p: F.struct(F.trim(p).alias("path"), F.lower(F.trim(p)).rlike(r"\.(md|markdown)$").alias("is_markdown")),
-    )
+    """Paths of both tag forms, tags in brackets first, each with whether it is Markdown.
+
+    A tag holds a path, after it perhaps a type in parentheses, and after a bar what else is known; an element
+    holds the path as its name.
+    """
+    tags = F.transform(F.regexp_extract_all(text, F.lit(_bracketed(ATTACHED)), 0), lambda t: F.btrim(t, F.lit("[]")))
+    in_tags = F.transform(tags, lambda t: F.regexp_replace(F.substring_index(F.substring(t, len(ATTACHED) + 1, 10**9), "|", 1), r"\s\([^()]*\)\s*$", ""))
+    elements = F.regexp_extract_all(text, F.lit(rf"<{FILE_ELEMENT}\s[^>]*>"), 0)
+    in_elements = F.transform(elements, lambda e: F.regexp_extract(e, r'\sname="([^"]*)"', 1))
+    paths = F.filter(F.transform(F.concat(in_tags, in_elements), lambda p: F.trim(p)), lambda p: p != "")
+    return F.transform(paths, lambda p: F.struct(p.alias("path"), F.lower(p).rlike(r"\.(md|markdown)$").alias("is_markdown")))
 
 
 @dataclass(frozen=True)

@@ -79,6 +79,22 @@ def select_requested(items: DataFrame, requested: DataFrame, limit: int | None =
     return found if limit is None else found.limit(limit)
 
 
+def artifact_order(artifacts: DataFrame, requested: DataFrame | None = None, recent: bool = False) -> DataFrame:
+    """In the order of the request (news_item_id, place) where there is one, those not asked for at the end;
+    else the most recently updated first if ``recent``, ties by id; else by id."""
+    if requested is not None:
+        return artifacts.join(requested, "news_item_id", "left").orderBy(F.asc_nulls_last("place"), "news_item_id")
+    if recent:
+        return artifacts.orderBy(F.desc_nulls_last("updated_at"), F.desc("news_item_id"))
+    return artifacts.orderBy("news_item_id")
+
+
+def recent_list(items: DataFrame) -> DataFrame:
+    """Each item's last version, the newest day first, within it by time and then id, both descending."""
+    at = parse_approve_ts(F.col("approve_date"))
+    return latest_by_id(items).orderBy(F.desc("day_file"), F.desc_nulls_last(at), F.desc("news_item_id"))
+
+
 def missing_ids(items: DataFrame, requested: DataFrame) -> DataFrame:
     """Requested ids that no item has."""
     return requested.join(items.select("news_item_id"), "news_item_id", "left_anti").select("news_item_id").distinct()

@@ -91,15 +91,62 @@ def pair_all(truth: DataFrame, predictions: DataFrame, engines: tuple[str, ...])
     return every.join(p, ["engine", "doc_id"], "left").fillna({"prediction": "", "prediction_available": False})
 
 
+def _items(text: Column, side: int) -> Column:
+    """All that is counted of one text, as (side, kind, item, pos): tokens, lines, cells and shapes of table rows, headings and their levels."""
+    lines = F.when(F.coalesce(text, F.lit("")) != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
+    trimmed = F.transform(lines, lambda x: F.trim(x))
+    none = F.lit(None).cast("int")
+    item = lambda kind, value, pos=none: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), value.alias("item"), pos.alias("pos"))
+    of = lambda kind, values: F.transform(values, lambda v: item(kind, v))
+    tokens = F.filter(F.flatten(F.transform(trimmed, lambda x: F.split(x, r"\s+"))), lambda t: t != "")
+    placed = F.filter(F.transform(trimmed, lambda x, i: item("line", x, i)), lambda s: s["item"] != "")
+    rows = F.transform(F.filter(trimmed, lambda x: F.startswith(x, F.lit("|"))), lambda x: F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"))
+    cells = F.flatten(F.transform(rows, lambda r: F.transform(r, lambda c: F.concat_ws("|", F.size(r).cast("string"), F.trim(c)))))
+    shapes = F.transform(rows, lambda r: F.size(r).cast("string"))
+    heads = F.filter(trimmed, lambda x: x.rlike(r"^#{1,6}\s+\S"))
+    level = lambda x: F.length(F.regexp_extract(x, "^#+", 0)).cast("string")
+    full = F.transform(heads, lambda x: F.concat_ws("|", level(x), F.trim(F.regexp_replace(x, "^#+", ""))))
+    return F.concat(of("token", tokens), placed, of("cell", cells), of("shape", shapes), of("head", full), of("level", F.transform(heads, level)))
+
+
 def evaluate_corpus(truth: DataFrame, predictions: DataFrame, engines: tuple[str, ...], max_cells: int | None = None) -> DataFrame:
-    """E5: every document's scores for every engine, in one job; ``overall`` is the mean of what is scored."""
-    pairs = pair_all(truth, predictions, engines)
-    j = pairs.select(*KEYS, "prediction_available")
-    for part in (reading_order_score(pairs), table_score(pairs, max_cells), heading_score(pairs)):
-        j = j.join(part, list(KEYS), "left")
+    """E5: every document's scores for every engine; ``overall`` is the mean of what is scored.
+
+    One join pairs the texts. What is counted of a pair is made in its row and folded twice by document, which the
+    join has already put in place; no text is shuffled again.
+    """
     from foliant.functions.scores import overall_score
 
-    return j.withColumn("overall", overall_score(F.col("tokens"), F.col("table"), F.col("heading")))
+    pairs = pair_all(truth, predictions, engines)
+    keys = (*KEYS, "prediction_available")
+    items = pairs.select(*keys, F.explode_outer(F.concat(_items(F.col("truth"), 1), _items(F.col("prediction"), 2))).alias("i")).select(*keys, "i.*")
+    met = items.groupBy(*keys, "kind", "item").agg(
+        F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b"),
+        F.max(F.when(F.col("side") == 1, F.col("pos"))).alias("pa"), F.max(F.when(F.col("side") == 2, F.col("pos"))).alias("pb"),
+    )
+    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c))
+    once = F.when((F.col("kind") == "line") & (F.col("a") == 1) & (F.col("b") == 1), F.struct("pa", "pb"))
+    sums = [
+        of(k, c).alias(f"{k}_{n}")
+        for k in ("token", "cell", "shape", "head", "level")
+        for n, c in (("c", F.least("a", "b")), ("a", F.col("a")), ("b", F.col("b")))
+    ]
+    d = met.groupBy(*keys).agg(*sums, F.array_sort(F.collect_list(once)).alias("once"))
+    dice = lambda k: 2 * F.col(f"{k}_c") / (F.col(f"{k}_a") + F.col(f"{k}_b"))
+    kept = F.filter("once", lambda x, i: (i > 0) & (x["pb"] > F.get(F.col("once"), i - 1)["pb"]))
+    some = lambda k: F.coalesce(F.col(f"{k}_a"), F.lit(0)) > 0
+    over = F.greatest(F.coalesce("cell_a", F.lit(0)), F.coalesce("cell_b", F.lit(0))) > F.lit(max_cells if max_cells is not None else 2**31 - 1)
+    scores = d.select(
+        *keys,
+        F.coalesce(dice("token"), F.lit(1.0)).alias("tokens"),
+        F.when(F.size("once") > 1, F.size(kept) / (F.size("once") - 1)).alias("order"),
+        F.when(some("cell") & ~over, dice("cell")).alias("table"),
+        F.when(some("cell") & ~over, dice("shape")).alias("table_s"),
+        (some("cell") & over).alias("table_timed_out"),
+        F.when(some("head"), dice("head")).alias("heading"),
+        F.when(some("head"), dice("level")).alias("heading_s"),
+    )
+    return scores.withColumn("overall", overall_score(F.col("tokens"), F.col("table"), F.col("heading")))
 
 
 def corpus_diff(pairs: DataFrame) -> DataFrame:

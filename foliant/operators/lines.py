@@ -96,6 +96,27 @@ def join_lines(lines: DataFrame, *keys: str, order: tuple[str, ...] = ("pos",))
     return lines.groupBy(*keys).agg(F.array_join(F.transform(listed, lambda x: x["line"]), "\n").alias("text"))
 
 
+def section_fields(text: Column, labels: dict[str, str], id_pattern: str) -> Column:
+    """(sample_id, title, *labels) of each numbered section that names a sample, as an array.
+
+    A section starts with ``## `` and a number; ``id_pattern`` has the id as its first group. A field is what stands
+    behind the last line that starts with its label, and empty without one.
+    """
+    sections = F.split(F.concat(F.lit("\n"), text), r"\n##\s+[0-9]+\.\s+")
+
+    def one(section: Column) -> Column:
+        lines = F.split(section, "\n")
+        body = F.slice(lines, 2, F.size(lines))
+        value = lambda label: F.trim(F.substring(F.element_at(F.filter(body, lambda x: F.startswith(x, F.lit(label))), -1), len(label) + 1, 10**9))
+        found = F.regexp_extract(F.array_join(body, "\n"), id_pattern, 1)
+        fields = (
+            F.when(F.size(F.filter(body, lambda x: F.startswith(x, F.lit(label)))) > 0, value(label)).otherwise("").alias(name) for name, label in labels.items()
+        )
+        return F.struct(found.alias("sample_id"), F.trim(F.element_at(lines, 1)).alias("title"), *fields)
+
+    return F.filter(F.transform(F.slice(sections, 2, F.greatest(F.size(sections) - 1, F.lit(0))), one), lambda s: s["sample_id"] != "")
+
+
 def section_rows(text: Column, header: str) -> Column:
     """Cells of the piped rows behind the row that starts with ``header``, as an array of arrays."""
     after = F.substring_index(F.concat(F.lit("\n"), text), "\n" + header, -1)

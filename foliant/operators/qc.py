@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.sources.scratch import stored
+
 
 def command_rows(reports: DataFrame, command: str, schema: str) -> DataFrame:
     """Rows of one command's payloads; entries that are no objects are skipped."""
@@ -42,9 +44,31 @@ def next_in_queue(queue: DataFrame, current: str) -> DataFrame:
 
 
 def queue_progress(queue: DataFrame, batch_col: str) -> DataFrame:
-    """Each sample's place in its batch, the batch's size, and whether it is finished."""
-    w = Window.partitionBy(batch_col)
-    return queue.withColumn("place", F.row_number().over(w.orderBy(review_key()))).withColumn("total", F.count(F.lit(1)).over(w))
+    """Each sample's place and index (from 0) in its batch, and the batch's size.
+
+    The queue is range-sorted by batch and review order and written; a place is the count of the ranges before
+    and the number within the range, so a large batch is spread over tasks.
+    """
+    ranged = stored(queue.withColumn("__key", review_key()).repartitionByRange(batch_col, "__key").withColumn("__range", F.spark_partition_id()), "queue")
+    counts = ranged.groupBy(F.col(batch_col).alias("__batch"), F.col("__range").alias("__of")).agg(F.count(F.lit(1)).alias("__n"))
+    batch = Window.partitionBy("__batch")
+    before = F.coalesce(F.sum("__n").over(batch.orderBy("__of").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("__batch", "__of", before.alias("__before"), F.sum("__n").over(batch).alias("total"))
+    number = F.row_number().over(Window.partitionBy(batch_col, "__range").orderBy("__key"))
+    j = ranged.withColumn("__number", number).join(offsets, F.col(batch_col).eqNullSafe(F.col("__batch")) & (F.col("__range") == F.col("__of")))
+    place = (F.col("__before") + F.col("__number")).cast("int")
+    return j.withColumn("place", place).withColumn("index", place - 1).drop("__key", "__range", "__batch", "__of", "__before", "__number")
+
+
+def queue_state(queue: DataFrame, batches: DataFrame, batch_col: str) -> DataFrame:
+    """(batch, index, total, sample_id, status): where each batch of ``batches`` (batch, index) stands.
+
+    A batch whose index is past its last sample is finished and has no current sample; all others are queued.
+    """
+    at = queue_progress(queue, batch_col).select(F.col(batch_col).alias("batch"), "index", "sample_id")
+    sizes = queue.groupBy(F.col(batch_col).alias("batch")).agg(F.count(F.lit(1)).alias("total"))
+    j = batches.join(sizes, "batch", "left").fillna(0, ["total"]).join(at, ["batch", "index"], "left")
+    return j.select("batch", "index", "total", "sample_id", F.when(F.col("index") < F.col("total"), "queued").otherwise("finished").alias("status"))
 
 
 def curated_last(samples: DataFrame) -> DataFrame:

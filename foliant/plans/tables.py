@@ -87,10 +87,15 @@ def k11(spark, sf):
     return C.select_requested(jobs, asked).select(F.col("news_item_id").alias("job_id"), "place")
 
 
+@query("k11b_artifact_recent", "v_jobs", "select job_id, updated_at from v_jobs")
+def k11b(spark, sf):
+    jobs = V.v_jobs(spark, sf).select(F.col("job_id").alias("news_item_id"), "updated_at")
+    return C.artifact_order(jobs, recent=True).select(F.col("news_item_id").alias("job_id"), "updated_at")
+
+
 @query("k13_recent_list", "v_items", f"with {LATEST} select news_item_id, day_file from latest")
 def k13(spark, sf):
-    items = C.latest_by_id(V.v_items(spark, sf))
-    return items.orderBy(F.desc("day_file"), F.desc_nulls_last(parse_approve_ts(F.col("approve_date"))), F.desc("news_item_id")).select("news_item_id", "day_file")
+    return C.recent_list(V.v_items(spark, sf)).select("news_item_id", "day_file")
 
 
 @query("j06_select_requested", "v_items", f"with {LATEST} select news_item_id, title, 1000000 - news_item_id::int as place from latest")
@@ -476,6 +481,16 @@ def w12(spark, sf):
     return Q.queue_progress(_queue(spark, sf), "defect_class").select("sample_id", "place", "total")
 
 
+@query("w12b_queue_state", "v_triage", f"""
+with {QUEUE}, b as (select defect_class as batch, count(*) filter (review_required) as index, count(*) as total from q group by 1),
+r as (select defect_class as batch, sample_id, row_number() over (partition by defect_class order by {ORDER}) - 1 as index from q)
+select b.batch, b.index::int as index, b.total, r.sample_id, case when b.index < b.total then 'queued' else 'finished' end as status from b left join r on r.batch = b.batch and r.index = b.index""")
+def w12b(spark, sf):
+    queue = _queue(spark, sf)
+    batches = queue.groupBy(F.col("defect_class").alias("batch")).agg(F.count_if("review_required").cast("int").alias("index"))
+    return Q.queue_state(queue, batches, "defect_class")
+
+
 @query("a06_defect_frequency", "v_qc", "select defect_class, count(*) as n from v_qc where review_required group by 1")
 def a06(spark, sf):
     return Q.defect_frequency(V.v_qc(spark, sf))

@@ -240,6 +240,17 @@ def s18(spark, sf):
     return rows.select("doc_id", "row", F.col("r")[0].alias("first"), F.size("r").alias("cells"))
 
 
+@query("s18b_section_fields", (), """
+select doc_id, 'sample_' || doc_id as sample_id, 'Title ' || doc_id as title, source as feature, case when doc_id % 2 = 0 then 'wait ' || doc_id else '' end as reason from documents where doc_id % 3 > 0""")
+def s18b(spark, sf):
+    n = F.col("doc_id").cast("string")
+    named = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("sample id: `sample_"), n, F.lit("`\n"))).otherwise("no id\n")
+    why = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("- reason: wait "), n, F.lit("\n"))).otherwise("")
+    text = F.concat(F.lit("# ranking\n- feature: none\n## 1. Title "), n, F.lit("\n"), named, F.lit("- feature: old\n- feature:  "), F.coalesce("source", F.lit("")), F.lit("\n"), why, F.lit("## 2. empty\n- feature: x"))
+    found = L.section_fields(text, {"feature": "- feature:", "reason": "- reason:"}, r"sample id:\s*`([^`]+)`")
+    return V.table(spark, sf, "documents").select("doc_id", F.explode(found).alias("s")).select("doc_id", "s.*")
+
+
 # Evaluation
 
 _PAIRS = """g as (select e.engine, m.doc_id, m.text as truth, coalesce(p.text, '') as prediction, p.text is not null as available from v_markdown m cross join (values ('a'), ('b')) e(engine)
