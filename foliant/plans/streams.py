@@ -27,13 +27,21 @@ def _job_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").cast("string").alias("job_id"), "ts", "event_id", kind.alias("kind"), F.concat(F.lit("v"), F.col("event_id").cast("string")).alias("payload"))
 
 
-@query("t1_rate_limit")
+#: Whether a request is accepted hangs on those before it: a recursive query, one request of every key at a step.
+_ACCEPTED = """with recursive e as (select user_id::varchar as key, event_id, ts, row_number() over (partition by user_id order by ts, event_id) as k from events),
+r as (select key, event_id, k, true as accepted, [ts] as kept from e where k = 1
+  union all select key, event_id, k, len(now) < 2, case when len(now) < 2 then list_append(now, ts) else now end
+  from (select e.*, list_filter(r.kept, lambda x: x >= e.ts - interval 1 day) as now from r join e on e.key = r.key and e.k = r.k + 1))
+select key, event_id, accepted from r"""
+
+
+@query("t1_rate_limit", (), _ACCEPTED)
 def t1(spark, sf):
     requests = _events(spark, sf).withWatermark("ts", "1 hour").select(F.col("user_id").cast("string").alias("key"), "event_id", "ts")
     return P.run_available(S.rate_limit(requests, 2, 86400, stream=True)).select("key", "event_id", "accepted")
 
 
-@query("t1_rate_limit_table")
+@query("t1_rate_limit_table", (), _ACCEPTED)
 def t1_table(spark, sf):
     return S.rate_limit(_zoned(V.v_requests(spark, sf)), 2, 86400).select("key", "event_id", "accepted")
 
@@ -79,7 +87,12 @@ def t5_table(spark, sf):
     return S.last_states(S.job_state(_zoned(V.v_job_events(spark, sf))))
 
 
-@query("t6_media_for_messages")
+#: A message without a file comes out once the watermark has passed it: a minute behind the slower stream's last event.
+@query("t6_media_for_messages", (), """
+with c as (select event_id::varchar as message_id, user_id % 7 as sender, ts from events where event_type = 'click'),
+p as (select user_id % 7 as sender, ts as media_ts, '/m/' || event_id || '.md' as path from events where event_type = 'purchase'),
+j as (select c.message_id, c.ts, p.path from c left join p on p.sender = c.sender and p.media_ts <= c.ts and p.media_ts >= c.ts - interval 15 minutes)
+select message_id, path from j where path is not null or ts < (select least((select max(ts) from c), (select max(media_ts) from p)) - interval 1 minute)""")
 def t6(spark, sf):
     e = _events(spark, sf)
     sender = F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("sender")
@@ -88,7 +101,11 @@ def t6(spark, sf):
     return P.run_available(P.media_for_messages(messages, media)).select("message_id", "path")
 
 
-@query("t7_expire_stream")
+@query("t7_expire_stream", "v_job_events", """
+with s as (select *, case kind when 'create' then 'queued' when 'claim' then 'processing' when 'save_text' then 'completed' when 'fail' then 'failed' end as own from v_job_events),
+l as (select *, coalesce(last_value(own ignore nulls) over (partition by job_id order by ts, event_id), 'queued') as status,
+  row_number() over (partition by job_id order by ts desc, event_id desc) as k from s)
+select job_id, status from l where k = 1 and status in ('completed', 'failed') and ts + interval 24 hours < (select max(ts) from s) - interval 1 hour""")
 def t7(spark, sf):
     events = _job_events(_events(spark, sf).withWatermark("ts", "1 hour"))
     return P.run_available(S.expire_stream(events, 24))
