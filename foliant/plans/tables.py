@@ -312,10 +312,10 @@ def u08(spark, sf):
 
 
 @query("u09_reconcile_outcomes", "v_attempts", """
-select sample_id, attempt, case when substr(sample_id, 7)::int % 5 = 0 then 'defer' else decision end as outcome, substr(sample_id, 7)::int % 5 = 0 or decision = 'pass' as final from v_attempts""")
+select sample_id, attempt, case when split_part(substr(sample_id, 7), '_', 1)::int % 5 = 0 then 'defer' else decision end as outcome, split_part(substr(sample_id, 7), '_', 1)::int % 5 = 0 or decision = 'pass' as final from v_attempts""")
 def u09(spark, sf):
     rows = V.v_attempts(spark, sf).select("sample_id", "attempt", F.col("decision").alias("outcome"), (F.col("decision") == "pass").alias("final"))
-    manual = rows.where(F.substring("sample_id", 7, 9).cast("int") % 5 == 0).select("sample_id", F.lit("defer").alias("outcome")).distinct()
+    manual = rows.where(F.regexp_extract("sample_id", "^sample([0-9]+)_", 1).cast("int") % 5 == 0).select("sample_id", F.lit("defer").alias("outcome")).distinct()
     return J.reconcile_outcomes(rows, manual).select("sample_id", "attempt", "outcome", "final")
 
 

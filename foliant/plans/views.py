@@ -228,9 +228,11 @@ def v_qc(spark, sf) -> DataFrame:
 def v_attempts(spark, sf) -> DataFrame:
     w = Window.partitionBy("user_id").orderBy("ts", "event_id")
     ms = lambda f: F.floor(F.col("value") * f + 1e-6).cast("long")
-    return events(spark, sf).withColumn("attempt", F.row_number().over(w)).where("attempt <= 5").select(
-        F.concat(F.lit("sample"), _text("user_id")).alias("sample_id"),
-        "attempt",
+    at = events(spark, sf).withColumn("at", F.row_number().over(w) - 1)
+    # Five attempts are one sample, as the loop of attempts ends there; a user's further events are samples of their own.
+    return at.select(
+        F.concat(F.lit("sample"), _text("user_id"), F.lit("_"), _text(F.floor(F.col("at") / 5))).alias("sample_id"),
+        (F.col("at") % 5 + 1).alias("attempt"),
         ms(100).alias("inspect_before_ms"),
         ms(150).alias("fix_ms"),
         ms(50).alias("inspect_after_ms"),

@@ -81,8 +81,8 @@ select strftime(v.ts, '%Y-%m-%d') as run_date, case when v.doc_id % 3 = 0 then '
   v.doc_id % 5 <> 0 as passed, coalesce(t.review_required, t.status <> 'curated') as review_required, t.risk_score, t.defect_class
 from v_docs v join v_triage t on t.sample_id = 'policy_briefing_2024_01_05_' || (156000000 + v.doc_id)"""),
     "v_attempts": ((), """
-select 'sample' || user_id as sample_id, attempt::int as attempt, floor(value * 100 + 0.000001)::bigint as inspect_before_ms, floor(value * 150 + 0.000001)::bigint as fix_ms,
+select 'sample' || user_id || '_' || (place // 5) as sample_id, (place % 5 + 1)::int as attempt, floor(value * 100 + 0.000001)::bigint as inspect_before_ms, floor(value * 150 + 0.000001)::bigint as fix_ms,
   floor(value * 50 + 0.000001)::bigint as inspect_after_ms, case when event_type = 'error' then 0 else floor(value * 220 + 0.000001)::bigint end as judge_ms,
   case event_type when 'purchase' then 'pass' when 'error' then 'defer' else 'retry' end as decision
-from (select *, row_number() over (partition by user_id order by ts, event_id) as attempt from events) where attempt <= 5"""),
+from (select *, row_number() over (partition by user_id order by ts, event_id) - 1 as place from events)"""),
 }
