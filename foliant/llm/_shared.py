@@ -36,10 +36,14 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def new_path(spark: SparkSession) -> str:
+    """A place of its own in the shared folder, among the tables of this application."""
+    return f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and the path that holds it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/foliant/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    spark, path = df.sparkSession, new_path(df.sparkSession)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

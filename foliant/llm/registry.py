@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import ann, html, licenses, linededup, media, mixing, packing, quality, secrets, simhash
+from foliant.llm import ann, html, licenses, linededup, media, mixing, packing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_gam": quality.op8_quality_gam,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_media_columns": media.op10_media_columns,
+    "op11_virtual_slots": sharding.op11_virtual_slots,
 }
 
 ORACLE_SQL = {
