@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from foliant.llm import ann, html, licenses, linededup, media, mixing, packing, quality, secrets, sharding, simhash
+from foliant.llm import alignment, ann, divergence, html, licenses, linededup, media, mixing, packing, quality, secrets, sharding, simhash
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_license_scan": licenses.op9_license_scan,
     "op10_media_columns": media.op10_media_columns,
     "op11_virtual_slots": sharding.op11_virtual_slots,
+    "op12_token_spans": alignment.op12_token_spans,
+    "op13_prefix_iceberg": divergence.op13_prefix_iceberg,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,5 @@ ORACLE_SQL = {
     "op2_mix_sources": mixing.ORACLE,
     "op4_html_extraction": html.ORACLE,
     "op6_line_dedup": linededup.ORACLE,
+    "op13_prefix_iceberg": divergence.ORACLE,
 }
