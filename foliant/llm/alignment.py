@@ -44,7 +44,7 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k", "piece_bpe_32k"
 #: Segments, repeats included, and different segments, after which a block is closed.
 BLOCK_SEGMENTS, BLOCK_DIFFERENT = 2_000_000, 150_000
 #: Alignments that a task remembers, and bytes of new segments that are encoded together.
-REMEMBERED, ENCODED = 250_000, 200_000
+REMEMBERED, ENCODED = 700_000, 200_000
 #: White space and what follows, up to the next space or line end that comes after something else.
 SEGMENT = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*")
 B_SPACE = "▁"
@@ -133,96 +133,98 @@ def links_of(a_ends: np.ndarray, b_ends: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[at]
 
 
-@cache
-def _pair(a: str, b: str) -> Pair:
-    return Pair(a, b)
-
-
-class Segment:
-    """Alignment of one segment: numbers of tokens, groups and links, its groups as text, its id pairs and their counts."""
-
-    __slots__ = ("numbers", "text", "pairs", "pair_n")
-
-    def __init__(self, n_a: int, n_b: int, text: str, groups: int, pairs: np.ndarray, pair_n: np.ndarray):
-        self.numbers, self.text = (n_a, n_b, groups, int(pair_n.sum())), text
-        self.pairs, self.pair_n = pairs, pair_n
-
-
-def _groups(a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> tuple[str, int]:
-    """(``a1,a2|b1;..``, how many). Ends that both have are cuts; both end with the text."""
-    common, out = set(a_ends).intersection(b_ends), []
-    i = j = 0
-    while i < len(a):
-        s, t = i, j
-        while a_ends[i] not in common:
-            i += 1
-        while b_ends[j] != a_ends[i]:
-            j += 1
-        # Tokens without bytes stay with the group before them.
-        i, j = i + 1, j + 1
-        while i < len(a) and a_ends[i] == a_ends[i - 1]:
-            i += 1
-        while j < len(b) and b_ends[j] == b_ends[j - 1]:
-            j += 1
-        out.append(f"{','.join(map(str, a[s:i]))}|{','.join(map(str, b[t:j]))}")
-    return ";".join(out), len(out)
-
-
 class Aligner:
-    """Alignments of segments, remembered up to a bound. A segment that is not spelled out is None."""
+    """Alignments of segments, remembered up to a bound, in arrays.
 
-    def __init__(self, pair: Pair):
-        self.pair, self.known = pair, {}
+    ``known`` gives a segment's number, or -1 where its tokens do not spell it out. ``numbers`` has its tokens of A and B, groups
+    and links, ``texts`` its groups as text; ``starts``, ``code`` and ``times`` its id pairs and how many links each has.
+    """
 
-    def learn(self, segments: list[str]) -> None:
-        new = [s for s in segments if s not in self.known]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = segments
+    def __init__(self, pair: Pair):
+        self.pair = pair
+        self.words = [str(i) for i in range(max(len(pair.a_bytes), len(pair.b_bytes)))]
+        self.digits = np.array([len(w) for w in self.words], dtype=np.int64)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.texts: list[str] = []
+        self.numbers, self.starts = np.zeros((0, 4), dtype=np.int64), np.zeros(1, dtype=np.int64)
+        self.code, self.times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        self.new: list[tuple] = []
+
+    def learn(self, segments: list[str]) -> np.ndarray:
+        """The numbers of ``segments``."""
+        if len(self.known) + len(segments) > REMEMBERED:
+            self._forget()
         batch: list[str] = []
         size = 0
-        for s in new:
-            batch.append(s)
-            size += len(s)
-            # White space at a segment's end is at its text's end; nothing may come after it.
-            if size >= ENCODED or not self.pair.segmented or s[-1].isspace():
-                self._encode(batch)
-                batch, size = [], 0
+        for s in segments:
+            if s not in self.known:
+                batch.append(s)
+                size += len(s)
+                # White space at a segment's end is at its text's end; nothing may come after it.
+                if size >= ENCODED or not self.pair.segmented or s[-1].isspace():
+                    self._encode(batch)
+                    batch, size = [], 0
         if batch:
             self._encode(batch)
+        if self.new:
+            numbers, counts, code, times = zip(*self.new)
+            self.numbers = np.concatenate([self.numbers, *numbers])
+            self.starts = np.append(self.starts, self.starts[-1] + np.cumsum(np.concatenate(counts)))
+            self.code, self.times = np.concatenate([self.code, *code]), np.concatenate([self.times, *times])
+            self.new = []
+        return np.array(list(map(self.known.__getitem__, segments)), dtype=np.int64)
 
     def _encode(self, segments: list[str]) -> None:
-        """All together, for their borders are cuts of both tokenizers; one by one where some do not spell out."""
+        """All together, for their borders are cuts of both tokenizers; in halves where some do not spell out."""
         joined = " a" + "".join(segments) if self.pair.segmented else segments[0]
         a, a_ends, b, b_ends, ok = self.pair.encode(joined)
         if not ok:
             if len(segments) == 1:
-                self.known[segments[0]] = None
+                self.known[segments[0]] = -1
             else:
                 half = len(segments) // 2
                 self._encode(segments[:half])
                 self._encode(segments[half:])
             return
-        lengths = [len(s.encode()) for s in segments]
-        borders = np.cumsum([2 if self.pair.segmented else 0, *lengths])
-        a_at, b_at = (np.searchsorted(e, borders, side="right") for e in (a_ends, b_ends))
-        if not self.pair.segmented:
-            a_at[0] = b_at[0] = 0
-        at, to = links_of(a_ends, b_ends)
+        borders = np.cumsum([2 if self.pair.segmented else 0, *(len(s.encode()) for s in segments)])
+        cuts = np.intersect1d(a_ends, b_ends)
+        a_at, b_at, cut_at = (np.where(borders > 0, np.searchsorted(e, borders, side="right"), 0) for e in (a_ends, b_ends, cuts))
         # Equal pairs of one segment become one entry: sorted by segment and pair, runs are counted.
-        of = np.searchsorted(a_at, at, side="right") - 1
-        code = (a[at] << 32) | b[to]
+        at, to = links_of(a_ends, b_ends)
+        of, code = np.searchsorted(a_at, at, side="right") - 1, (a[at] << 32) | b[to]
+        at_of = np.searchsorted(of, np.arange(len(segments) + 1))
         order = np.lexsort((code, of))
         of, code = of[order], code[order]
-        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (code[1:] != code[:-1]))) if len(of) else np.zeros(0, dtype=np.int64)
-        code, code_n = code[first], np.diff(np.append(first, len(of)))
-        link_at = np.searchsorted(of[first], np.arange(len(segments) + 1))
-        ids_a, ids_b, ends_a, ends_b = a.tolist(), b.tolist(), a_ends.tolist(), b_ends.tolist()
-        for k, s in enumerate(segments):
-            i, i2, j, j2 = a_at[k], a_at[k + 1], b_at[k], b_at[k + 1]
-            text, n = _groups(ids_a[i:i2], ends_a[i:i2], ids_b[j:j2], ends_b[j:j2])
-            own = slice(link_at[k], link_at[k + 1])
-            self.known[s] = Segment(i2 - i, j2 - j, text, n, code[own].copy(), code_n[own].copy())
+        first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (code[1:] != code[:-1])))
+        times = np.diff(np.append(first, len(of)))
+        inside = of[first] >= 0  # not the word before the first segment
+        self.texts += self._texts(a, a_ends, b, b_ends, cuts, cut_at)
+        numbers = np.stack([np.diff(a_at), np.diff(b_at), np.diff(cut_at), np.diff(at_of)], axis=1)
+        self.new.append((numbers, np.bincount(of[first][inside], minlength=len(segments)), code[first][inside], times[inside]))
+        begin = len(self.texts) - len(segments)
+        self.known.update(zip(segments, range(begin, begin + len(segments))))
+
+    def _texts(self, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray, cuts: np.ndarray, cut_at: np.ndarray) -> list[str]:
+        """``a1,a2|b1;..`` of each segment: all ids in one order with what stands after each, cut at the segments' borders."""
+        of_a, of_b = np.searchsorted(cuts, a_ends), np.searchsorted(cuts, b_ends)  # tokens without bytes stay with the group before them
+        n_a, n_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
+        begin = np.append(0, np.cumsum(n_a + n_b))
+        ids, after = np.empty(begin[-1], dtype=np.int64), np.full(begin[-1], ",")
+        ids[begin[of_a] + np.arange(len(a)) - (np.cumsum(n_a) - n_a)[of_a]] = a
+        ids[begin[of_b] + n_a[of_b] + np.arange(len(b)) - (np.cumsum(n_b) - n_b)[of_b]] = b
+        after[begin[:-1] + n_a - 1], after[begin[1:] - 1] = "|", ";"
+        text = "".join(chain.from_iterable(zip(map(self.words.__getitem__, ids.tolist()), after.tolist())))
+        places = np.append(0, np.cumsum(self.digits[ids] + 1))[begin][cut_at].tolist()
+        return [text[s : e - 1] for s, e in zip(places, places[1:])]
+
+
+@cache
+def _aligner(a: str, b: str) -> Aligner:
+    """A worker's tasks share what it has aligned."""
+    return Aligner(Pair(a, b))
 
 
 class _Numbers(dict):
@@ -240,28 +242,26 @@ def _flat(lists: list[np.ndarray], kind) -> pa.ListArray:
 
 def _block(aligner: Aligner, number: int, rows: list[tuple[int | None, np.ndarray]], names: _Numbers) -> Iterator[pa.RecordBatch]:
     """The rows of a block: one a document, and then its own."""
-    segments = list(names)
-    aligner.learn(segments)
-    known = [aligner.known[s] for s in segments]
-    bad = np.array([k is None for k in known], dtype=bool)
-    numbers = np.array([(0, 0, 0, 0) if k is None else k.numbers for k in known], dtype=np.int64).reshape(-1, 4)
-    texts = ["" if k is None else k.text for k in known]
-    occurs = np.zeros(len(known), dtype=np.int64)
+    at = aligner.learn(list(names))
+    bad = at < 0
+    numbers = np.where(bad[:, None], 0, aligner.numbers[at]) if len(aligner.numbers) else np.zeros((len(at), 4), dtype=np.int64)
+    texts = [aligner.texts[i] if i >= 0 else "" for i in at.tolist()]
+    occurs = np.zeros(len(at), dtype=np.int64)
     ids, totals, hashes, own, times = [], [], [], [], []
     for doc_id, found in rows:
-        if len(found) and bad.any() and bad[found].any():
+        if bad.any() and bad[found].any():
             found = found[:0]
         different, n = np.unique(found, return_counts=True)
         occurs[different] += n
         ids.append(doc_id), own.append(different), times.append(n)
         totals.append(n @ numbers[different])
         hashes.append(sha256(";".join(map(texts.__getitem__, found.tolist())).encode()).hexdigest() if len(found) else "")
-    keep = [k if k is not None and n else None for k, n in zip(known, occurs.tolist())]
-    pairs_of, pair_n_of = zip(*((k.pairs, k.pair_n) if k else (np.zeros(0, np.int64),) * 2 for k in keep)) if keep else ((), ())
-    sizes = np.array([len(p) for p in pairs_of], dtype=np.int64)
-    all_pairs = np.concatenate([*pairs_of, np.zeros(0, dtype=np.int64)])
-    link_n = np.concatenate([*pair_n_of, np.zeros(0, dtype=np.int64)])
-    pairs, link = np.unique(all_pairs, return_inverse=True)
+    # The id pairs of the segments that occur, each segment's together.
+    begin = np.where(occurs > 0, aligner.starts[at], 0)
+    sizes = np.where(occurs > 0, aligner.starts[at + 1] - begin, 0)
+    entry = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+    link_n = aligner.times[entry]
+    pairs, link = np.unique(aligner.code[entry], return_inverse=True)
     pair_n = np.zeros(len(pairs), dtype=np.int64)
     np.add.at(pair_n, link, link_n * np.repeat(occurs, sizes))
     totals = np.array(totals, dtype=np.int64).reshape(-1, 4)
@@ -291,7 +291,7 @@ def _block(aligner: Aligner, number: int, rows: list[tuple[int | None, np.ndarra
 
 def _align(a: str, b: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, number = Aligner(_pair(a, b)), TaskContext.get().partitionId() << 32
+        aligner, number = _aligner(a, b), TaskContext.get().partitionId() << 32
         rows: list[tuple] = []
         names, size = _Numbers(), 0
         for batch in slices(batches):
