@@ -44,7 +44,7 @@ TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k", "piece_bpe_32k"
 #: Segments, repeats included, and different segments, after which a block is closed.
 BLOCK_SEGMENTS, BLOCK_DIFFERENT = 2_000_000, 150_000
 #: Alignments that a task remembers, and bytes of new segments that are encoded together.
-REMEMBERED, ENCODED = 700_000, 200_000
+REMEMBERED, ENCODED = 700_000, 20_000
 #: White space and what follows, up to the next space or line end that comes after something else.
 SEGMENT = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*")
 B_SPACE = "▁"
@@ -190,7 +190,8 @@ class Aligner:
                 self._encode(segments[half:])
             return
         borders = np.cumsum([2 if self.pair.segmented else 0, *(len(s.encode()) for s in segments)])
-        cuts = np.intersect1d(a_ends, b_ends)
+        shared = a_ends[b_ends[np.minimum(np.searchsorted(b_ends, a_ends), len(b_ends) - 1)] == a_ends]
+        cuts = shared[np.append(True, shared[1:] != shared[:-1])]
         a_at, b_at, cut_at = (np.where(borders > 0, np.searchsorted(e, borders, side="right"), 0) for e in (a_ends, b_ends, cuts))
         # Equal pairs of one segment become one entry: sorted by segment and pair, runs are counted.
         at, to = links_of(a_ends, b_ends)
