@@ -4,24 +4,24 @@ A language keeps the terms that stand in at least ``min_docs`` of its documents.
 prefixes level by level: the first level counts the distinct documents of each short prefix, and only prefixes at or
 above the threshold are extended to the next length, for a prefix stands in at least as many documents as any term
 that begins with it. A term no longer than the level's length is complete; its count is its own, and it is kept or
-discarded there. The refinement ends when no open prefix is left. Lengths grow by half, so long terms need few levels.
+discarded there. The refinement ends when no open prefix is left. Lengths double, so long terms need few levels.
 
-Each document is parsed once, into its distinct terms and their counts, and that table is written and read by every
-level. A level counts inside the task (a document adds one to each of its prefixes) and shuffles one row a prefix
-and task. Surviving prefixes reach the next level as a bitmap of fixed size (``BITS``) over their hashes, whatever
+Each document is parsed once. A task's documents form blocks by language, of bounded size, with each different term once
+and the documents' terms by number; that table is written and read by every level. A level counts inside the block (a
+document adds one to each of its prefixes) and shuffles one row a prefix and block. Surviving prefixes reach the next level as a bitmap of fixed size (``BITS``) over their hashes, whatever
 their number: a collision lets a prefix through that the next level's exact count discards, so results do not
 depend on it. Occurrences of kept terms are then counted by group, the bitmap of kept terms first and an exact join
 after. Pairs of sources are compared in blocks of terms and of sources; what a task holds is one block of each.
 
 Arithmetic is in whole numbers throughout (decimals where a product may pass 64 bits). Null text, language and
 source are ''. Every row is a document, repeated rows too. A document without terms still makes its group occur. A very
-long text is one row, a very long term takes more levels. Ties go by the item's UTF-8 bytes. An empty table gives an
+long text is a block of its own, a very long term takes more levels. Ties go by the item's UTF-8 bytes. An empty table gives an
 empty result, a language that keeps no term gives pairs of value 0. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,14 +34,15 @@ from pyspark.sql.window import Window
 from foliant.llm._shared import durable, require, slices, table
 
 MIN_DOCS = 30
-#: Bytes of the first level's prefixes; each next level's are half as long again.
+#: Bytes of the first level's prefixes; each next level's are twice as long.
 FIRST_LEVEL = 4
 #: Log of the bitmap's size: 2 MiB.
 BITS = 24
 #: Bits of one row of a bitmap aggregate (two to the fifteenth).
 ROW_BITS = 32_768
-#: Rows of partial counts that a task holds before it sends them on, and terms whose fate it remembers.
-HELD = 400_000
+#: Entries (terms of documents) after which a block is closed.
+BLOCK_TERMS = 1_000_000
+BLOCKS = "lang string, terms array<binary>, sources array<string>, sizes array<int>, at array<int>, n array<long>"
 TOP = 50
 #: Terms and sources of a block of comparisons.
 TERM_BLOCK, SOURCE_BLOCK = 4096, 128
@@ -57,27 +58,51 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(TERM_BYTES).split(b" ") if text else []
 
 
+class _Block:
+    """Documents of one language: their different terms once, and each document's terms by number, with counts."""
+
+    def __init__(self, lang: str):
+        self.lang, self.numbers, self.sources, self.sizes, self.at, self.n, self.size = lang, {}, [], [], [], [], 0
+
+    def add(self, source: str, found: Counter) -> None:
+        for term in found.keys() - self.numbers.keys():
+            self.numbers[term] = len(self.numbers)
+        self.sources.append(source)
+        self.sizes.append(len(found))
+        self.at.append(np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found)))
+        self.n.append(np.fromiter(found.values(), dtype=np.int64, count=len(found)))
+        self.size += len(found) + 1
+
+    def row(self) -> pa.RecordBatch:
+        one = lambda values, kind: pa.array([values], pa.list_(kind))
+        whole = lambda parts, kind: pa.ListArray.from_arrays(pa.array([0, sum(map(len, parts))], pa.int32()), pa.array(np.concatenate(parts), kind))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([self.lang], pa.string()), one(list(self.numbers), pa.binary()), one(self.sources, pa.string()), one(self.sizes, pa.int32()), whole(self.at, pa.int32()), whole(self.n, pa.int64())],
+            ["lang", "terms", "sources", "sizes", "at", "n"],
+        )
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    blocks: dict[str, _Block] = {}
     for batch in slices(batches):
-        terms, counts = [], []
-        for text in batch.column("text").to_pylist():
+        for lang, source, text in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "text"))):
             found = Counter(terms_of(text))
             found.pop(b"", None)
-            ordered = sorted(found)
-            terms.append(b" ".join(ordered))
-            counts.append([found[t] for t in ordered])
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("lang"), batch.column("source"), pa.array(terms, pa.binary()), pa.array(counts, pa.list_(pa.int64()))],
-            ["lang", "source", "terms", "counts"],
-        )
+            if lang not in blocks:
+                blocks[lang] = _Block(lang)
+            blocks[lang].add(source, found)
+            if blocks[lang].size >= BLOCK_TERMS:
+                yield blocks.pop(lang).row()
+        if sum(b.size for b in blocks.values()) > 3 * BLOCK_TERMS:  # many languages
+            yield from (b.row() for b in blocks.values())
+            blocks.clear()
+    yield from (b.row() for b in blocks.values())
 
 
 def parsed(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """lang, source, distinct terms (joined by spaces) and their counts, of each document."""
+    """Blocks of documents of one language: lang, terms, and by document its source, how many terms it has, which and how often."""
     named = require(docs, lang_col, source_col, text_col).toDF("lang", "source", "text")
-    return named.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in named.columns)).mapInArrow(
-        _parse, "lang string, source string, terms binary, counts array<long>"
-    )
+    return named.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in named.columns)).mapInArrow(_parse, BLOCKS)
 
 
 def bitmap(df: DataFrame, *key: str) -> np.ndarray:
@@ -106,51 +131,37 @@ def _test(bits: np.ndarray, lang: str):
     return has
 
 
-class _Items(dict):
-    """Term -> what a level counts for it: the term, its prefix with a mark, or None. Filled as terms come."""
-
-    def __init__(self, length: int, before: int, has):
-        super().__init__()
-        self.length, self.before, self.has = length, before, has
-
-    def __missing__(self, term: bytes) -> bytes | None:
-        if len(term) <= self.before or self.has and not self.has(term[: self.before] + OPEN):
-            item = None
-        else:
-            item = term if len(term) <= self.length else term[: self.length] + OPEN
-        if len(self) > HELD:
-            self.clear()
-        self[term] = item
-        return item
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """(lang, terms, sources, document of each entry, term of each entry, its count or None) of each block."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            row = {c: batch.column(c)[i] for c in batch.schema.names}
+            sizes = row["sizes"].values.to_numpy()
+            n = row["n"].values.to_numpy() if "n" in row else None
+            sources = row["sources"].as_py() if "sources" in row else None
+            yield row["lang"].as_py(), row["terms"].as_py(), sources, np.repeat(np.arange(len(sizes)), sizes), row["at"].values.to_numpy(), n
 
 
 def _level(length: int, before: int, bits):
     """Partial (lang, item, documents) of a level; ``bits`` holds the prefixes that survived the level before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items: dict[str, _Items] = {}
-        held: dict[str, Counter] = defaultdict(Counter)
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for lang, counts in held.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(counts), pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["lang", "item", "docs"]
-                )
-            held.clear()
-
-        for batch in slices(batches):
-            for lang, terms in zip(batch.column("lang").to_pylist(), batch.column("terms").to_pylist()):
-                if terms:
-                    if lang not in items:
-                        if len(items) > 100:
-                            items.clear()
-                        items[lang] = _Items(length, before, bits is not None and _test(bits.value, lang))
-                    found = set(map(items[lang].__getitem__, terms.split(b" ")))
-                    found.discard(None)
-                    held[lang].update(found)
-            if sum(map(len, held.values())) > HELD:
-                yield from send()
-        yield from send()
+        for lang, terms, _, doc, at, _ in _rows(batches):
+            has = bits and _test(bits.value, lang)
+            items: dict[bytes, int] = {}
+            of = np.full(len(terms), -1, dtype=np.int64)
+            for i, term in enumerate(terms):
+                if len(term) > before and (not has or has(term[:before] + OPEN)):
+                    of[i] = items.setdefault(term if len(term) <= length else term[:length] + OPEN, len(items))
+            if not items:
+                continue
+            item = of[at]
+            doc, item = doc[item >= 0], item[item >= 0]
+            # A document's terms differ; what may repeat in it are open prefixes.
+            may = np.fromiter((x.endswith(OPEN) for x in items), dtype=bool, count=len(items))[item]
+            once = np.unique(doc[may] * len(items) + item[may]) % len(items)
+            docs = np.bincount(item[~may], minlength=len(items)) + np.bincount(once, minlength=len(items))
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(items), pa.string()), pa.array(list(items), pa.binary()), pa.array(docs, pa.int64())], ["lang", "item", "docs"])
 
     return run
 
@@ -161,7 +172,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     kept, before, length, bits = [], 0, FIRST_LEVEL, None
     while True:
         level = durable(
-            docs.select("lang", "terms")
+            docs.select("lang", "terms", "sizes", "at")
             .mapInArrow(_level(length, before, bits), "lang string, item binary, docs long")
             .groupBy("lang", "item")
             .agg(F.sum("docs").alias("docs"))
@@ -173,7 +184,7 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
         if still_open.isEmpty():
             break
         bits = spark.sparkContext.broadcast(bitmap(still_open, "lang", "item"))
-        before, length = length, length + length // 2
+        before, length = length, 2 * length
     out = kept[0]
     for k in kept[1:]:
         out = out.unionByName(k)
@@ -182,50 +193,29 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def _occurrences(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted: dict[str, _Items] = {}
-        held: dict[tuple[str, str], Counter] = defaultdict(Counter)
-
-        def send() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in held.items():
-                n = len(counts)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())],
-                    ["lang", "source", "term", "n"],
-                )
-            held.clear()
-
-        for batch in slices(batches):
-            for lang, source, terms, counts in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "terms", "counts"))):
-                if terms:
-                    if lang not in wanted:
-                        if len(wanted) > 100:
-                            wanted.clear()
-                        wanted[lang] = _Kept(_test(bits.value, lang))
-                    group = held[lang, source]
-                    for term, n in zip(map(wanted[lang].__getitem__, terms.split(b" ")), counts):
-                        if term is not None:
-                            group[term] += n
-            if sum(map(len, held.values())) > HELD:
-                yield from send()
-        yield from send()
+        for lang, terms, sources, doc, at, n in _rows(batches):
+            keep = np.fromiter(map(_test(bits.value, lang), terms), dtype=bool, count=len(terms))
+            if not keep.any():
+                continue
+            names = sorted(set(sources))
+            number = {s: i for i, s in enumerate(names)}
+            of_doc = np.fromiter((number[s] for s in sources), dtype=np.int64, count=len(sources))
+            mine = keep[at]
+            key, place = np.unique(of_doc[doc[mine]] * len(terms) + at[mine], return_inverse=True)
+            total = np.zeros(len(key), dtype=np.int64)
+            np.add.at(total, place, n[mine])
+            source, term = np.divmod(key, len(terms))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([lang] * len(key), pa.string()), pa.array(names, pa.string()).take(pa.array(source)),
+                    pa.array(terms, pa.binary()).take(pa.array(term)), pa.array(total),
+                ],
+                ["lang", "source", "term", "n"],
+            )
 
     return run
 
 
-class _Kept(dict):
-    """Term -> itself where its bit is set, else None."""
-
-    def __init__(self, has):
-        super().__init__()
-        self.has = has
-
-    def __missing__(self, term: bytes) -> bytes | None:
-        if len(self) > HELD:
-            self.clear()
-        out = self[term] = term if self.has(term) else None
-        return out
-
-
 def occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
     """(lang, source, term, n) of kept terms, where a group has any."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(kept, "lang", "term"))
@@ -245,7 +235,7 @@ def groups_of(docs: DataFrame, counted: DataFrame, kept: DataFrame) -> DataFrame
     """(lang, source, total, terms, p0): every occurring group, its kept terms' occurrences, V, and p of an absent term."""
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     total = counted.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    out = docs.select("lang", "source").distinct().join(terms, "lang", "left").join(total, ["lang", "source"], "left")
+    out = docs.select("lang", F.explode(F.array_distinct("sources")).alias("source")).distinct().join(terms, "lang", "left").join(total, ["lang", "source"], "left")
     out = out.na.fill(0, ["terms", "total"])
     return out.withColumn("p0", share(F.lit(0), "total", "terms"))
 

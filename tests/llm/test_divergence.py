@@ -64,10 +64,9 @@ def test_against_a_plain_version(spark):
 def test_bounds_change_nothing(spark, monkeypatch):
     docs = docs_of(400, 3)
     want = plain(docs, 10, 7)
-    # A bitmap of 64 bits, which nearly everything passes; blocks of 8 terms and 2 sources; 20 rows held.
-    for name, value in (("TERM_BLOCK", 8), ("SOURCE_BLOCK", 2), ("HELD", 20), ("FIRST_LEVEL", 1)):
+    # blocks of 8 terms and 2 sources, and of 50 entries.
+    for name, value in (("TERM_BLOCK", 8), ("SOURCE_BLOCK", 2), ("BLOCK_TERMS", 50), ("FIRST_LEVEL", 2)):
         monkeypatch.setattr(D, name, value)
-    monkeypatch.setattr(D, "FIRST_LEVEL", 2)
     assert rows(D.divergence(frame(spark, docs), min_docs=10, top=7)) == want
 
 
