@@ -58,15 +58,21 @@ def terms_of(text: str) -> list[bytes]:
     return text.encode().translate(TERM_BYTES).split(b" ") if text else []
 
 
+class _Numbers(dict):
+    """Term -> its number, in order of coming."""
+
+    def __missing__(self, term: bytes) -> int:
+        n = self[term] = len(self)
+        return n
+
+
 class _Block:
     """Documents of one language: their different terms once, and each document's terms by number, with counts."""
 
     def __init__(self, lang: str):
-        self.lang, self.numbers, self.sources, self.sizes, self.at, self.n, self.size = lang, {}, [], [], [], [], 0
+        self.lang, self.numbers, self.sources, self.sizes, self.at, self.n, self.size = lang, _Numbers(), [], [], [], [], 0
 
     def add(self, source: str, found: Counter) -> None:
-        for term in found.keys() - self.numbers.keys():
-            self.numbers[term] = len(self.numbers)
         self.sources.append(source)
         self.sizes.append(len(found))
         self.at.append(np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found)))
