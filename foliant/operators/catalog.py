@@ -202,10 +202,15 @@ def export_records(items: DataFrame, attachments: DataFrame, words: tuple[str, .
     return joined.select("item_id", F.to_json(F.struct("item_id", "hwpx", "pdf"), {"ignoreNullFields": "false"}).alias("record"))
 
 
+def refresh_due(day: Column, today: Column, items: Column, last_at: Column, now: Column, max_age_s: int = 3600) -> Column:
+    """Whether a day is to be fetched. A past day only while it is empty; today and later when it was never
+    fetched, or ``max_age_s`` ago or earlier."""
+    age = F.timestamp_diff("SECOND", last_at, now)
+    return F.when(day < today, items == 0).otherwise(last_at.isNull() | (age >= max_age_s))
+
+
 def freshness(days: DataFrame, now: str, today: str, max_age_s: int = 3600) -> DataFrame:
-    """Which days to refresh. Past days only when they are empty; today and later when never
-    refreshed or not readably so, or when the last refresh is ``max_age_s`` old or older."""
+    """Which days to refresh; a last refresh that can't be read counts as none."""
     at = F.try_to_timestamp("last_refreshed_at").cast("timestamp_ntz")
-    age = F.timestamp_diff("SECOND", at, F.lit(now).cast("timestamp_ntz"))
-    due = F.when(F.col("day") < F.lit(today), F.col("items") == 0).otherwise(at.isNull() | (age >= max_age_s))
+    due = refresh_due(F.col("day"), F.lit(today), F.col("items"), at, F.lit(now).cast("timestamp_ntz"), max_age_s)
     return days.withColumn("refresh", due)

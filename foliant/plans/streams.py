@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from foliant.plans import views as V
 from foliant.plans._registry import query
+from foliant.sources.scratch import new_dir
 from foliant.streaming import pipelines as P
+from foliant.streaming import serving
 from foliant.streaming import stateful as S
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
@@ -46,7 +48,25 @@ def t1_table(spark, sf):
     return S.rate_limit(_zoned(V.v_requests(spark, sf)), 2, 86400).select("key", "event_id", "accepted")
 
 
-@query("t2_monitor")
+def _monitor_sql(reminder: str, quiet: str) -> str:
+    """A probe's state hangs on the one before, and a reminder on the alert before it: a recursive query, one probe of every server at a step."""
+    return f"""with recursive e as (select 'server' || (user_id % 5) as server, event_id, ts, event_type <> 'error' as ok, row_number() over (partition by user_id % 5 order by ts, event_id) as k from events),
+r as (select server, event_id, k, case when ok then 'up' else 'degraded' end as state, case when ok then 0 else 1 end as fails,
+    case when not ok then 'degraded' end as alert, case when not ok then ts end as alerted from e where k = 1
+  union all select server, event_id, k, state, fails, alert, case when alert is null then alerted else ts end
+  from (select e.server, e.event_id, e.k, e.ts, r.alerted,
+      case when e.ok then 'up' when r.state = 'down' or r.fails + 1 >= 2 then 'down' else 'degraded' end as state, case when e.ok then 0 else r.fails + 1 end as fails,
+      case when e.ok then case when r.state <> 'up' then 'recovered' end
+        when r.state = 'down' then case when (r.alerted is null or e.ts - r.alerted >= {reminder}) and not {quiet} then 'down_reminder' end
+        when r.fails + 1 >= 2 then 'down' when r.state = 'up' then 'degraded' end as alert
+    from r join e on e.server = r.server and e.k = r.k + 1))
+select server, event_id, state, fails::bigint as consecutive_failures, alert from r"""
+
+
+_QUIET = "(hour(e.ts + interval 9 hour) >= 2 and hour(e.ts + interval 9 hour) < 8)"
+
+
+@query("t2_monitor", (), _monitor_sql("interval 1 hour", _QUIET))
 def t2(spark, sf):
     e = _events(spark, sf).withWatermark("ts", "1 hour")
     probes = e.select(F.concat(F.lit("server"), (F.col("user_id") % 5).cast("string")).alias("server"), "event_id", "ts", (F.col("event_type") != "error").alias("ok"))
@@ -64,6 +84,44 @@ def t2_table(spark, sf):
     return got.select("server", "event_id", "state", "consecutive_failures", "alert")
 
 
+#: In these tables runs of failures are short; reminders every ten minutes show in them.
+@query("t2_monitor_reminders", (), _monitor_sql("interval 10 minute", _QUIET))
+def t2_reminders(spark, sf):
+    return S.monitor(_zoned(V.v_probes(spark, sf)), reminder_s=600).select("server", "event_id", "state", "consecutive_failures", "alert")
+
+
+#: Each event asks for a day, its own or the one before; errors and sign-ups are planned failures, and every fourth fetch brings no item.
+_SERVED = """with recursive q as (select *, row_number() over (partition by day order by ts, event_id) as k from (
+    select event_id, ts, (ts::date - case when user_id % 3 = 0 then 1 else 0 end)::date as day, event_type, event_type not in ('error', 'signup') as ok, event_id % 4 as n from events)),
+r as (select distinct day, 0::bigint as k, null::bigint as request_id, null::varchar as answer, null::varchar as reason, null::timestamp as last_at, null::bigint as fetch_id, 0::bigint as items from q
+  union all select day, k, event_id, answer, case when answer in ('stale', 'failed') then 'provider ' || event_type end,
+    case when answer = 'refreshed' then ts else last_at end, case when answer = 'refreshed' then event_id else fetch_id end, case when answer = 'refreshed' then n else items end
+  from (select q.*, r.last_at, r.fetch_id, r.items, case when not case when q.day < q.ts::date then r.items = 0 else r.last_at is null or q.ts - r.last_at >= interval 1 hour end then 'fresh'
+      when q.ok then 'refreshed' when r.items > 0 then 'stale' else 'failed' end as answer from r join q on q.day = r.day and q.k = r.k + 1))
+"""
+
+
+def _serve(spark, sf) -> str:
+    asked = ["event_id as request_id", "date_sub(to_date(ts), if(user_id % 3 = 0, 1, 0)) as day", "ts as asked_at", "event_type not in ('error', 'signup') as ok", "concat('provider ', event_type) as reason"]
+    landed = V.events(spark, sf).where("event_id % 4 > 0").select(F.col("event_id").alias("fetch_id"), F.explode(F.expr("sequence(1, event_id % 4)")).alias("k"))
+    fetches = landed.select("fetch_id", F.concat_ws("-", "fetch_id", "k").alias("news_item_id"))
+    path = new_dir(spark, "served")
+    serving.serve_catalog_stream(_events(spark, sf).selectExpr(*asked), fetches, path, new_dir(spark, "served-log")).awaitTermination()
+    return path
+
+
+@query("t3_serve_catalog", (), _SERVED + """select request_id, day::varchar as day, answer, reason, epoch_us(last_at) as last_refreshed_us, fetch_id, items from r where k > 0""")
+def t3_serve(spark, sf):
+    answers = serving.read_answers(spark, _serve(spark, sf))
+    return answers.select("request_id", F.col("day").cast("string").alias("day"), "answer", "reason", F.unix_micros("last_refreshed_at").alias("last_refreshed_us"), "fetch_id", "items")
+
+
+@query("t3b_served_items", (), _SERVED + """, l as (select day, max_by(fetch_id, k) as fetch_id from r group by day)
+select day::varchar as day, fetch_id, fetch_id || '-' || unnest(generate_series(1, fetch_id % 4)) as news_item_id from l where fetch_id % 4 > 0""")
+def t3b(spark, sf):
+    return serving.read_catalog(spark, _serve(spark, sf)).select(F.col("approve_day").cast("string").alias("day"), "fetch_id", "news_item_id")
+
+
 @query("t4_dedupe_requests", (), "select distinct user_id from events")
 def t4(spark, sf):
     requests = _events(spark, sf).select("user_id", "ts")
@@ -87,12 +145,12 @@ def t5_table(spark, sf):
     return S.last_states(S.job_state(_zoned(V.v_job_events(spark, sf))))
 
 
-#: A message without a file comes out once the watermark has passed it: a minute behind the slower stream's last event.
+#: A message comes out once the watermark has passed it: a minute behind the slower stream's last event.
 @query("t6_media_for_messages", (), """
 with c as (select event_id::varchar as message_id, user_id % 7 as sender, ts from events where event_type = 'click'),
 p as (select user_id % 7 as sender, ts as media_ts, '/m/' || event_id || '.md' as path from events where event_type = 'purchase'),
-j as (select c.message_id, c.ts, p.path from c left join p on p.sender = c.sender and p.media_ts <= c.ts and p.media_ts >= c.ts - interval 15 minutes)
-select message_id, path from j where path is not null or ts < (select least((select max(ts) from c), (select max(media_ts) from p)) - interval 1 minute)""")
+j as (select c.message_id, c.ts, max_by(p.path, (p.media_ts, p.path)) as path from c left join p on p.sender = c.sender and p.media_ts <= c.ts and p.media_ts >= c.ts - interval 15 minutes group by all)
+select message_id, path from j where ts < (select least((select max(ts) from c), (select max(media_ts) from p)) - interval 1 minute)""")
 def t6(spark, sf):
     e = _events(spark, sf)
     sender = F.concat(F.lit("u"), (F.col("user_id") % 7).cast("string")).alias("sender")

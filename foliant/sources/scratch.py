@@ -28,3 +28,19 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     path = new_dir(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _on_its_file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    system, target = _on_its_file_system(spark, path)
+    return system.exists(target)
+
+
+def forget(spark: SparkSession, path: str) -> None:
+    """Remove a folder that nothing reads any more."""
+    system, target = _on_its_file_system(spark, path)
+    system.delete(target, True)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from foliant.sources.scratch import new_dir
+from foliant.sources.scratch import exists, forget, new_dir
 
 
 def run_available(stream: DataFrame) -> DataFrame:
@@ -28,18 +28,18 @@ def upsert_catalog_stream(items: DataFrame, path: str, checkpoint: str, order: s
         if batch.isEmpty():
             return
         spark = batch.sparkSession
-        stored = batch.limit(0)
-        try:
-            stored = spark.read.schema(batch.schema).parquet(path).join(batch.select("approve_day").distinct(), "approve_day", "left_semi").select(batch.columns)
-        except Exception as e:  # nothing is stored yet
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
+        # Held: what is stored and what comes in are each read once, and a folder can't be replaced while it is read.
+        held, aside = new_dir(spark, "upsert"), new_dir(spark, "upsert")
+        batch.write.parquet(held)
+        came = spark.read.schema(batch.schema).parquet(held)
+        if exists(spark, path):
+            stored = spark.read.schema(batch.schema).parquet(path)
+            came = came.unionByName(stored.join(came.select("approve_day").distinct(), "approve_day", "left_semi").select(batch.columns))
         newest = Window.partitionBy("approve_day", "news_item_id").orderBy(F.desc(order))
-        both = batch.unionByName(stored).withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").drop("__rn")
-        # Written aside first: a folder can't be replaced while it is read.
-        aside = new_dir(spark, "upsert")
-        both.write.parquet(aside)
+        came.withColumn("__rn", F.row_number().over(newest)).where("__rn = 1").drop("__rn").write.parquet(aside)
         spark.read.schema(batch.schema).parquet(aside).write.partitionBy("approve_day").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+        forget(spark, held)
+        forget(spark, aside)
 
     return items.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -50,16 +50,18 @@ def dedupe_requests(requests: DataFrame, key: str, ts: str = "ts", delay: str =
 
 
 def media_for_messages(messages: DataFrame, media: DataFrame, minutes: int = 15, delay: str = "1 minute") -> DataFrame:
-    """Messages with the Markdown files of the ``minutes`` before them, one row for each, or one with null.
+    """Each message with the newest Markdown file that its sender sent in the ``minutes`` before it, or null.
 
-    A message without a file comes out once the watermark has passed its time. The newest file of a message is
-    the one with the largest media_ts.
+    An interval join is followed by an aggregate under the same watermark, which sees all of a message's files before it
+    lets one row out, once the watermark has passed the message. Of files of one time the last path counts.
     """
     m = messages.withWatermark("ts", delay).alias("m")
     files = media.where(F.lower("path").rlike(r"\.(md|markdown)$")).select(F.col("sender").alias("media_sender"), F.col("ts").alias("media_ts"), "path")
     f = files.withWatermark("media_ts", delay).alias("f")
     near = F.expr(f"media_sender = sender and media_ts <= ts and media_ts >= ts - interval {minutes} minutes")
-    return m.join(f, near, "left_outer").select("message_id", "sender", "ts", "path", "media_ts")
+    pairs = m.join(f, near, "left_outer").select("message_id", "sender", "ts", "path", "media_ts")
+    newest = F.max(F.when(F.col("path").isNotNull(), F.struct("media_ts", "path"))).alias("newest")
+    return pairs.groupBy("message_id", "sender", "ts").agg(newest).select("message_id", "sender", "ts", "newest.path", "newest.media_ts")
 
 
 def table_stream(spark: SparkSession, sf: str, name: str, schema: str) -> DataFrame:

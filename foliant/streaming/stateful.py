@@ -1,9 +1,10 @@
-"""State machines by key, each written once as a step and run over a stream or over a table.
+"""State machines by key, each written once as a step.
 
 A step takes the key's state (a tuple, or None at first) and one row, and gives the new state and the
-rows to emit. Over a stream the state lives in Spark's state store; over a table the rows are sorted by
-key and order, and one pass carries the state of the current key alone, so a key with many rows needs
-no more memory than one with few.
+rows to emit. Over a stream a stateful processor runs it, whose state, timers and scratch lie in RocksDB; a key's
+rows of a micro-batch are put in order there, in sorted runs that are merged, so a key with a third of all rows needs
+no more memory than one with few. Over a table the limiter sorts by key and order and carries the state
+of one key; the monitor and the job states are computed by segmented scans, without Python (see operators.scans).
 
 Late rows: a stream's rows are put in order within a micro-batch; rows older than the watermark are
 dropped by Spark and counted in its progress.
@@ -12,15 +13,24 @@ dropped by Spark and counted in its progress.
 from __future__ import annotations
 
 import datetime as dt
+import heapq
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
+
+from foliant.operators.scans import segmented, spaced_picks
+from foliant.sources.scratch import stored
 
 Step = Callable[[tuple | None, dict], tuple[tuple | None, list[tuple]]]
 
+#: Rows of a key that are held at a time, and rows of a block of a sorted run.
+RUN_ROWS, BLOCK_ROWS = 50_000, 1_000
+
 
 def _columns(schema: str) -> list[str]:
     return [c.split()[0] for c in schema.split(", ")]
@@ -44,35 +54,84 @@ def sweep(df: DataFrame, key: str, order: list[str], step: Step, schema: str) ->
     return df.repartition(key).sortWithinPartitions(key, *order).mapInPandas(run, schema)
 
 
-def over_stream(df: DataFrame, key: str, order: list[str], step: Step, schema: str, state: str, keep_ms: int, idle: Callable | None = None) -> DataFrame:
-    """The step over a stream with a watermark on ``ts``; a key's state goes once it was idle for ``keep_ms``.
+class StepProcessor(StatefulProcessor):
+    """A step by key over a stream. The state is one value or, with ``many``, a list of single numbers.
 
-    ``idle`` gives the rows to emit then, from the key and the state.
+    A timer goes off once a key was idle for ``keep_ms`` of event time; ``idle`` gives the rows to emit then, from
+    the key and the state, and the state is forgotten.
     """
-    names = _columns(schema)
 
-    def run(ident: tuple, batches: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        if group.hasTimedOut:
-            rows = idle(ident[0], group.get) if idle else []
-            group.remove()
-            yield pd.DataFrame(rows, columns=names)
-            return
-        now = group.get if group.exists else None
-        rows = pd.concat(list(batches)).sort_values(order)
-        out: list[tuple] = []
-        for row in rows.to_dict("records"):
-            now, emitted = step(now, row)
-            out.extend(emitted)
-        if now is None:
-            if group.exists:
-                group.remove()
+    def __init__(self, step: Step, order: list[str], state: str, many: bool, rows: StructType, names: list[str], keep_ms: int, idle: Callable | None):
+        self.step, self.order, self.schema, self.many, self.rows, self.names, self.keep_ms, self.idle = step, order, state, many, rows, names, keep_ms, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getListState("state", self.schema) if self.many else handle.getValueState("state", self.schema)
+        self.runs = handle.getMapState("runs", "run int, block int", f"rows array<{self.rows.simpleString()}>")
+
+    def _load(self) -> tuple | None:
+        if not self.kept.exists():
+            return None
+        return ([v for (v,) in self.kept.get()],) if self.many else self.kept.get()
+
+    def _store(self, state: tuple | None) -> None:
+        if state is None or self.many and not state[0]:
+            self.kept.clear()
+        elif self.many:
+            self.kept.put([(v,) for v in state[0]])
         else:
-            group.update(now)
-            last = int(pd.Timestamp(rows["ts"].max()).timestamp() * 1000)
-            group.setTimeoutTimestamp(max(last, group.getCurrentWatermarkMs()) + keep_ms + 1)
-        yield pd.DataFrame(out, columns=names)
+            self.kept.update(state)
 
-    return df.groupBy(key).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.EventTimeTimeout)
+    def _place(self, row: Row) -> tuple:
+        return tuple(row[c] for c in self.order)
+
+    def _in_order(self, rows: Iterator[Row]) -> Iterator[Row]:
+        """A key's rows of a micro-batch in order: sorted where they fit, else by runs that lie in the state store."""
+        run = sorted(islice(rows, RUN_ROWS), key=self._place)
+        if len(run) < RUN_ROWS:
+            yield from run
+            return
+        blocks: list[int] = []
+        while run:
+            for k in range(0, len(run), BLOCK_ROWS):
+                self.runs.updateValue((len(blocks), k // BLOCK_ROWS), ([tuple(r) for r in run[k : k + BLOCK_ROWS]],))
+            blocks.append(-(-len(run) // BLOCK_ROWS))
+            run = sorted(islice(rows, RUN_ROWS), key=self._place)
+        yield from heapq.merge(*(self._read(i, n) for i, n in enumerate(blocks)), key=self._place)
+
+    def _read(self, run: int, blocks: int) -> Iterator[Row]:
+        named = Row(*self.rows.names)
+        for k in range(blocks):
+            found = self.runs.getValue((run, k))[0]
+            self.runs.removeKey((run, k))
+            yield from (named(*r) for r in found)
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        now, last = self._load(), None
+        for row in self._in_order(rows):
+            now, emitted = self.step(now, row.asDict())
+            last = row["ts"]
+            for out in emitted:
+                yield Row(**dict(zip(self.names, (v.to_pydatetime() if isinstance(v, pd.Timestamp) else v for v in out))))
+        self._store(now)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if now is not None and last is not None:
+            at = int(pd.Timestamp(last).timestamp() * 1000)
+            self.handle.registerTimer(max(at, timerValues.getCurrentWatermarkInMs()) + self.keep_ms + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        state = self._load()
+        self.kept.clear()
+        for out in self.idle(key[0], state) if self.idle and state is not None else []:
+            yield Row(**dict(zip(self.names, out)))
+
+
+def over_stream(df: DataFrame, key: str, order: list[str], step: Step, schema: str, state: str, keep_ms: int, idle: Callable | None = None, many: bool = False) -> DataFrame:
+    """The step over a stream with a watermark on ``ts``. The session's state store becomes RocksDB's."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    processor = StepProcessor(step, order, state, many, df.schema, _columns(schema), keep_ms, idle)
+    return df.groupBy(key).transformWithState(processor, schema, "append", "eventTime")
 
 
 # A limiter that counts accepted requests only
@@ -97,7 +156,7 @@ def rate_limit(requests: DataFrame, n: int = 12, seconds: float = 60, stream: bo
     step = limit_step(n, seconds)
     if not stream:
         return sweep(requests, "key", ["ts", "event_id"], step, LIMITED)
-    return over_stream(requests, "key", ["ts", "event_id"], step, LIMITED, "accepted array<long>", int(seconds * 1000))
+    return over_stream(requests, "key", ["ts", "event_id"], step, LIMITED, "accepted long", int(seconds * 1000), many=True)
 
 
 # A server monitor
@@ -133,11 +192,40 @@ def monitor_step(threshold: int = 2, reminder_s: int = 3600, quiet: tuple[int, i
     return step
 
 
+def monitor_table(probes: DataFrame, threshold: int = 2, reminder_s: int = 3600, quiet: tuple[int, int] = (2, 8), utc_hours: int = 9) -> DataFrame:
+    """T2 over a table, by segmented scans: a server's probes are cut into days and never meet in one task.
+
+    The number of failures in a row is a running count less its value at the last success. A run of failures is down from
+    its ``threshold``th on, which alerts, so reminders hang on their own run alone: each is the first probe
+    outside quiet hours at least ``reminder_s`` after the alert before it.
+    """
+    order, ok = ["ts", "event_id"], F.col("ok")
+    counted = segmented(probes.select("server", *order, F.coalesce("ok", F.lit(False)).alias("ok")), ["server"], order, sums={"run": ok.cast("long"), "failed": (~ok).cast("long")}, befores={"was_ok": ok})
+    since = segmented(counted, ["server"], order, lasts={"settled": F.when(ok, F.col("failed"))})
+    k = F.when(ok, 0).otherwise(F.col("failed") - F.coalesce("settled", F.lit(0)))
+    hour = F.pmod(F.floor(F.col("at") / 3_600_000_000) + utc_hours, F.lit(24))
+    runs = stored(since.withColumn("k", k).withColumn("at", F.unix_micros("ts")).drop("failed", "settled"), "monitor")
+    down = runs.where((F.col("k") == threshold) | (F.col("k") > threshold) & ~((hour >= quiet[0]) & (hour < quiet[1])))
+    picks = spaced_picks(down.withColumn("start", F.col("k") == threshold), ["server", "run"], "ts", reminder_s, "start")
+    # Of probes at one time the first is the one that reminds, and none at the time of the alert itself.
+    due = down.groupBy("server", "run", "at").agg(F.min("k").alias("k"), F.min("event_id").alias("event_id"))
+    due = due.where(F.col("k") > threshold).join(picks, ["server", "run", "at"], "left_semi")
+    due = due.select("server", "at", "event_id", F.lit(True).alias("due"))
+    state = F.when(ok, "up").when(F.col("k") >= threshold, "down").otherwise("degraded")
+    alert = (
+        F.when(ok & (~F.coalesce("was_ok", F.lit(True))), "recovered")
+        .when(F.col("k") == threshold, "down")
+        .when(~ok & (F.col("k") == 1) & F.lit(threshold > 1), "degraded")
+        .when(F.col("due"), "down_reminder")
+    )
+    return runs.join(due, ["server", "at", "event_id"], "left").select("server", "event_id", "ts", state.alias("state"), F.col("k").alias("consecutive_failures"), alert.alias("alert"))
+
+
 def monitor(probes: DataFrame, threshold: int = 2, stream: bool = False, keep_days: int = 30, **options) -> DataFrame:
     """Each probe with the server's state after it and the alert it raises (or null)."""
-    step = monitor_step(threshold, **options)
     if not stream:
-        return sweep(probes, "server", ["ts", "event_id"], step, ALERTS)
+        return monitor_table(probes, threshold, **options)
+    step = monitor_step(threshold, **options)
     state = "state string, failures long, alerted long"
     return over_stream(probes, "server", ["ts", "event_id"], step, ALERTS, state, keep_days * 86_400_000)
 
@@ -164,11 +252,29 @@ def job_step(state, row):
     return new, [(row["job_id"], row["event_id"], at, status, progress, version, error)] if changed else []
 
 
+def job_table(events: DataFrame) -> DataFrame:
+    """T5 over a table, by segmented scans: the last event that sets a status, and the number of saved versions so far."""
+    order, kind = ["ts", "event_id"], F.col("kind")
+    saved = kind.isin("save_text", "save_result", "save_html", "save_edit").cast("int")
+    setting = F.when(kind.isin(*_JOB), F.struct("kind", F.when(kind == "fail", F.col("payload")).alias("error")))
+    so_far = segmented(events.select("job_id", *order, "kind", "payload"), ["job_id"], order, sums={"version": saved}, lasts={"set": setting})
+
+    def of(place: int, otherwise: Column) -> Column:
+        out = otherwise
+        for name, values in _JOB.items():
+            out = F.when(F.col("set.kind") == name, F.lit(values[place])).otherwise(out)
+        return out
+
+    now = F.struct(of(0, F.lit("queued")).alias("status"), of(1, F.lit(0)).alias("progress"), F.col("version").cast("int").alias("result_version"), F.col("set.error").alias("error"))
+    states = segmented(so_far.select("job_id", *order, now.alias("now")), ["job_id"], order, befores={"was": F.col("now")})
+    return states.where(~F.col("now").eqNullSafe(F.col("was"))).select("job_id", "event_id", "ts", "now.*")
+
+
 def job_state(events: DataFrame, stream: bool = False, keep_days: int = 30) -> DataFrame:
     """T5: a row whenever a job's state changes; the last one of a job is its state."""
     order = ["ts", "event_id"]
     if not stream:
-        return sweep(events, "job_id", order, job_step, JOB_STATE)
+        return job_table(events)
     state = "status string, progress int, version int, error string, last_ts long, last_id long"
     return over_stream(events, "job_id", order, job_step, JOB_STATE, state, keep_days * 86_400_000)
 
