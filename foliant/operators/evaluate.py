@@ -182,35 +182,6 @@ def changed_words(before: Column, after: Column) -> Column:
     return F.aggregate(zipped, F.lit(0), lambda acc, x: acc + x)
 
 
-#: Block kinds by element, and how each is written.
-BLOCK = r"(?is)<(h[1-6]|p|li|th|td)\b[^>]*>(.*?)(?=</?(?:h[1-6]|p|li|th|td|tr|table|ul|ol|div|article|section|nav|footer|header|body)\b|\z)"
-
-
-def page_blocks(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, element, text): a page's headings, paragraphs, list items and cells, in order."""
-    from foliant.functions.titles import normalize_title
-
-    bare = F.regexp_replace("html", r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", "")
-    found = pages.select("page_id", bare.alias("h"))
-    kinds = F.regexp_extract_all("h", F.lit(BLOCK), 1)
-    inner = F.regexp_extract_all("h", F.lit(BLOCK), 2)
-    rows = found.select("page_id", F.posexplode(F.arrays_zip(kinds.alias("element"), inner.alias("inner"))).alias("pos", "b"))
-    text = normalize_title(F.regexp_replace(F.col("b.inner"), r"<[^>]*>", " "))
-    return rows.select("page_id", "pos", F.lower("b.element").alias("element"), text.alias("text")).where("text <> ''")
-
-
-def pages_to_markdown(pages: DataFrame) -> DataFrame:
-    """(page_id, markdown): blocks as Markdown lines, by a rule for each kind of element."""
-    e = F.col("element")
-    line = (
-        F.when(e.rlike("^h[1-6]$"), F.concat(F.repeat(F.lit("#"), F.substring(e, 2, 1).cast("int")), F.lit(" "), "text"))
-        .when(e == "li", F.concat(F.lit("- "), "text")).when(e.isin("td", "th"), F.concat(F.lit("| "), F.col("text"), F.lit(" |"))).otherwise(F.col("text"))
-    )
-    rows = page_blocks(pages).select("page_id", F.struct("pos", line.alias("line")).alias("r"))
-    listed = F.array_sort(F.collect_list("r"))
-    return rows.groupBy("page_id").agg(F.array_join(F.transform(listed, lambda r: r["line"]), "\n").alias("markdown"))
-
-
 def document_header(title: Column, source: Column, department: Column, at: Column, links: Column) -> Column:
     """Title, what is known of the document, and its attachments as list lines; absent parts are left out."""
     line = lambda label, c: F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"- {label}: "), c))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliant.operators import catalog as C
 from foliant.operators import convert as X
 from foliant.operators import evaluate as E
+from foliant.operators import pages as PG
 from foliant.operators import lines as L
 from foliant.operators import matching as M
 from foliant.plans import views as V
@@ -354,15 +355,69 @@ def e07(spark, sf):
     return _pairs(spark, sf).select("engine", "doc_id", E.changed_words(F.col("truth"), F.col("prediction")).alias("changed"))
 
 
-@query("e08_pages_to_markdown", (), r"""
+_PAGE_BLOCKS = r"""
 with a as (select page_id, regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g') as h from pages),
 s as (select page_id, unnest(string_split_regex(regexp_replace(h, '(?i)<(/?)(h[1-6]|p|li|th|td|tr|table|ul|ol|div|article|section|nav|footer|header|body)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), chr(1))) as part,
   generate_subscripts(string_split_regex(regexp_replace(h, '(?i)<(/?)(h[1-6]|p|li|th|td|tr|table|ul|ol|div|article|section|nav|footer|header|body)\b[^>]*>', chr(1) || '\1\2' || chr(2), 'g'), chr(1)) , 1) as i from a),
-b as (select page_id, i, lower(split_part(part, chr(2), 1)) as e, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(split_part(part, chr(2), 2), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) as t from s)
-select page_id, md5(string_agg(case when e[1] = 'h' and len(e) = 2 then repeat('#', e[2]::int) || ' ' || t when e = 'li' then '- ' || t when e in ('td', 'th') then '| ' || t || ' |' else t end, chr(10) order by i)) as markdown_md5
-from (select * from b where regexp_matches(e, '^(h[1-6]|p|li|th|td)$') and t <> '') group by page_id""")
+b as (select page_id, i, lower(split_part(part, chr(2), 1)) as e, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(split_part(part, chr(2), 2), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&middot;', '·'), '&copy;', '©'), '&amp;', '&'), '\s+', ' ', 'g')) as t from s)"""
+
+#: A page's lines from its flat blocks.
+_PAGE_LINES = """string_agg(case when e[1] = 'h' and len(e) = 2 then repeat('#', e[2]::int) || ' ' || t when e = 'li' then '- ' || t when e in ('td', 'th') then '| ' || t || ' |' else t end, chr(10) order by i)"""
+
+_PAGE_FROM = """from (select * from b where regexp_matches(e, '^(h[1-6]|p|li|th|td)$') and t <> '') group by page_id"""
+
+
+@query("e08_pages_to_markdown", (), f"""{_PAGE_BLOCKS}
+select page_id, md5({_PAGE_LINES}) as markdown_md5
+{_PAGE_FROM}""")
 def e08(spark, sf):
-    return E.pages_to_markdown(V.table(spark, sf, "pages")).select("page_id", F.md5("markdown").alias("markdown_md5"))
+    return PG.pages_to_markdown(V.table(spark, sf, "pages")).select("page_id", F.md5("markdown").alias("markdown_md5"))
+
+
+#: What each page gets at its end, and what becomes of it; @ is the page's id.
+_PLANTED = (
+    "<ul><li>one @<ul><li>two @</li><li><p>three</p></li></ul>tail @</li><li>four</li></ul>"
+    "<table><tr><th>a @</th><th colspan='2'>b</th></tr><tr><td rowspan=\"2\">c</td><td>d<p>more</p></td><td>e</td></tr><tr><td>f @</td><td>g</td></tr></table>"
+    "<table><tr><td>head @</td></tr><tr><td>- x</td></tr><tr><td>-y @</td></tr></table><p style=\"margin-left:30pt\">- in @</p><p>[ box @ ]</p>"
+    "<table><tr><td>annex @</td><td></td></tr><tr><td>first</td><td>second</td></tr></table><table><tr><td>notice</td></tr></table>"
+    "<table><tr><td>contact</td><td>n @</td><td>p</td><td>q</td></tr><tr><td>only</td><td>two</td></tr></table>"
+    "<table><tr><td>agenda</td></tr><tr><td>item @</td><td>who</td><td>tel</td><td>mail</td></tr></table>"
+)
+_PLANTED_LINES = """- one @
+  - two @
+  - three
+  tail @
+- four
+| a @ | b | b |
+| --- | --- | --- |
+| c | d more | e |
+| c | f @ | g |
+## head @
+- x
+- y @
+  - in @
+## [ box @ ]
+## annex @
+first second
+## contact
+- contact: n @ / p q
+- only / two
+## agenda
+- item @
+  - who
+  - tel / mail"""
+
+
+@query("e08b_page_structure", (), f"""{_PAGE_BLOCKS}, m as (select page_id, {_PAGE_LINES} as own
+{_PAGE_FROM})
+select p.page_id, md5(coalesce(own || chr(10), '') || replace('{_PLANTED_LINES}', '@', p.page_id::varchar)) as markdown_md5, len(coalesce(own || chr(10), '')) as own_chars from pages p left join m using (page_id)""")
+def e08b(spark, sf):
+    planted = F.replace(F.lit(_PLANTED), F.lit("@"), F.col("page_id").cast("string"))
+    pages = V.table(spark, sf, "pages").select("page_id", F.concat("html", planted).alias("html"))
+    rules = PG.Rules(labels=("notice",), appendix=("annex",), contacts=("contact",), agenda=("agenda",))
+    end = F.replace(F.lit(_PLANTED_LINES), F.lit("@"), F.col("page_id").cast("string"))
+    done = PG.pages_to_markdown(pages, rules)
+    return done.select("page_id", F.md5("markdown").alias("markdown_md5"), (F.length("markdown") - F.length(end)).cast("long").alias("own_chars"))
 
 
 @query("e09_document_header", ("v_docs",), """
