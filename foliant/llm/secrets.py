@@ -45,7 +45,7 @@ LEDGER_SCHEMA = "blob string, rule_version int, findings array<struct<kind:strin
 
 @cache
 def _rules() -> list[tuple[str, re.Pattern, str]]:
-    """(kind, pattern, a string every match holds or "").
+    """(kind, pattern, a string every match holds or ""), for kinds whose patterns never scan a stretch twice.
 
     Greedy runs make ``[0-9a-f]{32,}`` and ``AKIA[A-Z0-9]{12,}`` the same as matching any run and
     dropping the short ones; an assignment must be matched first and dropped afterwards, for a
@@ -56,13 +56,57 @@ def _rules() -> list[tuple[str, re.Pattern, str]]:
         ("access", re.compile(r"AKIA[A-Z0-9]{12,}"), "AKIA"),
         ("hex", re.compile(r"[0-9a-f]{32,}"), ""),
         ("pem", re.compile(ADDED["pem"]), "-----BEGIN "),
-        ("jwt", re.compile(ADDED["jwt"]), "eyJ"),
         ("forge", re.compile(ADDED["forge"]), "gh"),
         ("chat", re.compile(ADDED["chat"]), "xox"),
-        ("url", re.compile(ADDED["url"]), "://"),
     ]
 
 
+#: Kinds that begin with a run of letters which may be long and lead nowhere: what follows the run is looked for first. The run
+#: before it, read backwards, ends where it may begin no sooner, and the first place in it that can start a match does.
+_BY_MIDDLE = {
+    "jwt": ("eyJ", re.compile(r"\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"), re.compile(r"[A-Za-z0-9_-]*"), re.compile(r"eyJ(?=.{8})", re.S)),
+    "url": ("://", re.compile(r"://[^/\s:@]+:[^/\s:@]+@[A-Za-z0-9.-]+"), re.compile(r"[a-z0-9+.-]*"), re.compile(r"[a-z]")),
+}
+
+
+def _run_before(text: str, run: re.Pattern, at: int, least: int) -> str:
+    """The run of a class's characters that ends before ``at`` and begins at ``least`` or later."""
+    out: list[str] = []
+    stretch = 32
+    while at > least:
+        piece = text[max(least, at - stretch) : at][::-1]
+        n = run.match(piece).end()
+        out.append(piece[:n])
+        at, stretch = at - n, 2 * stretch
+        if n < len(piece):
+            break
+    return "".join(out)[::-1]
+
+
+def _by_middle(text: str, kind: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches, one after another; each stretch of text is read a bounded number of times."""
+    needle, middle, run, start = _BY_MIDDLE[kind]
+    end = 0
+    if needle in text:
+        for m in middle.finditer(text) if kind == "url" else _overlapping(middle, text):
+            if m.start() >= end:
+                before = _run_before(text, run, m.start(), end)
+                first = start.search(before)
+                if first:
+                    yield m.start() - len(before) + first.start(), m.end()
+                    end = m.end()
+
+
+def _overlapping(pattern: re.Pattern, text: str) -> Iterator[re.Match]:
+    """Matches from every start: that of one token's middle may lie in another's end."""
+    at = text.find(".eyJ")
+    while at >= 0:
+        m = pattern.match(text, at)
+        if m:
+            yield m
+        at = text.find(".eyJ", at + 1)
+
+
 def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of one text as (kind, start, end) in code points, by start and then kind."""
     text = text or ""
@@ -74,6 +118,8 @@ def find_secrets(text: str | None) -> list[tuple[str, int, int]]:
         for m in pattern.finditer(text):
             if kind != "assign" or len(m[2]) >= 8:
                 found.append((kind, m.start(), m.end()))
+    for kind in _BY_MIDDLE:
+        found += [(kind, s, e) for s, e in _by_middle(text, kind)]
     return sorted(found, key=lambda f: (f[1], order[f[0]]))
 
 

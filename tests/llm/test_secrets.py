@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 from foliant.llm import secrets as S
 
@@ -65,3 +66,21 @@ def test_only_unseen_pairs_are_scanned(spark):
 def test_empty_table(spark):
     found, ledger = S.scan_secrets(frame(spark).limit(0))
     assert found.count() == 0 and ledger.count() == 0
+
+
+def test_kinds_found_by_their_middle_equal_their_patterns():
+    rng = random.Random(8)
+    parts = ["eyJ", ".", "eyJabcdefgh", "abcdefgh", "x", "_", "-", "://", "a", "1", "u:p@h", "@", ":", "/", " ", "ftp+x", "é", "eyJ1234567", ".eyJ"]
+    for n in range(20_000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        got = S.find_secrets(text)
+        for kind in ("jwt", "url"):
+            assert [(s, e) for k, s, e in got if k == kind] == [m.span() for m in re.finditer(S.ADDED[kind], text)], text
+
+
+def test_long_runs_take_time_in_proportion():
+    n = 5_000_000
+    for text in ("ab1" * (n // 3) + " ://", "eyJ" * (n // 3), "eyJabcdefgh." * (n // 12), "a://" * (n // 4), "0f" * (n // 2), ".eyJ" * (n // 4), "password" * (n // 8), "-----BEGIN " * (n // 11)):
+        began = time.perf_counter()
+        S.find_secrets(text)
+        assert time.perf_counter() - began < 20  # some seconds at most; a scan from every start would take hours
