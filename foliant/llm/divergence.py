@@ -165,7 +165,8 @@ def _level(length: int, before: int, bits):
             doc, item = doc[item >= 0], item[item >= 0]
             # A document's terms differ; what may repeat in it are open prefixes.
             may = np.fromiter((x.endswith(OPEN) for x in items), dtype=bool, count=len(items))[item]
-            once = np.unique(doc[may] * len(items) + item[may]) % len(items)
+            key = np.sort(doc[may] * len(items) + item[may])
+            once = key[np.append(True, key[1:] != key[:-1])[: len(key)]] % len(items)
             docs = np.bincount(item[~may], minlength=len(items)) + np.bincount(once, minlength=len(items))
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(items), pa.string()), pa.array(list(items), pa.binary()), pa.array(docs, pa.int64())], ["lang", "item", "docs"])
 
@@ -201,32 +202,46 @@ def _occurrences(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, terms, sources, doc, at, n in _rows(batches):
             keep = np.fromiter(map(_test(bits.value, lang), terms), dtype=bool, count=len(terms))
-            if not keep.any():
+            kept = np.flatnonzero(keep)
+            if not len(kept):
                 continue
             names = sorted(set(sources))
             number = {s: i for i, s in enumerate(names)}
             of_doc = np.fromiter((number[s] for s in sources), dtype=np.int64, count=len(sources))
             mine = keep[at]
-            key, place = np.unique(of_doc[doc[mine]] * len(terms) + at[mine], return_inverse=True)
-            total = np.zeros(len(key), dtype=np.int64)
-            np.add.at(total, place, n[mine])
-            source, term = np.divmod(key, len(terms))
+            key, total = _summed((np.cumsum(keep) - 1)[at[mine]] * len(names) + of_doc[doc[mine]], n[mine], len(kept) * len(names))
+            term, source = np.divmod(key, len(names))
+            begin = pa.array(np.append(np.flatnonzero(np.append(True, term[1:] != term[:-1])), len(term)), pa.int32())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([lang] * len(key), pa.string()), pa.array(names, pa.string()).take(pa.array(source)),
-                    pa.array(terms, pa.binary()).take(pa.array(term)), pa.array(total),
+                    pa.array([lang] * len(kept), pa.string()), pa.array(terms, pa.binary()).take(pa.array(kept)),
+                    pa.ListArray.from_arrays(begin, pa.array(names, pa.string()).take(pa.array(source))), pa.ListArray.from_arrays(begin, pa.array(total)),
                 ],
-                ["lang", "source", "term", "n"],
+                ["lang", "term", "sources", "n"],
             )
 
     return run
 
 
+def _summed(key: np.ndarray, n: np.ndarray, keys: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, sum of n) of each different key, in order; by places where these are few, else by sorting."""
+    if keys <= 4 * len(key):
+        place = np.zeros(keys, dtype=np.int64)
+        np.add.at(place, key, n)
+        found = np.flatnonzero(place)
+        return found, place[found]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+    return key[first], np.add.reduceat(n[order], first)
+
+
 def occurrences(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """(lang, source, term, n) of kept terms, where a group has any."""
+    """(lang, source, term, n) of kept terms, where a group has any. A block sends on one row a term, with its sources."""
     bits = docs.sparkSession.sparkContext.broadcast(bitmap(kept, "lang", "term"))
-    counted = docs.mapInArrow(_occurrences(bits), "lang string, source string, term binary, n long")
-    return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")).join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    counted = docs.mapInArrow(_occurrences(bits), "lang string, term binary, sources array<string>, n array<long>")
+    each = counted.join(kept.select("lang", "term"), ["lang", "term"], "left_semi").select("lang", "term", F.explode(F.arrays_zip("sources", "n")).alias("e"))
+    return each.groupBy("lang", F.col("e.sources").alias("source"), "term").agg(F.sum("e.n").alias("n"))
 
 
 def share(n: Column | str, total: Column | str, terms: Column | str) -> Column:
