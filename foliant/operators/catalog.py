@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.attachments import APPENDIX_WORDS, attachment_extension, is_appendix
 from foliant.functions.dates import parse_approve_ts
+from foliant.sources.scratch import partition_values
 
 
 def _pick(items: DataFrame, keys: list[str], *order: Column) -> DataFrame:
-    rank = Window.partitionBy(*keys).orderBy(*order)
+    """The first row of each key; rows that tie are told apart by a hash of what they hold."""
+    plain = [F.col(f"`{f.name}`") for f in items.schema if not f.dataType.simpleString().count("map<")]
+    rank = Window.partitionBy(*keys).orderBy(*order, F.xxhash64(*plain))
     return items.withColumn("__rn", F.row_number().over(rank)).where("__rn = 1").drop("__rn")
 
 
@@ -161,6 +164,25 @@ def latest_over_days(items: DataFrame, n: int) -> DataFrame:
     return one.join(kept, "day_file").orderBy(F.desc("day_file"), F.desc(catalog_key(F.col("approve_date"))), F.desc("news_item_id")).limit(n)
 
 
+def latest_of_partitions(spark: SparkSession, path: str, n: int, day: str = "approve_day", lookback: int | None = None) -> DataFrame:
+    """K5 over a table stored by day, with ``day`` as its partition: only the days that are needed to reach ``n`` are read.
+
+    The days come from the names of the table's folders. Newest first, twice as many are counted each time until they hold
+    ``n`` different items; older ones can't change what is found and stay unread.
+    """
+    days = sorted(partition_values(spark, path, day), reverse=True)[:lookback]
+    if not days:
+        return spark.read.parquet(path).limit(0)
+    k = 1
+    while True:
+        of_days = spark.read.option("basePath", path).parquet(*(f"{path}/{day}={d}" for d in days[:k]))
+        if k >= len(days) or of_days.agg(F.count_distinct("news_item_id")).first()[0] >= n:
+            break
+        k *= 2
+    found = latest_over_days(of_days.withColumn("day_file", F.col(day).cast("string")), n)
+    return found if day == "day_file" else found.drop("day_file")
+
+
 def group_by_day(items: DataFrame) -> DataFrame:
     """(approve_day, items), newest day first; items without a readable date are left out."""
     return repartition_legacy(items).groupBy("approve_day").agg(F.count(F.lit(1)).alias("items")).orderBy(F.desc("approve_day"))

@@ -14,6 +14,7 @@ from foliant.operators import ranking as R
 from foliant.plans import views as V
 from foliant.plans._registry import query
 from foliant.plans.scalars import APPENDIX, EXTENSION, IS_APPENDIX
+from foliant.sources.scratch import new_dir
 
 AT = "try_strptime(approve_date, '%m/%d/%Y %H:%M:%S')"
 LATEST = "latest as (select * from v_items qualify row_number() over (partition by news_item_id order by day_file desc) = 1)"
@@ -57,14 +58,24 @@ def u01(spark, sf):
     return C.union_catalogs(items.where("day_file < '2024-01-05'"), items.where("day_file >= '2024-01-05'")).select("news_item_id", "title", "day_file")
 
 
-@query("k05_latest_over_days", "v_items", f"""
+_LATEST_OVER_DAYS = f"""
 with {LATEST}, d as (select day_file, count(*) as n from latest group by day_file), b as (select day_file, coalesce(sum(n) over (order by day_file desc rows between unbounded preceding and 1 preceding), 0) as before from d)
 select news_item_id, day_file from latest join b using (day_file) where before < 100
-order by day_file desc, coalesce(strftime({AT}, '%Y-%m-%dT%H:%M:%S'), approve_date) desc, news_item_id desc limit 100""")
+order by day_file desc, coalesce(strftime({AT}, '%Y-%m-%dT%H:%M:%S'), approve_date) desc, news_item_id desc limit 100"""
+
+
+@query("k05_latest_over_days", "v_items", _LATEST_OVER_DAYS)
 def k05(spark, sf):
     return C.latest_over_days(V.v_items(spark, sf), 100).select("news_item_id", "day_file")
 
 
+@query("k05b_latest_of_partitions", "v_items", _LATEST_OVER_DAYS)
+def k05b(spark, sf):
+    path = new_dir(spark, "days")
+    V.v_items(spark, sf).withColumn("day_file", F.to_date("day_file")).write.partitionBy("day_file").parquet(path)
+    return C.latest_of_partitions(spark, path, 100, "day_file").select("news_item_id", F.col("day_file").cast("string").alias("day_file"))
+
+
 @query("k09_eligible_latest", ("v_items", "v_attachments"), f"""
 with {LATEST}, e as (select item_id from v_attachments group by item_id having bool_or({EXTENSION} = '.pdf') and bool_or({EXTENSION} = '.hwpx'))
 select l.news_item_id, l.title from latest l join e on e.item_id = l.news_item_id::bigint order by {AT} desc nulls last, l.news_item_id desc limit 100""")

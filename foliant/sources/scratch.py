@@ -44,3 +44,17 @@ def forget(spark: SparkSession, path: str) -> None:
     """Remove a folder that nothing reads any more."""
     system, target = _on_its_file_system(spark, path)
     system.delete(target, True)
+
+
+def partition_values(spark: SparkSession, path: str, column: str) -> list[str]:
+    """The values of a stored table's first partition column, by the names of its folders."""
+    system, target = _on_its_file_system(spark, path)
+    names = [f.getPath().getName() for f in system.listStatus(target)]
+    return [n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=") and not n.endswith("__HIVE_DEFAULT_PARTITION__")]
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI; one without a scheme is on the session's default file system."""
+    system, target = _on_its_file_system(spark, path)
+    uri = system.makeQualified(target).toString()
+    return uri.replace("file:/", "file:///", 1) if uri.startswith("file:/") and not uri.startswith("file://") else uri

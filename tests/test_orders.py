@@ -78,3 +78,53 @@ def test_ranking_document_rows(spark):
     text = "a\n| rank | t |\n|---|---|\n| 1 | x |\n| 2 | y |\nend\n| 3 | z |"
     got = spark.range(1).select(L.section_rows(F.lit(text), "| rank").alias("r"), L.section_rows(F.lit(text), "| none").alias("n")).first()
     assert got.r == [["1", "x"], ["2", "y"]] and got.n == []
+
+
+def test_candidates_are_those_of_all_pairs_of_a_date(spark):
+    """Against every sample with every item of its dates, for each least score."""
+    import random
+
+    rng = random.Random(4)
+    words = ["ab", "abc", "doc12", "doc1", "", "12", "x doc12 y"]
+    items = [(str(i), rng.choice(words), f"01/0{rng.randint(3, 5)}/2026 10:00:00", i) for i in range(60)]
+    files = [(str(rng.randint(0, 59)), rng.choice(words) + rng.choice([".hwpx", ".pdf", ".HWP", ""])) for _ in range(90)]
+    samples = [(f"s{i}", rng.choice(words), f"d/26010{rng.randint(3, 5)}_{rng.choice(words)}.hwpx") for i in range(40)] + [("e1", "ab", "d/260104.hwpx"), ("e2", None, None)]
+    i = spark.createDataFrame(items, "news_item_id string, title string, approve_date string, place int")
+    a = spark.createDataFrame(files, "news_item_id string, file_name string")
+    s = spark.createDataFrame(samples, "sample_id string, title string, source string")
+
+    compact = lambda t: "".join(c for c in t if c.isascii() and c.isalnum())
+    stem = lambda f: f[: f.rindex(".")] if "." in f[1:] else f
+
+    def score(title, name, item):
+        n = 5 if compact(title) == compact(item[1]) else 3 if compact(item[1]) and (compact(title) in compact(item[1]) or compact(item[1]) in compact(title)) else 0
+        own = [f for k, f in files if k == item[0]]
+        for f in own:
+            t = compact(stem(f))
+            n += 6 if t == name else 4 if t and (t in name or name in t) else 0
+        return n + any(f.lower().endswith(".pdf") for f in own)
+
+    for least in (2, 4, 5):
+        want = {}
+        for sid, title, source in samples:
+            if source:
+                day = f"01/{source[6:8]}/2026"
+                of_day = [(-score(title, compact(source[2:].replace(".hwpx", "")), x), x[3], x[0]) for x in items if x[2].startswith(day)]
+                best = min(of_day, default=(0,))
+                if -best[0] >= least:
+                    want[sid] = (best[2], -best[0])
+        assert {r.sample_id: (r.news_item_id, r.score) for r in M.score_candidates(s, i, a, least).collect()} == want and want
+
+
+def test_only_the_days_that_reach_n_are_read(spark, tmp_path):
+    days = [dt.date(2024, 1, 1) + dt.timedelta(days=d) for d in range(16)]
+    rows = [(f"{d}-{k}", "01/05/2024 10:00:00", days[d]) for d in range(16) for k in range(3)] + [("0-0", "01/05/2024 10:00:00", days[15])]
+    path = str(tmp_path / "items")
+    spark.createDataFrame(rows, "news_item_id string, approve_date string, approve_day date").write.partitionBy("approve_day").parquet(path)
+    for n in (1, 4, 5, 20, 100):
+        got = C.latest_of_partitions(spark, path, n)
+        want = C.latest_over_days(spark.createDataFrame([(a, b, str(c)) for a, b, c in rows], "news_item_id string, approve_date string, day_file string"), n)
+        assert ids(got, "news_item_id") == ids(want, "news_item_id")
+    read = {f.split("approve_day=")[1][:10] for f in C.latest_of_partitions(spark, path, 5).inputFiles()}
+    assert read == {"2024-01-15", "2024-01-16"}
+    assert C.latest_of_partitions(spark, path, 5, lookback=1).count() == 4
