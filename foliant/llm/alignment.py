@@ -42,9 +42,9 @@ from foliant.llm._shared import durable, require, slices, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k", "piece_bpe_32k"
 #: Segments, repeats included, and different segments, after which a block is closed.
-BLOCK_SEGMENTS, BLOCK_DIFFERENT = 2_000_000, 150_000
+BLOCK_SEGMENTS, BLOCK_DIFFERENT = 1_000_000, 150_000
 #: Alignments that a task remembers, and bytes of new segments that are encoded together.
-REMEMBERED, ENCODED = 700_000, 20_000
+REMEMBERED, ENCODED = 450_000, 20_000
 #: White space and what follows, up to the next space or line end that comes after something else.
 SEGMENT = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*")
 B_SPACE = "▁"
