@@ -42,9 +42,9 @@ from foliant.llm._shared import durable, require, slices, table
 
 TOKENIZER_A, TOKENIZER_B = "byte_bpe_50k", "piece_bpe_32k"
 #: Segments, repeats included, and different segments, after which a block is closed.
-BLOCK_SEGMENTS, BLOCK_DIFFERENT = 1_000_000, 150_000
+BLOCK_SEGMENTS, BLOCK_DIFFERENT = 2_000_000, 150_000
 #: Alignments that a task remembers, and bytes of new segments that are encoded together.
-REMEMBERED, ENCODED = 450_000, 20_000
+REMEMBERED, ENCODED = 500_000, 20_000
 #: White space and what follows, up to the next space or line end that comes after something else.
 SEGMENT = re.compile(r"\s+\S*(?:[^\S \n]\s*\S*)*")
 B_SPACE = "▁"
@@ -144,19 +144,31 @@ class Aligner:
         self.pair = pair
         self.words = [str(i) for i in range(max(len(pair.a_bytes), len(pair.b_bytes)))]
         self.digits = np.array([len(w) for w in self.words], dtype=np.int64)
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.texts: list[str] = []
         self.numbers, self.starts = np.zeros((0, 4), dtype=np.int64), np.zeros(1, dtype=np.int64)
         self.code, self.times = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
         self.new: list[tuple] = []
 
+    def _keep(self, segments: list[str]) -> None:
+        """Forget all but these."""
+        spelled = [s for s in segments if self.known[s] >= 0]
+        at = np.array([self.known[s] for s in spelled], dtype=np.int64)
+        entry, sizes = self.entries(at)
+        texts, numbers, code, times = [self.texts[i] for i in at.tolist()], self.numbers[at], self.code[entry], self.times[entry]
+        known = dict(zip(spelled, range(len(spelled)))) | {s: -1 for s in segments if self.known[s] < 0}
+        self.known, self.texts, self.numbers, self.code, self.times = known, texts, numbers, code, times
+        self.starts = np.append(0, np.cumsum(sizes))
+
+    def entries(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(places of the id pairs of these segments, one after another, how many each has)."""
+        begin, sizes = self.starts[at], self.starts[at + 1] - self.starts[at]
+        return np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes), sizes
+
     def learn(self, segments: list[str]) -> np.ndarray:
         """The numbers of ``segments``."""
         if len(self.known) + len(segments) > REMEMBERED:
-            self._forget()
+            self._keep([s for s in segments if s in self.known])
         batch: list[str] = []
         size = 0
         for s in segments:
@@ -258,9 +270,9 @@ def _block(aligner: Aligner, number: int, rows: list[tuple[int | None, np.ndarra
         totals.append(n @ numbers[different])
         hashes.append(sha256(";".join(map(texts.__getitem__, found.tolist())).encode()).hexdigest() if len(found) else "")
     # The id pairs of the segments that occur, each segment's together.
-    begin = np.where(occurs > 0, aligner.starts[at], 0)
-    sizes = np.where(occurs > 0, aligner.starts[at + 1] - begin, 0)
-    entry = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(begin, sizes)
+    entry, some = aligner.entries(at[occurs > 0])
+    sizes = np.zeros(len(at), dtype=np.int64)
+    sizes[occurs > 0] = some
     link_n = aligner.times[entry]
     pairs, link = np.unique(aligner.code[entry], return_inverse=True)
     pair_n = np.zeros(len(pairs), dtype=np.int64)
