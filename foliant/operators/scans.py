@@ -30,7 +30,7 @@ def segmented(
 ) -> DataFrame:
     """``df`` with running values by ``key`` in ``order``, whose first column is a time.
 
-    ``sums``: sums up to the row; ``lasts``: the last value that is not null, up to the row; ``befores``: the value of the
+    ``sums``: sums up to the row, nulls as 0; ``lasts``: the last value that is not null, up to the row; ``befores``: the value of the
     row before, null for a key's first. Rows must differ in ``order`` within a key. Null keys are a key.
     """
     sums, lasts, befores = sums or {}, lasts or {}, befores or {}
@@ -63,7 +63,7 @@ def segmented(
     so_far = own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.join(carry, same).select(
         *df.columns,
-        *((F.col(f"__cs_{n}") + F.sum(f"__s_{n}").over(so_far)).alias(n) for n in sums),
+        *((F.col(f"__cs_{n}") + F.coalesce(F.sum(f"__s_{n}").over(so_far), F.lit(0))).alias(n) for n in sums),
         *(F.coalesce(F.last(f"__l_{n}", True).over(so_far), F.col(f"__cl_{n}")).alias(n) for n in lasts),
         *(F.coalesce(F.lag(F.array(f"__b_{n}")).over(own), F.col(f"__cb_{n}"))[0].alias(n) for n in befores),
     )

@@ -32,7 +32,7 @@ def test_running_values(spark):
     rows = [(k, i, t, v) for (k, i, t, _), v in zip(probes(300, 1), [random.Random(i).choice([None, i]) for i in range(300)])]
     rows += [(None, 1000 + i, T0 + dt.timedelta(hours=i * 7), i) for i in range(9)]
     df = spark.createDataFrame(rows, "k string, id long, ts timestamp, v long")
-    got = segmented(df, ["k"], ["ts", "id"], sums={"n": F.coalesce("v", F.lit(0))}, lasts={"last": F.col("v")}, befores={"was": F.col("v")}, slot_s=3600).collect()
+    got = segmented(df, ["k"], ["ts", "id"], sums={"n": F.col("v")}, lasts={"last": F.col("v")}, befores={"was": F.col("v")}, slot_s=3600).collect()
     state = {}
     for r in sorted(got, key=lambda r: (r.ts, r.id)):
         total, last, was = state.get(r.k, (0, None, None))
@@ -76,7 +76,7 @@ def test_monitor_over_a_table_equals_its_step(spark, threshold, reminder):
 
 def test_job_states_over_a_table_equal_their_step(spark):
     rng = random.Random(5)
-    kinds = ["create", "claim", "save_text", "save_result", "save_html", "save_edit", "fail", "other"]
+    kinds = ["create", "claim", "save_text", "save_result", "save_html", "save_edit", "fail", "other", None]
     rows = [(k, i, t, rng.choice(kinds), rng.choice([None, "e1", "e2"])) for k, i, t, _ in probes(400, 6, keys=9)]
     names = ("job_id", "event_id", "ts", "kind", "payload")
     df = spark.createDataFrame(rows, "job_id string, event_id long, ts timestamp, kind string, payload string")
