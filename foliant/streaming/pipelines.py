@@ -54,14 +54,18 @@ def media_for_messages(messages: DataFrame, media: DataFrame, minutes: int = 15,
 
     An interval join is followed by an aggregate under the same watermark, which sees all of a message's files before it
     lets one row out, once the watermark has passed the message. Of files of one time the last path counts.
+
+    Behind the join the watermark is ``minutes`` late, as it keeps files that long; the aggregate's time is as much before the
+    message's, so that messages do not wait for it.
     """
     m = messages.withWatermark("ts", delay).alias("m")
     files = media.where(F.lower("path").rlike(r"\.(md|markdown)$")).select(F.col("sender").alias("media_sender"), F.col("ts").alias("media_ts"), "path")
     f = files.withWatermark("media_ts", delay).alias("f")
     near = F.expr(f"media_sender = sender and media_ts <= ts and media_ts >= ts - interval {minutes} minutes")
-    pairs = m.join(f, near, "left_outer").select("message_id", "sender", "ts", "path", "media_ts")
+    due = F.expr(f"ts - interval {minutes} minutes").alias("due", metadata=m.schema["ts"].metadata)
+    pairs = m.join(f, near, "left_outer").select("message_id", "sender", F.expr("ts + interval 0 seconds").alias("ts"), due, "path", "media_ts")
     newest = F.max(F.when(F.col("path").isNotNull(), F.struct("media_ts", "path"))).alias("newest")
-    return pairs.groupBy("message_id", "sender", "ts").agg(newest).select("message_id", "sender", "ts", "newest.path", "newest.media_ts")
+    return pairs.groupBy("message_id", "sender", "ts", "due").agg(newest).select("message_id", "sender", "ts", "newest.path", "newest.media_ts")
 
 
 def table_stream(spark: SparkSession, sf: str, name: str, schema: str) -> DataFrame:

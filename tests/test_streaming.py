@@ -82,3 +82,18 @@ def test_dedupe_and_media(spark, tmp_path):
     f = write(spark, tmp_path / "f", [("u", at(500), "/a.md"), ("u", at(600), "/b.png"), ("u", at(9000), "/z.md")], "sender string, ts timestamp, path string")
     got = plain(P.run_available(P.media_for_messages(m, f)), "message_id", "path")
     assert ("m1", "/a.md") in got and ("m2", None) in got
+
+
+def test_messages_without_media_wait_no_longer_than_others(spark, tmp_path):
+    """Of messages before the watermark none is kept back for the time that files are kept."""
+    rows = [(f"m{i}", "u1", f"2024-01-01 10:{i:02d}:00") for i in range(0, 40, 4)]
+    files = [("u2", "2024-01-01 10:40:00", "/m/a.md"), ("u1", "2024-01-01 10:01:00", "/m/b.md")]
+    at = "to_timestamp(ts) as ts"
+    spark.createDataFrame(rows, "message_id string, sender string, ts string").selectExpr("message_id", "sender", at).write.parquet(str(tmp_path / "m"))
+    spark.createDataFrame(files, "sender string, ts string, path string").selectExpr("sender", at, "path").write.parquet(str(tmp_path / "f"))
+    m = spark.readStream.schema("message_id string, sender string, ts timestamp").parquet(str(tmp_path / "m"))
+    f = spark.readStream.schema("sender string, ts timestamp, path string").parquet(str(tmp_path / "f"))
+    from foliant.streaming.pipelines import media_for_messages, run_available
+
+    got = {(r.message_id, r.path) for r in run_available(media_for_messages(m, f)).collect()}
+    assert got == {(f"m{i}", "/m/b.md" if i in (4, 8, 12, 16) else None) for i in range(0, 36, 4)}
