@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from foliant.llm._shared import durable, table
 from foliant.llm.linededup import WIDE, drop_boilerplate
 from foliant.llm.mixing import mix_documents
-from foliant.llm.nearcopies import near_copies as near_duplicates
+from foliant.llm.nearcopies import joined_copies as near_duplicates
 from foliant.llm.packing import pack_documents
 from foliant.llm.quality import keep_quality, train
 
@@ -38,7 +38,10 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays, and one row of it; a group shares 0.8 of its five-word shingles link by link."""
+    """The document with the smallest id of each group stays, and one row of it.
+
+    A group is linked by Golay-code fuzzy hashing (fingerprints within 4 bits) or by sharing 0.8 of its five-word shingles.
+    """
     groups = near_duplicates(docs)
     keep = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     kept = docs.select(*COLUMNS).join(keep, "doc_id", "left_semi")

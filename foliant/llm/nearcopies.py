@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from foliant.llm._shared import durable, require, slices
 from foliant.llm.simhash import components
+from foliant.llm.simhash import near_duplicates as golay_duplicates
 
 WIDTH = 5
 SIMILARITY = 0.8
@@ -316,3 +317,18 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = durable(names.join(ids, names["name"] == ids["node"], "left").select("address", "rep", F.coalesce("root", "name").alias("root")))
     least = whole.groupBy("root").agg(F.min("rep").alias("component_id"))
     return prints.select("doc_id", "address").join(whole.join(least, "root").select("address", "component_id"), "address", "left").select("doc_id", "component_id")
+
+
+def joined_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, component_id): the groups of Golay-code fuzzy hashing, joined further by :func:`near_copies`; one row per input row.
+
+    Fingerprints within 4 bits link two texts as in :mod:`foliant.llm.simhash`. Texts at ``similarity`` mostly differ in more
+    bits than its keys can find, so their links are added to those; none is taken away.
+    """
+    ids = require(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    similar = durable(near_copies(ids, similarity=similarity))
+    links = golay_duplicates(ids).select("doc_id", "component_id").unionByName(similar)
+    links = durable(links.select(F.col("component_id").alias("a"), F.col("doc_id").alias("b")).where("a < b").distinct())
+    roots = components(links)
+    joined = similar.join(roots, similar["component_id"] == roots["node"], "left")
+    return joined.select("doc_id", F.coalesce("root", "component_id").alias("component_id"))

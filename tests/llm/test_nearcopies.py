@@ -121,3 +121,16 @@ def test_one_large_group_of_near_copies(spark):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], DDL)
     assert sorted((r.doc_id, r.component_id) for r in N.near_copies(df).collect()) == plain(rows)
+
+
+def test_the_pipeline_links_what_the_golay_operator_links(spark, sf_dir):
+    """Two texts within 4 bits that share few distinct shingles are one group, and copies at 0.8 beyond 4 bits still are."""
+    often = "a passage of seven words said again " * 200
+    words = [f"w{i}" for i in range(120)]
+    texts = [often + " ".join(f"x{i}" for i in range(30)), often + " ".join(f"y{i}" for i in range(30)), " ".join(words), " ".join([*words[:60], "other", *words[61:]]), "quite alone here"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DDL)
+    found = lambda f: {r.doc_id: r.component_id for r in f(docs).select("doc_id", "component_id").collect()}
+    assert found(N.golay_duplicates)[1] == 0 and found(N.near_copies)[1] == 1
+    assert found(N.golay_duplicates)[3] == 3 and found(N.near_copies)[3] == 2
+    assert found(C.near_duplicates) == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4}
+    assert sorted(r.doc_id for r in C.near_dedup(spark, docs, sf_dir).collect()) == [0, 2, 4]
