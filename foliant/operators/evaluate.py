@@ -6,12 +6,18 @@ score 1, one empty one 0. An absent prediction is the empty text and scores like
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.lines import lines_of, paragraph_units
 
 KEYS = ("engine", "doc_id")
+HEADING = re.compile(rb"#{1,6}\s+\S")
 
 
 def _both(pairs: DataFrame) -> DataFrame:
@@ -20,35 +26,79 @@ def _both(pairs: DataFrame) -> DataFrame:
     return lines_of(pairs.select(*KEYS, F.explode(sides).alias("s")).select(*KEYS, "s.side", "s.text"), *KEYS, "side")
 
 
-def _dice(items: DataFrame, name: str) -> DataFrame:
-    """(engine, doc_id, name) from (engine, doc_id, side, item): counts by item, then by document."""
-    n = items.groupBy(*KEYS, "item").agg(F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b"))
-    d = n.groupBy(*KEYS).agg(F.sum(F.least("a", "b")).alias("c"), F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return d.select(*KEYS, (2 * F.col("c") / (F.col("a") + F.col("b"))).alias(name), F.col("a").alias(f"{name}_truth"))
+def _dice(a: Counter, b: Counter) -> float | None:
+    n = a.total() + b.total()
+    return 2 * sum(min(k, b[x]) for x, k in a.items() if x in b) / n if n else None
+
+
+def _counted(text: bytes) -> tuple[Counter, dict[bytes, int], Counter, Counter, Counter, Counter]:
+    """What is counted of a text: tokens, places of lines that occur once, cells and shapes of table rows, headings and their levels."""
+    at: dict[bytes, int] = {}
+    cells, shapes, heads, levels = [], [], [], []
+    for i, line in enumerate(text.split(b"\n") if text else []):
+        line = line.strip(b" ")
+        if not line:
+            continue
+        at[line] = -1 if line in at else i
+        if line.startswith(b"|"):
+            row = line[1:].removesuffix(b"|").split(b"|")
+            shapes.append(len(row))
+            cells.extend((len(row), c.strip(b" ")) for c in row)
+        elif HEADING.match(line):
+            bare = line.lstrip(b"#")
+            levels.append(len(line) - len(bare))
+            heads.append((levels[-1], bare.strip(b" ")))
+    # bytes.split cuts at the six ASCII white-space characters.
+    return Counter(text.split()), {x: i for x, i in at.items() if i >= 0}, Counter(cells), Counter(shapes), Counter(heads), Counter(levels)
+
+
+def _order(a: dict[bytes, int], b: dict[bytes, int]) -> float | None:
+    """Of lines that occur once in either text, in the order of the first, the share of neighbours that the second keeps in order."""
+    places = [b[x] for x in a if x in b]
+    return sum(q > p for p, q in zip(places, places[1:])) / (len(places) - 1) if len(places) > 1 else None
+
+
+def _score(truth: str | None, prediction: str | None) -> tuple:
+    a, b = (_counted((t or "").encode("utf-8", "surrogatepass")) for t in (truth, prediction))
+    table, heading = bool(a[2]), bool(a[4])
+    return (
+        _dice(a[0], b[0]), _order(a[1], b[1]), a[2].total(), b[2].total(),
+        _dice(a[2], b[2]) if table else None, _dice(a[3], b[3]) if table else None,
+        _dice(a[4], b[4]) if heading else None, _dice(a[5], b[5]) if heading else None,
+    )
+
+
+_SCORES = {"tokens": "double", "order": "double", "cells": "long", "cells_2": "long", "table": "double", "table_s": "double", "heading": "double", "heading_s": "double"}
+
+
+def _score_rows(kept: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, 500):
+                batch = whole.slice(start, 500)
+                scores = zip(*(_score(t, p) for t, p in zip(batch.column("truth").to_pylist(), batch.column("prediction").to_pylist())))
+                columns = [pa.array(v, pa.int64() if d == "long" else pa.float64()) for v, d in zip(scores, _SCORES.values())]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *columns], [*batch.schema.names[:kept], *_SCORES])
+
+    return run
+
+
+def _scored(pairs: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, more, scores) of each row of (keys, more, truth, prediction); ``cells`` and ``cells_2`` are how many either side has."""
+    rows = pairs.select(*KEYS, *more, "truth", "prediction")
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-2])
+    return rows.mapInArrow(_score_rows(len(KEYS) + len(more)), kept + "".join(f", `{c}` {d}" for c, d in _SCORES.items()))
+
+
+def _unix(pairs: DataFrame) -> DataFrame:
+    """The pairs with lines that end in a line feed alone."""
+    return pairs.withColumns({c: F.replace(c, F.lit("\r\n"), F.lit("\n")) for c in ("truth", "prediction")})
 
 
 def reading_order_score(pairs: DataFrame) -> DataFrame:
     """(engine, doc_id, tokens, order): Dice of the tokens, and among lines that occur once in either text
     the share of neighbours (in the truth's order) that the prediction keeps in order. Null without such pairs."""
-    lines = _both(pairs)
-    tokens = lines.select(*KEYS, "side", F.explode(F.filter(F.split(F.trim("line"), r"\s+"), lambda t: t != "")).alias("item"))
-    trimmed = lines.withColumn("line", F.trim("line")).where("line <> ''")
-    once = trimmed.groupBy(*KEYS, "line").agg(
-        F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b"),
-        F.max(F.when(F.col("side") == 1, F.col("pos"))).alias("pa"), F.max(F.when(F.col("side") == 2, F.col("pos"))).alias("pb"),
-    ).where("a = 1 and b = 1")
-    before = F.lag("pb").over(Window.partitionBy(*KEYS).orderBy("pa"))
-    steps = once.withColumn("before", before).where("before is not null")
-    order = steps.groupBy(*KEYS).agg((F.count_if(F.col("pb") > F.col("before")) / F.count(F.lit(1))).alias("order"))
-    out = pairs.select(*KEYS, (F.coalesce("truth", F.lit("")) == "").alias("t0"), (F.coalesce("prediction", F.lit("")) == "").alias("p0"))
-    j = out.join(_dice(tokens, "tokens"), list(KEYS), "left").join(order, list(KEYS), "left")
-    return j.select(*KEYS, F.coalesce("tokens", F.lit(1.0)).alias("tokens"), "order")
-
-
-def _cells(pairs: DataFrame) -> DataFrame:
-    rows = _both(pairs).withColumn("line", F.trim("line")).where(F.startswith("line", F.lit("|")))
-    inner = F.split(F.regexp_replace("line", r"^\||\|$", ""), r"\|")
-    return rows.select(*KEYS, "side", F.size(inner).alias("shape"), F.transform(inner, lambda c: F.trim(c)).alias("cells"))
+    return _scored(_unix(pairs)).select(*KEYS, F.coalesce("tokens", F.lit(1.0)).alias("tokens"), "order")
 
 
 def table_score(pairs: DataFrame, max_cells: int | None = None) -> DataFrame:
@@ -56,32 +106,14 @@ def table_score(pairs: DataFrame, max_cells: int | None = None) -> DataFrame:
 
     Null where the truth has no table, and where either side has more than ``max_cells`` cells.
     """
-    rows = _cells(pairs)
-    cells = rows.select(*KEYS, "side", F.explode("cells").alias("c"), "shape").select(*KEYS, "side", F.concat_ws("|", "shape", "c").alias("item"))
-    full, shapes = _dice(cells, "table"), _dice(rows.select(*KEYS, "side", F.col("shape").cast("string").alias("item")), "table_s")
-    sizes = rows.groupBy(*KEYS).agg(
-        F.sum(F.when(F.col("side") == 1, F.col("shape"))).alias("n1"), F.sum(F.when(F.col("side") == 2, F.col("shape"))).alias("n2")
-    )
-    over = F.greatest(F.coalesce("n1", F.lit(0)), F.coalesce("n2", F.lit(0))) > F.lit(max_cells if max_cells is not None else 2**31 - 1)
-    j = pairs.select(*KEYS)
-    for other in (full, shapes, sizes):
-        j = j.join(other, list(KEYS), "left")
-    has = F.coalesce("table_truth", F.lit(0)) > 0
+    has, over = F.col("cells") > 0, F.greatest("cells", "cells_2") > F.lit(max_cells if max_cells is not None else 2**31 - 1)
     keep = lambda c: F.when(has & ~over, F.col(c)).alias(c)
-    return j.select(*KEYS, keep("table"), keep("table_s"), (has & over).alias("table_timed_out"))
+    return _scored(_unix(pairs)).select(*KEYS, keep("table"), keep("table_s"), (has & over).alias("table_timed_out"))
 
 
 def heading_score(pairs: DataFrame) -> DataFrame:
     """(engine, doc_id, heading, heading_s): Dice of (level, text) and of levels; null where the truth has none."""
-    line = F.trim("line")
-    heads = _both(pairs).where(line.rlike(r"^#{1,6}\s+\S")).select(
-        *KEYS, "side", F.length(F.regexp_extract(line, "^#+", 0)).cast("string").alias("level"), F.trim(F.regexp_replace(line, "^#+", "")).alias("text")
-    )
-    full = _dice(heads.select(*KEYS, "side", F.concat_ws("|", "level", "text").alias("item")), "heading")
-    levels = _dice(heads.select(*KEYS, "side", F.col("level").alias("item")), "heading_s")
-    j = pairs.select(*KEYS).join(full, list(KEYS), "left").join(levels, list(KEYS), "left")
-    has = F.coalesce("heading_truth", F.lit(0)) > 0
-    return j.select(*KEYS, F.when(has, F.col("heading")).alias("heading"), F.when(has, F.col("heading_s")).alias("heading_s"))
+    return _scored(_unix(pairs)).select(*KEYS, "heading", "heading_s")
 
 
 def pair_all(truth: DataFrame, predictions: DataFrame, engines: tuple[str, ...]) -> DataFrame:
@@ -91,62 +123,21 @@ def pair_all(truth: DataFrame, predictions: DataFrame, engines: tuple[str, ...])
     return every.join(p, ["engine", "doc_id"], "left").fillna({"prediction": "", "prediction_available": False})
 
 
-def _items(text: Column, side: int) -> Column:
-    """All that is counted of one text, as (side, kind, item, pos): tokens, lines, cells and shapes of table rows, headings and their levels."""
-    lines = F.when(F.coalesce(text, F.lit("")) != "", F.split(text, "\n")).otherwise(F.array().cast("array<string>"))
-    trimmed = F.transform(lines, lambda x: F.trim(x))
-    none = F.lit(None).cast("int")
-    item = lambda kind, value, pos=none: F.struct(F.lit(side).alias("side"), F.lit(kind).alias("kind"), value.alias("item"), pos.alias("pos"))
-    of = lambda kind, values: F.transform(values, lambda v: item(kind, v))
-    tokens = F.filter(F.flatten(F.transform(trimmed, lambda x: F.split(x, r"\s+"))), lambda t: t != "")
-    placed = F.filter(F.transform(trimmed, lambda x, i: item("line", x, i)), lambda s: s["item"] != "")
-    rows = F.transform(F.filter(trimmed, lambda x: F.startswith(x, F.lit("|"))), lambda x: F.split(F.regexp_replace(x, r"^\||\|$", ""), r"\|"))
-    cells = F.flatten(F.transform(rows, lambda r: F.transform(r, lambda c: F.concat_ws("|", F.size(r).cast("string"), F.trim(c)))))
-    shapes = F.transform(rows, lambda r: F.size(r).cast("string"))
-    heads = F.filter(trimmed, lambda x: x.rlike(r"^#{1,6}\s+\S"))
-    level = lambda x: F.length(F.regexp_extract(x, "^#+", 0)).cast("string")
-    full = F.transform(heads, lambda x: F.concat_ws("|", level(x), F.trim(F.regexp_replace(x, "^#+", ""))))
-    return F.concat(of("token", tokens), placed, of("cell", cells), of("shape", shapes), of("head", full), of("level", F.transform(heads, level)))
-
-
 def evaluate_corpus(truth: DataFrame, predictions: DataFrame, engines: tuple[str, ...], max_cells: int | None = None) -> DataFrame:
     """E5: every document's scores for every engine; ``overall`` is the mean of what is scored.
 
-    One join pairs the texts. What is counted of a pair is made in its row and folded twice by document, which the
-    join has already put in place; no text is shuffled again.
+    One join pairs the texts; each pair is scored in its row, so nothing that is counted is shuffled or sorted.
     """
     from foliant.functions.scores import overall_score
 
-    pairs = pair_all(truth, predictions, engines)
-    keys = (*KEYS, "prediction_available")
-    items = pairs.select(*keys, F.explode_outer(F.concat(_items(F.col("truth"), 1), _items(F.col("prediction"), 2))).alias("i")).select(*keys, "i.*")
-    met = items.groupBy(*keys, "kind", "item").agg(
-        F.count_if(F.col("side") == 1).alias("a"), F.count_if(F.col("side") == 2).alias("b"),
-        F.max(F.when(F.col("side") == 1, F.col("pos"))).alias("pa"), F.max(F.when(F.col("side") == 2, F.col("pos"))).alias("pb"),
+    scores = _scored(pair_all(truth, predictions, engines), ("prediction_available",))
+    has, over = F.col("cells") > 0, F.greatest("cells", "cells_2") > F.lit(max_cells if max_cells is not None else 2**31 - 1)
+    kept = lambda c: F.when(has & ~over, F.col(c)).alias(c)
+    out = scores.select(
+        *KEYS, "prediction_available", F.coalesce("tokens", F.lit(1.0)).alias("tokens"), "order",
+        kept("table"), kept("table_s"), (has & over).alias("table_timed_out"), "heading", "heading_s",
     )
-    of = lambda kind, c: F.sum(F.when(F.col("kind") == kind, c))
-    once = F.when((F.col("kind") == "line") & (F.col("a") == 1) & (F.col("b") == 1), F.struct("pa", "pb"))
-    sums = [
-        of(k, c).alias(f"{k}_{n}")
-        for k in ("token", "cell", "shape", "head", "level")
-        for n, c in (("c", F.least("a", "b")), ("a", F.col("a")), ("b", F.col("b")))
-    ]
-    d = met.groupBy(*keys).agg(*sums, F.array_sort(F.collect_list(once)).alias("once"))
-    dice = lambda k: 2 * F.col(f"{k}_c") / (F.col(f"{k}_a") + F.col(f"{k}_b"))
-    kept = F.filter("once", lambda x, i: (i > 0) & (x["pb"] > F.get(F.col("once"), i - 1)["pb"]))
-    some = lambda k: F.coalesce(F.col(f"{k}_a"), F.lit(0)) > 0
-    over = F.greatest(F.coalesce("cell_a", F.lit(0)), F.coalesce("cell_b", F.lit(0))) > F.lit(max_cells if max_cells is not None else 2**31 - 1)
-    scores = d.select(
-        *keys,
-        F.coalesce(dice("token"), F.lit(1.0)).alias("tokens"),
-        F.when(F.size("once") > 1, F.size(kept) / (F.size("once") - 1)).alias("order"),
-        F.when(some("cell") & ~over, dice("cell")).alias("table"),
-        F.when(some("cell") & ~over, dice("shape")).alias("table_s"),
-        (some("cell") & over).alias("table_timed_out"),
-        F.when(some("head"), dice("head")).alias("heading"),
-        F.when(some("head"), dice("level")).alias("heading_s"),
-    )
-    return scores.withColumn("overall", overall_score(F.col("tokens"), F.col("table"), F.col("heading")))
+    return out.withColumn("overall", overall_score(F.col("tokens"), F.col("table"), F.col("heading")))
 
 
 def corpus_diff(pairs: DataFrame) -> DataFrame:
