@@ -107,9 +107,14 @@ def _filled(rows: Column) -> Column:
     return F.when(spans, laid).otherwise(F.transform(rows, lambda r: F.transform(r, lambda c: c["text"])))
 
 
-def _table(rows: Column, rules: Rules) -> Column:
-    """A table's lines by its kind: dropped label, section, list, contacts, agenda or grid."""
-    parts = F.filter(F.transform(rows, lambda r: F.filter(F.transform(r, lambda c: c["text"]), lambda t: t != "")), lambda r: F.size(r) > 0)
+def _tables(units: DataFrame, rules: Rules) -> DataFrame:
+    """``units`` with ``table``: a table's lines by its kind (dropped label, section, list, contacts, agenda or grid) from its ``grid``.
+
+    What is used more than once is a column of its own, else it would be computed again at each use, and for each row of a grid.
+    """
+    rows, is_table = F.col("grid"), F.col("in_cell")
+    full = F.filter(F.transform(rows, lambda r: F.filter(F.transform(r, lambda c: c["text"]), lambda t: t != "")), lambda r: F.size(r) > 0)
+    parts = F.col("parts")
     first, rest = F.get(parts, F.lit(0)), F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
     top = F.coalesce(F.get(F.get(rows, F.lit(0)), F.lit(0))["text"], F.lit(""))
     head = F.get(first, F.lit(0))
@@ -132,20 +137,29 @@ def _table(rows: Column, rules: Rules) -> Column:
         full = F.array(F.concat(F.lit("- "), r[0]), F.concat(F.lit("  - "), r[1]), F.concat(F.lit("  - "), r[2], F.lit(" / "), r[3]))
         return F.when(F.size(r) >= 4, full).otherwise(F.array(F.concat(F.lit("- "), F.array_join(r, " / "))))
 
-    filled = F.filter(_filled(rows), lambda r: F.exists(r, lambda t: t != ""))
-    width = F.array_max(F.transform(filled, lambda r: F.size(r)))
+    filled, width = F.col("filled"), F.col("width")
+    laid = F.filter(_filled(rows), lambda r: F.exists(r, lambda t: t != ""))
     line = lambda cells: F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
     padded = F.transform(filled, lambda r: line(F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))))
-    grid = F.concat(F.slice(padded, 1, 1), F.array(line(F.array_repeat(F.lit("---"), width))), F.slice(padded, 2, F.greatest(F.size(padded) - 1, F.lit(1))))
-    return (
-        F.when(F.size(parts) == 0, F.array().cast("array<string>"))
-        .when(single & label, F.array().cast("array<string>"))
-        .when(_begins(head, rules.appendix), F.concat(section(F.array_join(first, " ")), F.transform(rest, lambda r: F.array_join(r, " "))))
-        .when(single & dashed, F.concat(section(head), F.transform(rest, lambda r: bullet(r[0]))))
-        .when(_begins(top, rules.contacts), F.concat(section(top), F.transform(parts, contact)))
-        .when(top.isin(*rules.agenda) if rules.agenda else F.lit(False), F.concat(section(top), F.flatten(F.transform(rest, item))))
-        .otherwise(grid)
+    lines = F.col("padded")
+    grid = F.concat(F.slice(lines, 1, 1), F.array(line(F.array_repeat(F.lit("---"), width))), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(1))))
+    kinds = (
+        (F.size(parts) == 0, F.array().cast("array<string>")),
+        (single & label, F.array().cast("array<string>")),
+        (_begins(head, rules.appendix), F.concat(section(F.array_join(first, " ")), F.transform(rest, lambda r: F.array_join(r, " ")))),
+        (single & dashed, F.concat(section(head), F.transform(rest, lambda r: bullet(r[0])))),
+        (_begins(top, rules.contacts), F.concat(section(top), F.transform(parts, contact))),
+        (top.isin(*rules.agenda) if rules.agenda else F.lit(False), F.concat(section(top), F.flatten(F.transform(rest, item)))),
     )
+    kind = F.when(~is_table, None)
+    for k, (fits, _) in enumerate(kinds):
+        kind = kind.when(fits, k)
+    staged = units.withColumn("parts", F.when(is_table, full)).withColumn("kind", kind.otherwise(len(kinds)))
+    staged = staged.withColumn("filled", F.when(F.col("kind") == len(kinds), laid)).withColumn("width", F.array_max(F.transform(filled, lambda r: F.size(r))))
+    table = F.when(F.col("kind") == len(kinds), grid)
+    for k, (_, out) in enumerate(kinds):
+        table = table.when(F.col("kind") == k, out)
+    return staged.withColumn("padded", padded).withColumn("table", table).drop("parts", "kind", "filled", "width", "padded")
 
 
 def page_pieces(pages: DataFrame) -> DataFrame:
@@ -209,7 +223,8 @@ def page_lines(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     by_unit = by_row.groupBy("page", "page_id", "unit", "in_cell").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row", "cells"))), lambda r: r["cells"]).alias("grid"), F.max("line").alias("line")
     )
-    lines = F.when(F.col("in_cell"), _table(F.col("grid"), rules)).when(F.col("line").isNotNull(), F.array("line")).otherwise(F.array().cast("array<string>"))
+    by_unit = _tables(by_unit, rules)
+    lines = F.when(F.col("in_cell"), F.col("table")).when(F.col("line").isNotNull(), F.array("line")).otherwise(F.array().cast("array<string>"))
     return by_unit.select("page", "page_id", F.col("unit").alias("pos"), lines.alias("lines"))
 
 
