@@ -97,3 +97,24 @@ def test_messages_without_media_wait_no_longer_than_others(spark, tmp_path):
 
     got = {(r.message_id, r.path) for r in run_available(media_for_messages(m, f)).collect()}
     assert got == {(f"m{i}", "/m/b.md" if i in (4, 8, 12, 16) else None) for i in range(0, 36, 4)}
+
+
+def test_what_a_key_emits_is_packed():
+    """The Python worker lists all that a key emits in a micro-batch: 20,000 probes make four rows of bounded size."""
+    import datetime as dt
+    from types import SimpleNamespace
+
+    import pyarrow as pa
+    from pyspark.sql import Row
+
+    from foliant.streaming import stateful as S
+
+    at = dt.datetime(2024, 1, 1, tzinfo=dt.UTC)
+    probes = (Row(server="s", event_id=i, ts=at + dt.timedelta(seconds=i), ok=i % 3 > 0) for i in range(20_000))
+    p = S.StepProcessor(S.monitor_step(), ["ts", "event_id"], "state string, failures long, alerted long", False, None, S.ALERTS, 1000, None)
+    p.kept = SimpleNamespace(exists=lambda: False, update=lambda v: None)
+    p.handle = SimpleNamespace(listTimers=lambda: [], registerTimer=lambda t: None)
+    packed = list(p.handleInputRows(("s",), probes, SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert len(packed) == 4 and sum(len(r.rows) for r in packed) < 40 * 20_000
+    rows = [r for b in S._unpacked([pa.RecordBatch.from_pylist([{"rows": r.rows} for r in packed])]) for r in b.to_pylist()]
+    assert [r["event_id"] for r in rows] == list(range(20_000)) and rows[3]["alert"] == "degraded" and rows[3]["ts"] == at + dt.timedelta(seconds=3)
