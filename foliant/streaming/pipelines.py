@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from foliant.sources.scratch import exists, forget, new_dir
+from foliant.streaming.stateful import recent_media
 
 
 def run_available(stream: DataFrame) -> DataFrame:
@@ -52,20 +53,16 @@ def dedupe_requests(requests: DataFrame, key: str, ts: str = "ts", delay: str =
 def media_for_messages(messages: DataFrame, media: DataFrame, minutes: int = 15, delay: str = "1 minute") -> DataFrame:
     """Each message with the newest Markdown file that its sender sent in the ``minutes`` before it, or null.
 
-    An interval join is followed by an aggregate under the same watermark, which sees all of a message's files before it
-    lets one row out, once the watermark has passed the message. Of files of one time the last path counts.
-
-    Behind the join the watermark is ``minutes`` late, as it keeps files that long; the aggregate's time is as much before the
-    message's, so that messages do not wait for it.
+    Messages and files of a sender meet in slots of time, each once, in order; no message meets all files of its minutes. A message
+    comes out once the watermark has passed it. Of files of one time the last path counts.
     """
-    m = messages.withWatermark("ts", delay).alias("m")
-    files = media.where(F.lower("path").rlike(r"\.(md|markdown)$")).select(F.col("sender").alias("media_sender"), F.col("ts").alias("media_ts"), "path")
-    f = files.withWatermark("media_ts", delay).alias("f")
-    near = F.expr(f"media_sender = sender and media_ts <= ts and media_ts >= ts - interval {minutes} minutes")
-    due = F.expr(f"ts - interval {minutes} minutes").alias("due", metadata=m.schema["ts"].metadata)
-    pairs = m.join(f, near, "left_outer").select("message_id", "sender", F.expr("ts + interval 0 seconds").alias("ts"), due, "path", "media_ts")
-    newest = F.max(F.when(F.col("path").isNotNull(), F.struct("media_ts", "path"))).alias("newest")
-    return pairs.groupBy("message_id", "sender", "ts", "due").agg(newest).select("message_id", "sender", "ts", "newest.path", "newest.media_ts")
+    us = F.unix_micros(F.col("ts").cast("timestamp")).alias("us")
+    one = lambda df, name: df.withWatermark("ts", delay).select(F.col("sender").cast("string"), "ts", us, F.lit(name == "path").alias("is_file"), F.col(name).cast("string").alias("name"))
+    files = media.where(F.lower("path").rlike(r"\.(md|markdown)$") & F.col("sender").isNotNull())
+    found = recent_media(one(messages, "message_id").unionByName(one(files, "path")).where("us is not null"), minutes * 60_000_000)
+    kind = {f.name: f.dataType for f in messages.schema}
+    at = lambda c: F.timestamp_micros(c).cast(kind["ts"])
+    return found.select(F.col("message").cast(kind["message_id"]).alias("message_id"), F.col("sender").cast(kind["sender"]), at("us").alias("ts"), "path", at("media_us").alias("media_ts"))
 
 
 def table_stream(spark: SparkSession, sf: str, name: str, schema: str) -> DataFrame:

@@ -17,8 +17,10 @@ import heapq
 from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -303,6 +305,99 @@ def job_state(events: DataFrame, stream: bool = False, keep_days: int = 30) -> D
     return over_stream(events, "job_id", order, job_step, JOB_STATE, state, keep_days * 86_400_000)
 
 
+# The newest file before each message
+
+#: A slot of a sender's time is so many times as long as files count.
+SLOT_SPANS = 4
+FOUND = "message string, sender string, us long, path string, media_us long"
+_WAITING = pa.schema([("us", pa.int64()), ("is_file", pa.bool_()), ("name", pa.string())])
+
+
+def newest_before(rows: pa.Table, upto: int, span: int) -> pa.Table:
+    """(us, message, path, media_us) of each different message up to ``upto``: the newest file of the ``span`` before it, or nulls.
+
+    One pass over rows of (us, is_file, name) in order; of files of one time the last path counts.
+    """
+    rows = rows.group_by(["us", "is_file", "name"]).aggregate([])
+    rows = rows.take(pc.sort_indices(rows, [("us", "ascending"), ("is_file", "descending"), ("name", "ascending")]))
+    us, is_file = rows.column("us").to_numpy(), rows.column("is_file").to_numpy()
+    newest = np.maximum.accumulate(np.where(is_file, np.arange(len(us)), -1))
+    asks = np.flatnonzero(~is_file & (us <= upto))
+    found = newest[asks]
+    none = (found < 0) | (us[found] < us[asks] - span)
+    asking, media = rows.take(pa.array(asks)), rows.take(pa.array(found, mask=none))
+    return pa.table({"us": asking["us"], "message": asking["name"], "path": media["name"], "media_us": media["us"]})
+
+
+class RecentMedia(StatefulProcessor):
+    """T6 in one slot of one sender: what comes in waits, packed, until the watermark has passed a message.
+
+    A slot holds its own messages and files, and of those of the span before it the newest alone. Its state goes once the watermark
+    has passed its end. A timer is set a millisecond before what it waits for, as it goes off when the watermark is behind it.
+    """
+
+    def __init__(self, span: int):
+        self.span, self.length = span, SLOT_SPANS * span
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "rows binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        begin, before, due = key[1], None, None
+        for frame in rows:
+            came = pa.Table.from_pandas(frame[_WAITING.names], _WAITING, preserve_index=False)
+            own = pc.greater_equal(came["us"], begin)
+            earlier = came.filter(pc.invert(own)).sort_by([("us", "descending"), ("name", "descending")]).slice(0, 1).to_pylist()
+            before = max([*earlier, *([before] if before else [])], key=lambda r: (r["us"], r["name"].encode()), default=None)
+            came = came.filter(own)
+            asked = pc.min(came.filter(pc.invert(came["is_file"]))["us"]).as_py()
+            due = asked if due is None else due if asked is None else min(due, asked)
+            self._keep(came)
+        self._keep(pa.Table.from_pylist([before] if before else [], _WAITING))
+        self._wait(due, begin)
+        return iter(())
+
+    def _keep(self, rows: pa.Table) -> None:
+        if len(rows):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, _WAITING, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(rows)
+            self.waiting.appendValue((sink.getvalue().to_pybytes(),))
+
+    def _wait(self, due: int | None, begin: int) -> None:
+        self.handle.registerTimer(-(-(begin + self.length if due is None else due) // 1000) - 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.waiting.exists():
+            return
+        upto = timerValues.getCurrentWatermarkInMs() * 1000
+        rows = pa.concat_tables([pa.ipc.open_stream(packed).read_all() for (packed,) in self.waiting.get()])
+        self.waiting.clear()
+        if upto < key[1] + self.length:
+            left = rows.filter(pc.or_(rows["is_file"], pc.greater(rows["us"], upto)))
+            self._keep(left)
+            self._wait(pc.min(left.filter(pc.invert(left["is_file"]))["us"]).as_py(), key[1])
+        found = newest_before(rows, upto, self.span)
+        if len(found):
+            found = found.add_column(1, "sender", pa.array([key[0]] * len(found), pa.string()))
+            yield found.select([c.split()[0] for c in FOUND.split(", ")]).to_pandas(integer_object_nulls=True)
+
+
+def recent_media(both: DataFrame, span: int) -> DataFrame:
+    """The newest file of the ``span`` (microseconds) before each message, once the watermark has passed it, as FOUND.
+
+    ``both`` is a stream of messages and files with a watermark on ``ts``: sender, ts, us (its microseconds), is_file, name (an id or
+    a path). The session's state store becomes RocksDB's.
+    """
+    both.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    begin = lambda us: us - F.pmod(us, F.lit(SLOT_SPANS * span))
+    us = F.col("us")
+    slots = F.when(F.col("is_file"), F.array_distinct(F.array(begin(us), begin(us + span)))).otherwise(F.array(begin(us)))
+    dealt = both.select("sender", F.explode(slots).alias("slot"), "ts", "us", "is_file", "name")
+    return dealt.groupBy("sender", "slot").transformWithStateInPandas(RecentMedia(span), FOUND, "append", "eventTime")
+
+
 # Expiry of idle terminal jobs
 
 EXPIRED = "job_id string, status string"

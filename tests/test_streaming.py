@@ -118,3 +118,34 @@ def test_what_a_key_emits_is_packed():
     assert len(packed) == 4 and sum(len(r.rows) for r in packed) < 40 * 20_000
     rows = [r for b in S._unpacked([pa.RecordBatch.from_pylist([{"rows": r.rows} for r in packed])]) for r in b.to_pylist()]
     assert [r["event_id"] for r in rows] == list(range(20_000)) and rows[3]["alert"] == "degraded" and rows[3]["ts"] == at + dt.timedelta(seconds=3)
+
+
+def test_messages_and_files_of_one_sender_meet_once_in_order(spark, tmp_path):
+    """A busy sender, ends of slots, equal times and several micro-batches: no message meets all files of its minutes."""
+    import random
+
+    rng = random.Random(5)
+    second = 1_000_000
+    files = [(rng.choice("uv"), rng.randrange(9000 * second), f"/m/{i}.md") for i in range(900)]
+    files += [("u", s * second, f"/t/{s}{x}.md") for s in (0, 900, 3600, 7200, 7200) for x in "ab"] + [(None, 3600 * second, "/none.md"), ("u", 9001 * second, "/last.md")]
+    asked = [(f"m{i}", rng.choice("uvw"), rng.randrange(9000 * second)) for i in range(900)]
+    asked += [(f"e{s}", "u", s * second) for s in (0, 900, 1800, 3600, 4500, 7200, 8100)] + [("over", "w", 4000 * second), ("twice", "v", 5000 * second), ("twice", "v", 5000 * second), ("null", None, 3700 * second)]
+    asked.append(("last", "u", 9001 * second))
+    start = int(at(0).timestamp()) // 3600 * 3600 * second
+    kinds = (("m", "message_id string, sender string, us long", asked, 2), ("f", "sender string, us long, path string", files, 1))
+    streams = []
+    for name, schema, rows, place in kinds:
+        rows = sorted(rows, key=lambda r: r[place])
+        for k in range(3):
+            part = spark.createDataFrame(rows[k * len(rows) // 3 : (k + 1) * len(rows) // 3], schema)
+            part.selectExpr("* except (us)", f"timestamp_micros(us + {start}) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        fields = spark.read.parquet(str(tmp_path / name)).schema
+        streams.append(spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    q = P.media_for_messages(*streams).writeStream.format("memory").queryName("t6_busy").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = [(r.message_id, r.sender, r.path) for r in spark.table("t6_busy").collect()]
+    end = 9001 * second - 60 * second
+    near = lambda s, us: max(((f, p) for o, f, p in files if o and o == s and us - 900 * second <= f <= us), default=(None, None))[1]
+    assert sorted(got, key=str) == sorted({(m, s, near(s, us)) for m, s, us in asked if us <= end}, key=str)
+    rows_kept = sum(o["numRowsUpdated"] for p in q.recentProgress for o in p["stateOperators"])
+    assert rows_kept < len(asked) / 2  # a row of state for each message, each file and each pair before
