@@ -7,7 +7,8 @@ that begins with it. A term no longer than the level's length is complete; its c
 discarded there. The refinement ends when no open prefix is left. Lengths double, so long terms need few levels.
 
 Each document is parsed once. A task's documents form blocks by language, of bounded size, with each different term once
-and the documents' terms by number; that table is written and read by every level. A level counts inside the block (a
+and the documents' terms by number; that table is written and read by every level. A block is one packed value, which Spark hands on as
+it is, and few lie in one row group, for a reader holds a row group at a time. A level counts inside the block (a
 document adds one to each of its prefixes) and shuffles one row a prefix and block. Surviving prefixes reach the next level as a bitmap of fixed size (``BITS``) over their hashes, whatever
 their number: a collision lets a prefix through that the next level's exact count discards, so results do not
 depend on it. Occurrences of kept terms are then counted by group, the bitmap of kept terms first and an exact join
@@ -31,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliant.llm._shared import durable, require, slices, table
+from foliant.llm._shared import durable, new_path, require, slices, table
 
 MIN_DOCS = 30
 #: Bytes of the first level's prefixes; each next level's are twice as long.
@@ -40,9 +41,12 @@ FIRST_LEVEL = 4
 BITS = 24
 #: Bits of one row of a bitmap aggregate (two to the fifteenth).
 ROW_BITS = 32_768
-#: Entries (terms of documents) after which a block is closed.
-BLOCK_TERMS = 1_000_000
-BLOCKS = "lang string, terms array<binary>, sources array<string>, sizes array<int>, at array<int>, n array<long>"
+#: Entries (terms of documents) and characters of text after which a block is closed, and entries of a task's open blocks.
+BLOCK_TERMS, BLOCK_CHARS, OPEN_TERMS = 1_000_000, 32_000_000, 2_000_000
+#: ``sources`` names each source once; ``block`` holds the parts of :meth:`_Block.row`.
+BLOCKS = "lang string, sources array<string>, block binary"
+#: A row group is closed at this size, however few its rows, and blocks are too large for a dictionary of values.
+GROUPED = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.enable.dictionary": "false", "compression": "none"}
 TOP = 50
 #: Terms and sources of a block of comparisons.
 TERM_BLOCK, SOURCE_BLOCK = 4096, 128
@@ -70,10 +74,11 @@ class _Block:
     """Documents of one language: their different terms once, and each document's terms by number, with counts."""
 
     def __init__(self, lang: str):
-        self.lang, self.numbers, self.sources, self.sizes, self.at, self.n, self.size = lang, _Numbers(), [], [], [], [], 0
+        self.lang, self.numbers, self.names, self.sources, self.sizes, self.at, self.n, self.size, self.chars = lang, _Numbers(), _Numbers(), [], [], [], [], 0, 0
 
-    def add(self, source: str, found: Counter) -> None:
-        self.sources.append(source)
+    def add(self, source: str, found: Counter, chars: int) -> None:
+        self.chars += chars
+        self.sources.append(self.names[source])
         self.sizes.append(len(found))
         self.at.append(np.fromiter(map(self.numbers.__getitem__, found), dtype=np.int32, count=len(found)))
         self.n.append(np.fromiter(found.values(), dtype=np.int64, count=len(found)))
@@ -82,10 +87,14 @@ class _Block:
     def row(self) -> pa.RecordBatch:
         one = lambda values, kind: pa.array([values], pa.list_(kind))
         whole = lambda parts, kind: pa.ListArray.from_arrays(pa.array([0, sum(map(len, parts))], pa.int32()), pa.array(np.concatenate(parts), kind))
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.lang], pa.string()), one(list(self.numbers), pa.binary()), one(self.sources, pa.string()), one(self.sizes, pa.int32()), whole(self.at, pa.int32()), whole(self.n, pa.int64())],
-            ["lang", "terms", "sources", "sizes", "at", "n"],
+        parts = pa.RecordBatch.from_arrays(
+            [one(list(self.numbers), pa.binary()), one(self.sources, pa.int32()), one(self.sizes, pa.int32()), whole(self.at, pa.int32()), whole(self.n, pa.int64())],
+            ["terms", "sources", "sizes", "at", "n"],
         )
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, parts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(parts)
+        return pa.RecordBatch.from_arrays([pa.array([self.lang], pa.string()), one(list(self.names), pa.string()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["lang", "sources", "block"])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,17 +105,16 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found.pop(b"", None)
             if lang not in blocks:
                 blocks[lang] = _Block(lang)
-            blocks[lang].add(source, found)
-            if blocks[lang].size >= BLOCK_TERMS:
+            blocks[lang].add(source, found, len(text))
+            if blocks[lang].size >= BLOCK_TERMS or blocks[lang].chars >= BLOCK_CHARS:
                 yield blocks.pop(lang).row()
-        if sum(b.size for b in blocks.values()) > 3 * BLOCK_TERMS:  # many languages
-            yield from (b.row() for b in blocks.values())
-            blocks.clear()
+        while sum(b.size for b in blocks.values()) > OPEN_TERMS:  # many languages
+            yield blocks.pop(max(blocks, key=lambda x: blocks[x].size)).row()
     yield from (b.row() for b in blocks.values())
 
 
 def parsed(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Blocks of documents of one language: lang, terms, and by document its source, how many terms it has, which and how often."""
+    """Blocks of documents of one language: lang, their sources, and packed the terms, and by document its source, how many terms it has, which and how often."""
     named = require(docs, lang_col, source_col, text_col).toDF("lang", "source", "text")
     return named.select(*(F.coalesce(F.col(c), F.lit("")).alias(c) for c in named.columns)).mapInArrow(_parse, BLOCKS)
 
@@ -137,22 +145,29 @@ def _test(bits: np.ndarray, lang: str):
     return has
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(lang, terms, sources, document of each entry, term of each entry, its count or None) of each block."""
+def stored_blocks(docs: DataFrame) -> DataFrame:
+    """:func:`parsed`, written once and read back, a few blocks at a time."""
+    path = new_path(docs.sparkSession)
+    docs.write.options(**GROUPED).parquet(path)
+    return docs.sparkSession.read.schema(docs.schema).parquet(path)
+
+
+def _rows(batches: Iterator[pa.RecordBatch], *parts: str) -> Iterator[tuple]:
+    """(lang, names of sources, terms, document of each entry, term of each entry, and the named ``parts``) of each block."""
     for batch in batches:
         for i in range(batch.num_rows):
-            row = {c: batch.column(c)[i] for c in batch.schema.names}
-            sizes = row["sizes"].values.to_numpy()
-            n = row["n"].values.to_numpy() if "n" in row else None
-            sources = row["sources"].as_py() if "sources" in row else None
-            yield row["lang"].as_py(), row["terms"].as_py(), sources, np.repeat(np.arange(len(sizes)), sizes), row["at"].values.to_numpy(), n
+            names = batch.column("sources")[i].as_py() if "sources" in batch.schema.names else None
+            with pa.ipc.open_stream(batch.column("block")[i].as_buffer()) as packed:
+                row = packed.read_next_batch()
+            sizes, at, *more = (row.column(c)[0].values.to_numpy() for c in ("sizes", "at", *parts))
+            yield batch.column("lang")[i].as_py(), names, row.column("terms")[0].as_py(), np.repeat(np.arange(len(sizes)), sizes), at, *more
 
 
 def _level(length: int, before: int, bits):
     """Partial (lang, item, documents) of a level; ``bits`` holds the prefixes that survived the level before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, terms, _, doc, at, _ in _rows(batches):
+        for lang, _, terms, doc, at in _rows(batches):
             has = bits and _test(bits.value, lang)
             items: dict[bytes, int] = {}
             of = np.full(len(terms), -1, dtype=np.int64)
@@ -174,12 +189,12 @@ def _level(length: int, before: int, bits):
 
 
 def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """(lang, term, docs): each language's terms in at least ``min_docs`` documents. ``docs`` is a written :func:`parsed`."""
+    """(lang, term, docs): each language's terms in at least ``min_docs`` documents. ``docs`` is a :func:`stored_blocks`."""
     spark = docs.sparkSession
     kept, before, length, bits = [], 0, FIRST_LEVEL, None
     while True:
         level = durable(
-            docs.select("lang", "terms", "sizes", "at")
+            docs.select("lang", "block")
             .mapInArrow(_level(length, before, bits), "lang string, item binary, docs long")
             .groupBy("lang", "item")
             .agg(F.sum("docs").alias("docs"))
@@ -200,16 +215,13 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 def _occurrences(bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for lang, terms, sources, doc, at, n in _rows(batches):
+        for lang, names, terms, doc, at, of_doc, n in _rows(batches, "sources", "n"):
             keep = np.fromiter(map(_test(bits.value, lang), terms), dtype=bool, count=len(terms))
             kept = np.flatnonzero(keep)
             if not len(kept):
                 continue
-            names = sorted(set(sources))
-            number = {s: i for i, s in enumerate(names)}
-            of_doc = np.fromiter((number[s] for s in sources), dtype=np.int64, count=len(sources))
             mine = keep[at]
-            key, total = _summed((np.cumsum(keep) - 1)[at[mine]] * len(names) + of_doc[doc[mine]], n[mine], len(kept) * len(names))
+            key, total = _summed((np.cumsum(keep) - 1)[at[mine]] * len(names) + of_doc.astype(np.int64)[doc[mine]], n[mine], len(kept) * len(names))
             term, source = np.divmod(key, len(names))
             begin = pa.array(np.append(np.flatnonzero(np.append(True, term[1:] != term[:-1])), len(term)), pa.int32())
             yield pa.RecordBatch.from_arrays(
@@ -256,7 +268,7 @@ def groups_of(docs: DataFrame, counted: DataFrame, kept: DataFrame) -> DataFrame
     """(lang, source, total, terms, p0): every occurring group, its kept terms' occurrences, V, and p of an absent term."""
     terms = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("terms"))
     total = counted.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    out = docs.select("lang", F.explode(F.array_distinct("sources")).alias("source")).distinct().join(terms, "lang", "left").join(total, ["lang", "source"], "left")
+    out = docs.select("lang", F.explode("sources").alias("source")).distinct().join(terms, "lang", "left").join(total, ["lang", "source"], "left")
     out = out.na.fill(0, ["terms", "total"])
     return out.withColumn("p0", share(F.lit(0), "total", "terms"))
 
@@ -337,7 +349,7 @@ def over_used(counted: DataFrame, groups: DataFrame, top: int = TOP) -> DataFram
 
 def divergence(docs: DataFrame, min_docs: int = MIN_DOCS, top: int = TOP, **columns) -> DataFrame:
     """lang, source, part, item, value, rank: distances between sources and the terms that mark each source."""
-    read = durable(parsed(docs, **columns))
+    read = stored_blocks(parsed(docs, **columns))
     kept = kept_terms(read, min_docs)
     counted = durable(occurrences(read, kept))
     groups = durable(groups_of(read, counted, kept))

@@ -99,3 +99,39 @@ def test_rows_match_sql(spark, sf_dir, min_docs):
     want = set(con.sql(D.ORACLE).fetchall())
     got = rows(D.op13_prefix_iceberg(spark, sf_dir))
     assert got == want and len(want) > 100
+
+
+def test_readers_hold_few_blocks_at_a_time(spark, monkeypatch):
+    """A block is one packed value, and a row group ends at its size, not after a hundred blocks: a reader holds a row group at a time."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(D, "BLOCK_TERMS", 2000)
+    monkeypatch.setattr(D, "GROUPED", D.GROUPED | {"parquet.block.size": 1 << 16})
+    rng = random.Random(6)
+    docs = [(" ".join("".join(rng.choices("abcdefgh", k=rng.choice((5, 9)))) for _ in range(500)), "en", rng.choice("ab")) for _ in range(200)]
+    batch = pa.RecordBatch.from_pydict({"lang": [d[1] for d in docs], "source": [d[2] for d in docs], "text": [d[0] for d in docs]})
+    blocks = [b.to_pylist()[0] for b in D._parse(iter([batch]))]  # a worker of its own would not see the small bounds
+    read = D.stored_blocks(spark.createDataFrame([(b["lang"], b["sources"], b["block"]) for b in blocks], D.BLOCKS).coalesce(1))
+    assert all(f.dataType.simpleString() != "array<binary>" for f in read.schema)
+    groups = [g for f in read.inputFiles() for meta in [pq.ParquetFile(f.removeprefix("file://")).metadata] for g in map(meta.row_group, range(meta.num_row_groups))]
+    assert sum(g.num_rows for g in groups) >= 40
+    assert max(g.total_byte_size for g in groups) < 5 * (1 << 16)
+    got = D.kept_terms(read, 2)
+    seen = Counter(t for d in docs for t in set(d[0].split()))
+    assert {(r.term.decode(), r.docs) for r in got.collect()} == {(t, n) for t, n in seen.items() if n >= 2}
+    one = {(r.source, r.term.decode(), r.n) for r in D.occurrences(read, got).collect()}
+    many = Counter((d[2], t) for d in docs for t in d[0].split() if seen[t] >= 2)
+    assert one == {(*k, n) for k, n in many.items()}
+
+
+def test_a_task_holds_a_bounded_number_of_entries(monkeypatch):
+    """Blocks of many languages are closed, the largest first, and long texts by their characters."""
+    import pyarrow as pa
+
+    for name, value in (("BLOCK_TERMS", 400), ("OPEN_TERMS", 1000), ("BLOCK_CHARS", 30_000)):
+        monkeypatch.setattr(D, name, value)
+    texts = ["same " * 7000] * 2 + [" ".join(f"{chr(97 + i % 26)}{chr(97 + k)}" for k in range(20)) for i in range(1500)]
+    batch = pa.RecordBatch.from_pydict({"lang": ["long"] * 2 + [f"l{i % 40}" for i in range(1500)], "source": ["s"] * 1502, "text": texts})
+    found = Counter(b.column("lang")[0].as_py() for b in D._parse(iter([batch])))
+    assert len(found) == 41 and found["long"] == 2 and sum(found.values()) > 100
